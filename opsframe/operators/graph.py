@@ -19,58 +19,61 @@ from opsframe import dims
 from opsframe.functions.keys import key_day, key_task
 from opsframe.operators.joins import top_nodes
 from opsframe.plans.ordered import chunked
-from opsframe.plans.storage import materialise
+from opsframe.plans.storage import materialise, write_step
 
 LEVEL_CAP = 20
-_COMPACT_EVERY = 12
+BROADCAST_EDGES = 500_000
+_SMALL_HOPS = 8
 
 
 def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | None = None,
-         hops: int = 2) -> DataFrame:
+         broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(root, level, node): first level at which each root reaches each node; roots are level 0.
 
-    ``roots`` has the column ``root``. ``hops`` levels are expanded per written
-    round. Ends when nothing new is reached, so cycles need no special care.
+    ``roots`` has the column ``root``. Ends when nothing new is reached, so
+    cycles need no special care. One level is one written round. Only when the
+    counted edges fit a broadcast are several levels expanded per round, because
+    then a level costs no pass over a large table but mostly job overhead.
     """
-    links, _ = materialise(
+    spark = edges.sparkSession
+    links, n_links = materialise(
         edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where(
             F.col("_src").isNotNull() & F.col("_dst").isNotNull()).distinct(), "edges")
+    hops = 1
+    if n_links <= broadcast_edges:
+        links, hops = F.broadcast(links), _SMALL_HOPS
     start = roots.select("root").where(F.col("root").isNotNull()).distinct().select(
         "root", F.lit(0).alias("level"), F.col("root").alias("node"))
-    newest, count = materialise(start, "level")
-    rounds, done = [newest], 0
+    schema = start.schema
+    path, count = write_step(start, "level")
+    paths, done = [path], 0
     while count and (levels is None or done < levels):
         width = hops if levels is None else min(hops, levels - done)
-        step, reached = newest.select("root", "level", "node"), None
+        step = spark.read.schema(schema).parquet(paths[-1])
         for _ in range(width):
-            step = step.join(links, F.col("node") == F.col("_src"), "inner").select(
-                "root", (F.col("level") + 1).alias("level"), F.col("_dst").alias("node"))
-            # several paths of one round to a node collapse before the shuffle
-            step = step.groupBy("root", "node").agg(F.min("level").alias("level")).select("root", "level", "node")
-            reached = step if reached is None else reached.unionByName(step)
-        if width > 1:
-            reached = reached.groupBy("root", "node").agg(F.min("level").alias("level")).select(
-                "root", "level", "node")
-        seen = rounds[0]
-        for r in rounds[1:]:
-            seen = seen.unionByName(r)
-        fresh = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").select(
-            "root", "level", "node")
-        newest, count = materialise(fresh, "level")
+            met = step.join(links, F.col("node") == F.col("_src"), "inner" if width == 1 else "left")
+            onward = F.struct((F.col("level") + 1).alias("level"), F.col("_dst").alias("node"))
+            if width > 1:
+                # nodes of earlier hops of the round travel along
+                here = F.struct(F.col("level"), F.col("node"))
+                met = met.select("root", F.explode(F.array(here, onward)).alias("_n"))
+            else:
+                met = met.select("root", onward.alias("_n"))
+            # several edges to one node collapse before the shuffle
+            step = met.where(F.col("_n.node").isNotNull()).groupBy("root", F.col("_n.node").alias("node")).agg(
+                F.min("_n.level").alias("level")).select("root", "level", "node")
+        seen = spark.read.schema(schema).parquet(*paths).select("root", "node")
+        fresh = step.join(seen, ["root", "node"], "left_anti").select("root", "level", "node")
+        path, count = write_step(fresh, "level")
         done += width
         if count:
-            rounds.append(newest)
-        if len(rounds) > _COMPACT_EVERY:
-            rounds = [materialise(seen.unionByName(newest), "levels")[0]]
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+            paths.append(path)
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def _walked_edges(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | None) -> DataFrame:
     """(root, level, src, dst) of every edge met, each once per root at its first level."""
-    nodes = walk(edges, roots, src, dst, None if levels is None else levels)
+    nodes = walk(edges, roots, src, dst, levels)
     if levels is not None:
         nodes = nodes.where(F.col("level") < levels)
     pairs = edges.select(F.col(src).alias("node"), F.col(dst).alias("_other")).distinct()

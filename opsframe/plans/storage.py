@@ -28,15 +28,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
-    """Write ``df`` once as Parquet and read it back; returns it with its row count.
+def write_step(df: DataFrame, name: str = "step") -> tuple[str, int]:
+    """Writes ``df`` as Parquet under the scratch folder; returns the path and the row count.
 
-    The files carry true sizes, so the next join picks its strategy from facts,
-    and a lost executor costs a re-read instead of the whole history of a loop.
     The count is observed during the write and needs no second job.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+    return path, int(seen.get["n"])
+
+
+def materialise(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """Writes ``df`` once and reads it back; returns it with its row count.
+
+    The files carry true sizes, so the next join picks its strategy from facts,
+    and a lost executor costs a re-read instead of the whole history of a loop.
+    """
+    path, count = write_step(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), count

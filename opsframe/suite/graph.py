@@ -159,7 +159,7 @@ def _first_of_day(f):
 
 
 @query("h08_restart_next", f"""
-SELECT r.root, CAST(1 AS INTEGER) AS level, e.job_key, j.id, j.status FROM ({_FIRST_OF_DAY}) r
+SELECT DISTINCT r.root, CAST(1 AS INTEGER) AS level, e.job_key, j.id, j.status FROM ({_FIRST_OF_DAY}) r
 JOIN ({_SAME_DAY}) e ON e.parent_job_key = r.root JOIN job_runs j ON j.job_key = e.job_key
 """)
 def _(f):
@@ -234,9 +234,8 @@ FROM c JOIN w ON c.ot = w.t AND c.oc = w.n
 """)
 def _(f):
     edges = _column_graph(f)
-    roots = graph_leaves = edges.where("result_table_id = 300000000").select(
+    roots = edges.where("result_table_id = 300000000").select(
         F.col("result_table_id").alias("table_id"), F.col("result_column_name").alias("column_name")).distinct()
-    del graph_leaves
     return lineage.column_upstream(edges, roots).select(
         "input_table_id", "input_column_name", "result_table_id", "result_column_name")
 

@@ -1,11 +1,16 @@
 """The time-parameter mini language as column expressions.
 
-``cyc`` is a 14-digit cycle time column. Commands may be literals or columns, so
-a whole parameter table is resolved in one projection.
+A command is first read into a small struct, its *spec*: which base time, how far
+to move it, which pattern to print. Reading does not see the data. In a DataFrame
+it is spread over a few projections, so that each piece is written once: literal
+commands fold to constants, and a parameter table is read once per row of its own.
+Applying a spec to a 14-digit cycle time is one addition and one ``date_format``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Generator, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,177 +23,262 @@ PLAIN_PATTERNS = [
     "yyyy-MM-d", "yyyy-MM-dd",
 ]
 
-# Output patterns are a closed list inside date_format per row; other patterns are formatted as given.
 _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-
-
-def _time(cyc: Column) -> Column:
-    return F.try_to_timestamp(cyc, F.lit(STAMP))
-
-
-def _shift(ts: Column, years=0, months=0, days=0, hours=0, mins=0, secs=0) -> Column:
-    def num(v):
-        return v.cast("int") if isinstance(v, Column) else F.lit(v)
-
-    zero = F.lit(0)
-    return ts + F.make_interval(
-        num(years), num(months), zero, num(days), num(hours), num(mins), num(secs).cast("decimal(18,6)"))
+_SECONDS, _MILLIS = "UnixTimestamp10", "UnixTimestamp13"
+_UNITS = ("years", "months", "days", "hours", "mins", "secs")
+_CYCLE, _DAY_BEFORE, _NOW, _NOW_TEXT = 0, 1, 2, 3
 
 
 def _number(text: Column) -> Column:
     return F.trim(text).try_cast("int")
 
 
-def _fail(result: Column, command: Column, on_error: str) -> Column:
-    if on_error == "raise":
-        return F.coalesce(result, F.raise_error(F.concat(F.lit("illegal command "), command)).cast("string"))
-    return result
+def _part(parts: Column, i: int) -> Column:
+    return F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
 
 
-def sys_param(command: Column, cyc: Column, on_error: str = "null") -> Column:
-    """System parameter: ``yyyyMMdd-1``, ``yyyyMM+2``, ``yyyy-MM-dd,-1`` …"""
-    command = F.trim(command)
-    halves = F.split(command, ",")
-    comma = F.size(halves) == 2
-    bare = r"([a-zA-Z]{4,14})\s*([\-+])\s*(\d+)"
-    second = F.try_element_at(halves, F.lit(2))
-    fmt = F.when(comma, halves[0]).otherwise(F.regexp_extract(command, bare, 1))
-    sign = F.when(comma, F.substring(second, 1, 1)).otherwise(F.regexp_extract(command, bare, 2))
-    digits = F.when(comma, second.substr(F.lit(2), F.length(second))).otherwise(F.regexp_extract(command, bare, 3))
-    n = F.when(sign == "-", -_number(digits)).when(sign == "+", _number(digits))
-    size, ts = F.length(fmt), _time(cyc)
-    moved = (
-        F.when(size.isin(8, 10), _shift(ts, days=n))
-        .when(size == 6, _shift(ts, months=n))
-        .when(size == 4, _shift(ts, years=n))
-    )
-    known = size.isin(4, 6, 8, 10) & n.isNotNull()
-    computed = F.when(known, F.date_format(moved, F.when(known, fmt).otherwise(F.lit(STAMP))))
-    plain = (
-        F.when(command == "", F.lit(""))
-        .when(command == STAMP, cyc)
-        .when(command == "yyyyMMdd", F.substring(cyc, 1, 8))
-    )
-    special = (command == "") | command.isin(STAMP, "yyyyMMdd")
-    return F.when(special, plain).otherwise(_fail(computed, command, on_error))
+def _bare(text: Column) -> Column:
+    return F.trim(F.replace(text, F.lit("'"), F.lit("")))
 
 
 def _product(text: Column, factor: int) -> Column:
     """``n`` or ``a*b`` where one of the two must be +-``factor``; null when neither is."""
     parts = F.split(text, r"\*")
-    a, b = _number(parts[0]), _number(F.try_element_at(parts, F.lit(2)))
+    a, b = _number(parts[0]), _number(_part(parts, 2))
     allowed = (F.abs(a) == factor) | (F.abs(b) == factor)
     return F.when(~text.contains("*"), _number(text)).when(allowed, a * b)
 
 
-def _separated(result: Column, pattern: Column, separator: Column) -> Column:
-    """Puts the separator where the pattern changes letter."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(pattern), F.lit(1)))
+def _spaced(pattern: Column, separator: Column) -> Column:
+    """The pattern with a quoted separator wherever its letter changes."""
+    quoted = F.concat(F.lit("$1'"), F.regexp_replace(separator, r"([\\$])", r"\\$1"), F.lit("'"))
+    return F.when(separator == "", pattern).otherwise(F.regexp_replace(pattern, F.lit(r"(.)(?!\1)(?=.)"), quoted))
 
-    def piece(i: Column) -> Column:
-        here, before = F.substr(pattern, i, F.lit(1)), F.substr(pattern, i - 1, F.lit(1))
-        letter = F.substr(result, i, F.lit(1))
-        return F.when((i > 1) & (here != before), F.concat(separator, letter)).otherwise(letter)
 
-    joined = F.array_join(F.transform(places, piece), "")
-    return F.when(F.coalesce(separator, F.lit("")) == "", result).otherwise(joined)
+def _spec(base: Column, pattern: Column, constant: Column, **units: Column) -> Column:
+    zero = F.lit(0)
+    return F.struct(
+        base.cast("int").alias("base"), pattern.alias("pattern"), constant.alias("constant"),
+        *[units.get(u, zero).cast("int").alias(u) for u in _UNITS])
+
+
+Pieces = Mapping[str, Column]
+# A reader yields named sub-expressions, gets references to them back, and returns the spec.
+Reader = Generator[dict[str, Column], Pieces, Column]
+
+
+def _let(reader: Reader, given: Pieces | None = None) -> Column:
+    """Runs a reader inside one column expression; the pieces become variables of a lambda."""
+    try:
+        pieces = reader.send(given)
+    except StopIteration as done:
+        return done.value
+    row = F.array(F.struct(*[c.alias(n) for n, c in pieces.items()]))
+    return F.element_at(F.transform(row, lambda r: _let(reader, {n: r[n] for n in pieces})), 1)
+
+
+def _staged(df: DataFrame, readers: Mapping[str, Reader]) -> tuple[DataFrame, dict[str, Column]]:
+    """Runs readers side by side over projections; the pieces of one step become columns of one projection."""
+    given: dict[str, Pieces | None] = dict.fromkeys(readers)
+    specs, step = {}, 0
+    while len(specs) < len(readers):
+        step += 1
+        added = {}
+        for name, reader in readers.items():
+            if name in specs:
+                continue
+            try:
+                pieces = reader.send(given[name])
+            except StopIteration as done:
+                specs[name] = done.value
+                continue
+            names = {n: f"_{step}_{name}_{n}" for n in pieces}
+            added.update({names[n]: c for n, c in pieces.items()})
+            given[name] = {n: F.col(c) for n, c in names.items()}
+        if added:
+            df = df.withColumns(added)
+    return df, specs
+
+
+def _read_custom(command: Column) -> Reader:
+    square = command.startswith("$[") & command.endswith("]")
+    curly = command.startswith("${") & command.endswith("}")
+    round_ = command.startswith("$(") & command.endswith(")")
+    top = yield {
+        "line": F.trim(
+            F.when(square, F.regexp_extract(command, r"^\$\[(.*?)\]", 1))
+            .when(curly, F.regexp_extract(command, r"^\$\{(.*?)\}", 1))
+            .when(round_, F.regexp_extract(command, r"^\$\((.*)\)$", 1)).otherwise(F.lit(""))),
+        "kind": F.when(square, _CYCLE).when(curly, _DAY_BEFORE).when(round_, _NOW).otherwise(-1),
+    }
+    line, kind = top["line"], top["kind"]
+    # format(base ± n unit, 'out')
+    call = r"(?i)^format\s*\(\s*[a-z:\-]+\s*([+\-]*)\s*([0-9]*)\s*([a-z]+)\s*,\s*'([0-9a-z:\-\s/]+)'"
+    # base ± amount [, 'separator']
+    shape = r"^(yyyyMMdd|hh24miss)\s*([\-+])\s*(.*)"
+    body = F.substring_index(line, ",", 1)
+    # add_months(format, n [, 'separator'])
+    args = F.split(F.regexp_extract(line, r"\(([^)]*)\)", 1), ",")
+    t = yield {
+        "is_format": line.startswith("format"), "is_months": line.startswith("add_months"),
+        "plus": F.regexp_extract(line, call, 1) == "+",
+        "size": F.coalesce(_number(F.regexp_extract(line, call, 2)), F.lit(0)),
+        "unit": F.regexp_extract(line, call, 3), "out": F.regexp_extract(line, call, 4),
+        "month_fmt": F.trim(_part(args, 1)), "month_n": F.regexp_replace(_part(args, 2), r"\s", ""),
+        "month_sep": _bare(_part(args, 3)), "body": body, "sep": _bare(_part(F.split(line, ","), 2)),
+        "head": F.regexp_extract(body, shape, 1),
+        "flip": F.when(F.regexp_extract(body, shape, 2) == "-", -1).otherwise(1),
+        "rest": F.regexp_replace(F.regexp_extract(body, shape, 3), r"\s", ""),
+    }
+    slashes = F.split(t["rest"], "/")
+    clock, count = t["head"] == "hh24miss", _number(_part(slashes, 1)) * t["flip"]
+    u = yield {
+        # only an explicit '+' adds
+        "moved": F.when(t["plus"], t["size"]).otherwise(-t["size"]),
+        "years": F.when(t["month_fmt"] == "yyyy", _number(F.substring_index(t["month_n"], "*", 1))),
+        "months": F.when(t["month_fmt"].isin("yyyyMMdd", "yyyyMM"), _product(t["month_n"], 12)),
+        "by_day": F.when(t["head"] == "yyyyMMdd", _product(t["rest"], 7) * t["flip"]),
+        "by_hour": F.when(clock & (F.size(slashes) == 2), count),
+        "by_minute": F.when(clock & (F.size(slashes) == 3), count),
+        "name": F.lower(F.trim(t["out"])),
+    }
+    zero = F.lit(0)
 
+    def pick(in_format: Column, in_months: Column, otherwise: Column) -> Column:
+        return F.coalesce(
+            F.when(t["is_format"], in_format).when(t["is_months"], in_months).otherwise(otherwise), zero)
 
-def _format_call(line: Column, ts: Column) -> Column:
-    call = (r"(?i)^format\s*\(\s*[a-z:\-]+\s*([+\-]*)\s*([0-9]*)\s*([a-z]+)\s*,"
-            r"\s*'([0-9a-z:\-\s/]+)'")
-    sign, digits, unit, out = (F.regexp_extract(line, call, i) for i in (1, 2, 3, 4))
-    size = F.coalesce(_number(digits), F.lit(0))
-    n = F.when(sign == "+", size).otherwise(-size)
-    moved = (
-        F.when(unit == "y", _shift(ts, years=n)).when(unit == "M", _shift(ts, months=n))
-        .when(unit == "d", _shift(ts, days=n)).when(unit == "H", _shift(ts, hours=n))
-        .when(unit == "m", _shift(ts, mins=n)).when(unit == "w", _shift(ts, days=n * 7))
-        .otherwise(_shift(ts, secs=n))
-    )
-    name = F.lower(F.trim(out))
-    pattern = F.when(name == "isodate", F.lit(_ISO)).when(name.startswith("unixtimestamp"), F.lit(STAMP)).otherwise(out)
-    text = (
-        F.when(name == "unixtimestamp10", F.unix_seconds(moved).cast("string"))
-        .when(name == "unixtimestamp13", F.unix_millis(moved).cast("string"))
-        .otherwise(F.date_format(moved, F.when(out != "", pattern).otherwise(F.lit(STAMP))))
+    def unit(letter: str) -> Column:
+        return F.when(t["unit"] == letter, u["moved"])
+
+    out = F.when(u["name"] == "isodate", F.lit(_ISO)).when(u["name"] == _SECONDS.lower(), F.lit(_SECONDS)).when(
+        u["name"] == _MILLIS.lower(), F.lit(_MILLIS)).when(t["out"] != "", t["out"])
+    plain = (
+        F.when(t["head"] == "yyyyMMdd", F.when(u["by_day"].isNotNull(), F.lit("yyyyMMdd")))
+        .when(t["head"] == "hh24miss", F.when(F.coalesce(u["by_hour"], u["by_minute"]).isNotNull(), F.lit(STAMP)))
+        .when(t["body"].isin(PLAIN_PATTERNS), F.replace(t["body"], F.lit("hh24"), F.lit("HH")))
     )
-    return F.when(out != "", text)
+    in_months = F.when(F.coalesce(u["years"], u["months"]).isNotNull(), t["month_fmt"])
+    spaced = _spaced(F.when(t["is_months"], in_months).otherwise(plain),
+                     F.when(t["is_months"], t["month_sep"]).otherwise(t["sep"]))
+    return _spec(
+        F.when((line == "bdp.system.currenttime") & (kind == _DAY_BEFORE), _NOW_TEXT).otherwise(kind),
+        F.when(t["is_format"], out).otherwise(spaced), F.when(kind < 0, command),
+        years=pick(unit("y"), u["years"], zero), months=pick(unit("M"), u["months"], zero),
+        days=pick(F.when(t["unit"] == "w", u["moved"] * 7).otherwise(unit("d")), zero, u["by_day"]),
+        hours=pick(unit("H"), zero, u["by_hour"]), mins=pick(unit("m"), zero, u["by_minute"]),
+        secs=pick(F.when(~t["unit"].isin(*"yMdHmw"), u["moved"]), zero, zero))
+
+
+def custom_spec(command: Column) -> Column:
+    """Custom parameter: ``$[…]`` on the cycle, ``${…}`` on the day before, ``$(…)`` on now; other text is itself."""
+    return _let(_read_custom(command))
+
+
+def _read_system(command: Column) -> Reader:
+    pieces = yield {"command": F.trim(command)}
+    command = pieces["command"]
+    halves = F.split(command, ",")
+    comma = F.size(halves) == 2
+    bare = r"([a-zA-Z]{4,14})\s*([\-+])\s*(\d+)"
+    second = _part(halves, 2)
+    t = yield {
+        "whole": command.isin(STAMP, "yyyyMMdd"),
+        "fmt": F.when(comma, halves[0]).otherwise(F.regexp_extract(command, bare, 1)),
+        "sign": F.when(comma, F.substring(second, 1, 1)).otherwise(F.regexp_extract(command, bare, 2)),
+        "digits": F.when(comma, second.substr(F.lit(2), F.length(second))).otherwise(
+            F.regexp_extract(command, bare, 3)),
+    }
+    count = F.when(t["sign"] == "-", -_number(t["digits"])).when(t["sign"] == "+", _number(t["digits"]))
+    u = yield {"n": count, "size": F.length(t["fmt"])}
 
+    def unit(*sizes: int) -> Column:
+        return F.when(~t["whole"] & u["size"].isin(*sizes), u["n"]).otherwise(0)
 
-def _add_months(line: Column, ts: Column) -> Column:
-    args = F.split(F.regexp_extract(line, r"\(([^)]*)\)", 1), ",")
-    fmt = F.trim(args[0])
-    amount = F.regexp_replace(F.coalesce(F.try_element_at(args, F.lit(2)), F.lit("")), r"\s", "")
-    separator = F.trim(F.replace(F.coalesce(F.try_element_at(args, F.lit(3)), F.lit("")), F.lit("'"), F.lit("")))
-    years = _number(F.substring_index(amount, "*", 1))
+    good = u["size"].isin(4, 6, 8, 10) & u["n"].isNotNull()
+    return _spec(F.lit(_CYCLE), F.when(t["whole"], command).when(good, t["fmt"]),
+                 F.when(command == "", F.lit("")), years=unit(4), months=unit(6), days=unit(8, 10))
+
+
+def sys_spec(command: Column) -> Column:
+    """System parameter: ``yyyyMMdd-1``, ``yyyyMM+2``, ``yyyy-MM-dd,-1`` …; the length of the format gives the unit."""
+    return _let(_read_system(command))
+
+
+def apply_spec(spec: Column, cyc: Column, now: Column, on_error: str = "null", command: Column | None = None) -> Column:
+    """Value of a spec at a cycle time; a command without meaning gives null or raises."""
+    ts, moment = (F.try_to_timestamp(c, F.lit(STAMP)) for c in (cyc, now))
+    zero = F.lit(0)
+    base = F.when(spec["base"] == _DAY_BEFORE, ts - F.make_dt_interval(days=F.lit(1))).when(
+        spec["base"] == _NOW, moment).otherwise(ts)
+    at = base + F.make_interval(spec["years"], spec["months"], zero, spec["days"], spec["hours"], spec["mins"],
+                                spec["secs"].cast("decimal(18,6)"))
+    pattern = spec["pattern"]
+    special = pattern.isin(_SECONDS, _MILLIS)
+    # the pattern may differ per row, which the Python wrapper of date_format does not offer
+    text = F.call_function("date_format", at, F.when(special | pattern.isNull(), F.lit(STAMP)).otherwise(pattern))
     text = (
-        F.when(fmt == "yyyy", F.date_format(_shift(ts, years=years), "yyyy"))
-        .when(fmt == "yyyyMMdd", F.date_format(_shift(ts, months=_product(amount, 12)), "yyyyMMdd"))
-        .when(fmt == "yyyyMM", F.date_format(_shift(ts, months=_product(amount, 12)), "yyyyMM"))
+        F.when(pattern == _SECONDS, F.unix_seconds(at).cast("string"))
+        .when(pattern == _MILLIS, F.unix_millis(at).cast("string"))
+        .when(pattern.isNotNull(), text)
     )
-    return _separated(text, fmt, separator)
+    if on_error == "raise":
+        named = F.lit("illegal command") if command is None else F.concat(F.lit("illegal command "), command)
+        text = F.coalesce(text, F.raise_error(named).cast("string"))
+    return F.coalesce(spec["constant"], F.when(spec["base"] == _NOW_TEXT, now).otherwise(text))
 
 
-def _arithmetic(line: Column, ts: Column) -> Column:
-    halves = F.split(line, ",")
-    body = halves[0]
-    separator = F.trim(F.replace(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), F.lit("'"), F.lit("")))
-    shape = r"^(yyyyMMdd|hh24miss)\s*([\-+])\s*(.*)"
-    base, sign = F.regexp_extract(body, shape, 1), F.regexp_extract(body, shape, 2)
-    amount = F.regexp_replace(F.regexp_extract(body, shape, 3), r"\s", "")
-    flip = F.when(sign == "-", -1).otherwise(1)
-    slashes = F.split(amount, "/")
-    count = _number(slashes[0]) * flip
-    by_time = (
-        F.when(F.size(slashes) == 2, F.date_format(_shift(ts, hours=count), STAMP))
-        .when(F.size(slashes) == 3, F.date_format(_shift(ts, mins=count), STAMP))
-    )
-    by_day = F.date_format(_shift(ts, days=_product(amount, 7) * flip), "yyyyMMdd")
-    pattern = F.replace(body, F.lit("hh24"), F.lit("HH"))
-    plain_ok = body.isin(PLAIN_PATTERNS)
-    plain = F.when(plain_ok, F.date_format(ts, F.when(plain_ok, pattern).otherwise(F.lit(STAMP))))
-    text = F.when(base == "yyyyMMdd", by_day).when(base == "hh24miss", by_time).otherwise(plain)
-    letters = F.when(base == "yyyyMMdd", F.lit("yyyyMMdd")).when(base == "hh24miss", F.lit(STAMP)).otherwise(pattern)
-    return _separated(text, letters, separator)
+def _value(spec: Column, command: Column, cyc: Column, now: Column, on_error: str) -> Column:
+    def steps() -> Reader:
+        t = yield {"spec": spec, "cyc": cyc, "now": now, "command": command}
+        return apply_spec(t["spec"], t["cyc"], t["now"], on_error, t["command"])
 
+    return _let(steps())
 
-def custom_param(command: Column, cyc: Column, now: Column, on_error: str = "null") -> Column:
-    """Custom parameter: ``$[…]`` on the cycle, ``${…}`` on the day before, ``$(…)`` on ``now`` (14 digits)."""
-    square = command.startswith("$[") & command.endswith("]")
-    curly = command.startswith("${") & command.endswith("}")
-    round_ = command.startswith("$(") & command.endswith(")")
-    line = F.trim(
-        F.when(square, F.regexp_extract(command, r"^\$\[(.*?)\]", 1))
-        .when(curly, F.regexp_extract(command, r"^\$\{(.*?)\}", 1))
-        .when(round_, F.regexp_extract(command, r"^\$\((.*)\)$", 1)))
-    at = F.when(curly, _shift(_time(cyc), days=-1)).when(round_, _time(now)).otherwise(_time(cyc))
-    computed = (
-        F.when(line.startswith("format"), _format_call(line, at))
-        .when(line.startswith("add_months"), _add_months(line, at))
-        .otherwise(_arithmetic(line, at))
-    )
-    computed = F.when(F.trim(computed) != "", computed)
-    return (
-        F.when(curly & (line == "bdp.system.currenttime"), now)
-        .when(square | curly | round_, _fail(computed, command, on_error))
-        .otherwise(command)
-    )
+
+def sys_param(command: Column | str, cyc: Column, on_error: str = "null") -> Column:
+    command = command if isinstance(command, Column) else F.lit(command)
+    return _value(sys_spec(command), command, cyc, cyc, on_error)
+
+
+def custom_param(command: Column | str, cyc: Column, now: Column, on_error: str = "null") -> Column:
+    command = command if isinstance(command, Column) else F.lit(command)
+    return _value(custom_spec(command), command, cyc, now, on_error)
+
+
+SYSTEM, CUSTOM = 0, 1
 
 
-def param_value(kind: Column, name: Column, command: Column, cyc: Column, now: Column,
-                on_error: str = "null") -> Column:
-    """System parameters (0) go to ``sys_param``, except the run time; all others to ``custom_param``."""
-    system = (kind == 0) & (name != "bdp.system.runtime")
-    # each branch only sees its own commands, so a foreign one cannot raise
-    return F.when(system, sys_param(command, cyc, on_error)).otherwise(
-        custom_param(F.when(~system, command).otherwise(F.lit("")), cyc, now, on_error))
+def add_params(df: DataFrame, commands: Mapping[str, tuple[int, str]], cyc: Column, now: Column,
+               on_error: str = "null") -> DataFrame:
+    """Adds one column per literal command ``name -> (SYSTEM or CUSTOM, text)``.
+
+    The commands are read in projections of their own and fold to constants, so
+    per row only the date arithmetic and the formatting are left.
+    """
+    readers = {n: (_read_system if kind == SYSTEM else _read_custom)(F.lit(text))
+               for n, (kind, text) in commands.items()}
+    staged, specs = _staged(df, readers)
+    staged = staged.withColumns({f"_spec_{n}": c for n, c in specs.items()})
+    values = [apply_spec(F.col(f"_spec_{n}"), cyc, now, on_error, F.lit(commands[n][1])).alias(n) for n in commands]
+    return staged.select(*[c for c in df.columns if c not in commands], *values)
+
+
+def read_params(params: DataFrame, name: str = "spec") -> DataFrame:
+    """Adds the spec to rows with (type, param_name, param_command).
+
+    System parameters (0) are read as such, except the run time; all others as custom ones.
+    """
+    system = (F.col("type") == SYSTEM) & (F.col("param_name") != "bdp.system.runtime")
+    command = F.col("param_command")
+    staged, specs = _staged(params, {"s": _read_system(command), "c": _read_custom(command)})
+    return staged.select(*params.columns, F.when(system, specs["s"]).otherwise(specs["c"]).alias(name))
 
 
 def resolve_params(params: DataFrame, cyc: Column, now: Column, on_error: str = "null") -> DataFrame:
     """Adds ``value`` to rows with (type, param_name, param_command)."""
-    return params.withColumn(
-        "value", param_value(F.col("type"), F.col("param_name"), F.col("param_command"), cyc, now, on_error))
+    return read_params(params, "_spec").withColumn(
+        "value", apply_spec(F.col("_spec"), cyc, now, on_error, F.col("param_command"))).drop("_spec")
 
 
 def render(text: Column, values: Column) -> Column:
@@ -202,14 +292,14 @@ def render_tasks(runs: DataFrame, params: DataFrame, text: str, now: Column) ->
     """Scripts of all runs with their parameters filled in.
 
     ``runs`` has (task_id, cyc_time, ``text``); ``params`` has (task_id, type,
-    param_name, param_command). A task's parameters are one short list, so the
-    list travels to the runs by one equi-join and everything else is a projection.
+    param_name, param_command), unique by task and name. The commands are read
+    once per parameter row. A task's parameters are one short list, which travels
+    to the runs by one equi-join; everything else is a projection.
     """
-    per_task = params.groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("param_name", "type", "param_command"))).alias("_params"))
+    per_task = read_params(params).groupBy("task_id").agg(
+        F.collect_list(F.struct("param_name", "spec")).alias("_params"))
     joined = runs.join(per_task, "task_id", "left")
     values = F.map_from_entries(F.transform("_params", lambda p: F.struct(
-        p["param_name"].alias("key"),
-        param_value(p["type"], p["param_name"], p["param_command"], F.col("cyc_time"), now).alias("value"))))
+        p["param_name"].alias("key"), apply_spec(p["spec"], F.col("cyc_time"), now).alias("value"))))
     filled = F.when(F.col("_params").isNull(), F.col(text)).otherwise(render(F.col(text), values))
     return joined.withColumn("rendered", filled).drop("_params")

@@ -60,7 +60,7 @@ def capacity_mb(text: Column) -> Column:
 def properties(text: Column) -> Column:
     """``k=v`` lines to a map; blank lines and ``#`` comments are skipped, the last value of a key wins."""
     lines = F.filter(
-        F.transform(F.split(text, r"\r?\n"), F.trim),
+        F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith("#") & ~s.startswith("!"))
     pairs = F.transform(lines, lambda s: F.struct(
         F.trim(F.regexp_extract(s, r"^([^=:]*)", 1)).alias("k"),

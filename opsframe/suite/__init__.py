@@ -24,4 +24,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from opsframe.suite import aggregates, calendar, filters, graph, joins  # noqa: F401
+    from opsframe.suite import (  # noqa: F401
+        aggregates, calendar, expressions, filters, graph, joins, series,
+    )

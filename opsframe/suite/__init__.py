@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Imports the modules that register queries."""
     from opsframe.suite import (  # noqa: F401
-        aggregates, calendar, expressions, filters, graph, joins, series,
+        aggregates, calendar, expressions, feeds, filters, graph, joins, series, sources,
     )

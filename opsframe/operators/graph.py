@@ -133,9 +133,10 @@ def nest(levels: DataFrame, parent: str, child: str) -> DataFrame:
     first = levels.groupBy("root", child).agg(F.min("level").alias("level"))
     hung = levels.join(first, ["root", child, "level"], "left_semi").groupBy("root", "level", child).agg(
         F.min(parent).alias(parent))
-    top = levels.select("root").distinct().select("root", F.col("root").alias("node"))
+    hung, _ = materialise(hung, "hung")
+    top = hung.select("root").distinct().select("root", F.col("root").alias("node"))
     known, out = top.withColumn("path", F.array(F.col("node").cast("string"))), None
-    depth = levels.agg(F.max("level").alias("n")).first()["n"] or 0
+    depth = hung.agg(F.max("level").alias("n")).first()["n"] or 0
     for level in range(1, depth + 1):
         rows = hung.where(F.col("level") == level).select(
             "root", F.col(parent).alias("_parent"), F.col(child).alias("_child"))

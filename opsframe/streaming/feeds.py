@@ -1,21 +1,19 @@
 """Feeds of status reports, checkpoints, alarms and queue rows.
 
 Most operators are plain DataFrame functions that serve a batch table and a
-stream alike. Where order matters per key, the batch form uses the hot-key safe
-helpers and the stream form keeps a few numbers of state per key.
+stream alike. Where order matters per key, the hot-key safe helpers do the work,
+for a stream inside ``foreachBatch`` with a small state table beside it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from typing import Any
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opsframe import dims
 from opsframe.functions.params import render
@@ -55,50 +53,72 @@ def current_status(reports: DataFrame) -> DataFrame:
 
 # --- J2 ------------------------------------------------------------------------------------------
 
-def debounce_not_found(reports: DataFrame, n: int = 300, span_s: float = 180, limit: int | None = None) -> DataFrame:
-    """Reports with NOTFOUND turned to FAILED once it was reported n times or for a span without a break."""
+def _runs(reports: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reports with their place in the job and the place and time at which their NOTFOUND run began."""
     keys, order = ["job_id"], ["ts", "event_id"]
     rows = numbered(reports, keys, order, "_rn", limit=limit)
     rows = neighbour(rows, keys, order, ["status"], "_prev", limit=limit)
-    lost = F.col("status") == NOT_FOUND
-    begins = lost & (F.col("_prev").isNull() | (F.col("_prev.status") != NOT_FOUND))
-    rows = carried(rows, keys, order, F.when(begins, F.struct("_rn", "ts")), "_start", limit=limit)
+    begins = (F.col("status") == NOT_FOUND) & (F.col("_prev").isNull() | (F.col("_prev.status") != NOT_FOUND))
+    return carried(rows, keys, order, F.when(begins, F.struct("_rn", "ts")), "_start", limit=limit)
+
+
+def debounce_not_found(reports: DataFrame, n: int = 300, span_s: float = 180, limit: int | None = None) -> DataFrame:
+    """Reports with NOTFOUND turned to FAILED once it was reported n times or for a span without a break."""
+    rows = _runs(reports, limit)
     seconds = (F.unix_micros(F.col("ts").cast("timestamp"))
                - F.unix_micros(F.col("_start.ts").cast("timestamp"))) / 1_000_000
     many = (F.col("_rn") - F.col("_start._rn") + 1 >= n) | (seconds >= span_s)
+    lost = F.col("status") == NOT_FOUND
     return rows.withColumn("status", F.when(lost & many, FAILED).otherwise(F.col("status")).cast("int")).select(
         *reports.columns)
 
 
-def debounce_stream(reports: DataFrame, n: int = 300, span_s: float = 180) -> DataFrame:
-    """The same over a stream: (job_id, event_id, ts, status). State per job: reports and start of the current run.
+_OPEN = "job_id long, count long, start timestamp, batch long"
+
+
+def debounce_sink(path: str, n: int = 300, span_s: float = 180, limit: int | None = None):
+    """``foreachBatch`` function: the same over a stream, stored under ``path/rows``.
 
-    Reports are ordered inside a micro-batch; one older than what was seen is dropped.
+    Between micro-batches only the open runs are kept, one row per job that is
+    NOTFOUND right now. Inside a batch the hot-key safe batch form works, so a job
+    with a third of the reports is split, and no Python touches the rows. Folders
+    carry the batch number: a repeated batch reads and writes the same ones.
+    Reports must not be older than those of earlier batches.
     """
-    out = "job_id long, event_id long, ts timestamp, status int"
-    state = "seen double, count long, start double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        seen, count, start = st.get if st.exists else (float("-inf"), 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        at = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        rows = rows[at >= seen]
-        at = at[at >= seen]
-        result = []
-        for moment, status in zip(at, rows["status"], strict=True):
-            if status == NOT_FOUND:
-                count, start = (count + 1, start) if count else (1, moment)
-                result.append(FAILED if count >= n or moment - start >= span_s else NOT_FOUND)
-            else:
-                count = 0
-                result.append(int(status))
-            seen = moment
-        st.update((float(seen), int(count), float(start)))
-        yield pd.DataFrame({"job_id": rows["job_id"], "event_id": rows["event_id"], "ts": rows["ts"],
-                            "status": pd.Series(result, index=rows.index, dtype="int32")})
-
-    return reports.groupBy("job_id").applyInPandasWithState(
-        step, out, state, "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _read_open(spark, path, batch_id)
+        rows = _runs(batch, limit)
+        lost = F.col("status") == NOT_FOUND
+        joined = rows.join(before, "job_id", "left")
+        # a run that began with the job's first report of the batch goes on from the stored one
+        goes_on = (F.col("_start._rn") == 1) & F.col("count").isNotNull()
+        count = F.col("_rn") - F.col("_start._rn") + 1 + F.when(goes_on, F.col("count")).otherwise(0)
+        start = F.when(goes_on, F.col("start")).otherwise(F.col("_start.ts").cast("timestamp"))
+        full = joined.withColumn("_count", F.when(lost, count)).withColumn("_from", F.when(lost, start))
+        seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros("_from")) / 1_000_000
+        many = (F.col("_count") >= n) | (seconds >= span_s)
+        out = full.select("job_id", "event_id", "ts", F.when(lost & many, FAILED).otherwise(F.col("status")).cast(
+            "int").alias("status"))
+        out.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        last = full.groupBy("job_id").agg(F.max_by(F.struct(
+            F.col("_count").alias("count"), F.col("_from").alias("start")), F.col("_rn")).alias("_l"))
+        quiet = before.join(last.select("job_id"), "job_id", "left_anti")
+        open_ = last.select("job_id", F.col("_l.count").cast("long").alias("count"),
+                            F.col("_l.start").alias("start")).where(F.col("count").isNotNull()).unionByName(quiet)
+        open_.write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+    return write
+
+
+def _read_open(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Open runs after the batch before ``batch_id``; none before the first."""
+    try:
+        return spark.read.schema(_OPEN).parquet(f"{path}/open").where(
+            F.col("batch") == batch_id - 1).drop("batch")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "job_id long, count long, start timestamp")
 
 
 # --- J3, J4 --------------------------------------------------------------------------------------
@@ -231,16 +251,32 @@ def overdue(queue: DataFrame, now: dt.datetime, default_s: int, own: str | None
 
 
 def live_profile(events: DataFrame, size: str, slide: str | None = None, gap: str | None = None,
-                 delay: str = "10 minutes", by: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:
+                 delay: str = "10 minutes", by: tuple[str, ...] = (), ts: str = "ts",
+                 limit: int | None = None) -> DataFrame:
     """Counts per tumbling, sliding (``slide``) or session (``gap``) window; late rows are dropped on a stream."""
     rows = stamped(events, ts)
     if rows.isStreaming:
         rows = rows.withWatermark(ts, delay)
+    elif gap:
+        return _sessions(rows, gap, by, ts, limit)
     window = F.session_window(ts, gap) if gap else F.window(ts, size, slide)
     return rows.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("cnt")).select(
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "cnt")
 
 
+def _sessions(rows: DataFrame, gap: str, by: tuple[str, ...], ts: str, limit: int | None) -> DataFrame:
+    """Sessions of a table. The built-in session window sends a key to one task; this splits hot keys."""
+    one = rows.select(F.col(ts).alias("_at"), *by, F.lit(0).alias("_one"))
+    keys = [*by, "_one"]
+    pace = F.expr(f"INTERVAL {gap}")
+    marked = neighbour(one, keys, ["_at"], ["_at"], "_prev", limit=limit)
+    begins = F.col("_prev").isNull() | (F.col("_at") >= F.col("_prev._at") + pace)
+    placed = carried(marked, keys, ["_at"], F.when(begins, F.col("_at")), "start", limit=limit)
+    return placed.groupBy("start", *by).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("_at").alias("_last")).select(
+        "start", (F.col("_last") + pace).alias("end"), *by, "cnt")
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink: Any = None) -> None:
     """Runs a stream over all data available now into Parquet, one folder per micro-batch."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(

@@ -98,6 +98,13 @@ def _(f):
     return calendar.plan_day(_tasks(f), DAY, "02:00", "12:30").select("job_key", "dependency_type")
 
 
+@query("g16_plan_task", f"""
+SELECT {_KEY.format('id', 'ts')} AS job_key FROM ({PLAN}) p WHERE task_id = 30 OR flow_id = 30
+""")
+def _(f):
+    return calendar.plan_task(_tasks(f), 30, DAY).select("job_key")
+
+
 @query("g10_previous_trigger", f"""
 SELECT {_KEY.format('p.id', 'p.ts')} AS job_key, h.ts AS prev_ts FROM ({PLAN}) p
 ASOF JOIN ({triggers('1998-01-01', '1998-03-15')}) h ON h.task_id = p.task_id AND h.ts < p.ts

@@ -285,3 +285,77 @@ def _(f):
     sqlfuncs.register(spark)
     return spark.sql("SELECT t.task_id, x.trigger_time FROM {t} t, LATERAL triggers(t.schedule_conf, '1998-03-15') x",
                      t=tasks)
+
+
+# --- plain built-ins, used inline by other operators ------------------------------------------------
+
+@query("i13_period_starts", """
+SELECT event_id, date_trunc('day', ts) AS d, date_trunc('day', ts) + INTERVAL 1 DAY AS nd, date_trunc('minute', ts) AS mi,
+date_trunc('hour', ts) AS h, CAST(date_trunc('month', ts) AS TIMESTAMP) AS mo, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w
+FROM events
+""")
+def _(f):
+    def start(unit):
+        return F.date_trunc(unit, "ts").cast("timestamp_ntz")
+
+    return f.events.select(
+        "event_id", start("day").alias("d"), (start("day") + F.make_dt_interval(days=F.lit(1))).alias("nd"),
+        start("minute").alias("mi"), start("hour").alias("h"), start("month").alias("mo"), start("week").alias("w"))
+
+
+@query("i14_date_parts", "SELECT id, CAST(year(cyc_ts) AS INTEGER) AS y, CAST(month(cyc_ts) AS INTEGER) AS m, "
+       "CAST(weekofyear(cyc_ts) AS INTEGER) AS w FROM jobs")
+def _(f):
+    return f.jobs.select("id", F.year("cyc_ts").alias("y"), F.month("cyc_ts").alias("m"),
+                         F.weekofyear("cyc_ts").alias("w"))
+
+
+@query("i15_month_bounds", """
+SELECT id, strftime(date_trunc('month', cyc_ts), '%Y-%m-%d') AS first, strftime(last_day(cyc_ts), '%Y-%m-%d') AS last,
+strftime(date_trunc('month', cyc_ts) - INTERVAL 1 MONTH, '%Y-%m-%d') AS prev_first,
+strftime(date_trunc('month', cyc_ts) - INTERVAL 1 DAY, '%Y-%m-%d') AS prev_last FROM jobs
+""")
+def _(f):
+    first = F.trunc("cyc_ts", "month")
+    return f.jobs.select(
+        "id", first.cast("string").alias("first"), F.last_day("cyc_ts").cast("string").alias("last"),
+        F.add_months(first, -1).cast("string").alias("prev_first"), F.date_sub(first, 1).cast("string").alias("prev_last"))
+
+
+@query("i16_shift_day", """
+SELECT id, strftime(cyc_ts - INTERVAL 1 DAY, '%Y%m%d') AS yesterday, strftime(cyc_ts + INTERVAL 30 DAY, '%Y-%m-%d') AS later
+FROM job_runs
+""")
+def _(f):
+    day = F.to_date(F.substring("cyc_time", 1, 8), "yyyyMMdd")
+    return f.job_runs.select("id", F.date_format(F.date_sub(day, 1), "yyyyMMdd").alias("yesterday"),
+                             F.date_format(F.date_add(day, 30), "yyyy-MM-dd").alias("later"))
+
+
+@query("i22_lenient_casts", """
+SELECT id, TRY_CAST(nullif(trim(amount_text), '') AS INTEGER) AS v, coalesce(TRY_CAST(amount_text AS INTEGER), -1) AS d
+FROM sync_source
+""")
+def _(f):
+    v = F.nullif(F.trim("amount_text"), F.lit("")).try_cast("int")
+    return f.sync_source.select("id", v.alias("v"), F.coalesce(v, F.lit(-1)).alias("d"))
+
+
+@query("i24_int_list", "SELECT s_suppkey, s_nationkey + 7 + s_suppkey AS total, 3 AS n FROM supplier")
+def _(f):
+    text_ = F.concat(F.col("s_nationkey").cast("string"), F.lit(",, 7,"), F.col("s_suppkey").cast("string"))
+    items = F.transform(F.filter(F.split(text_, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("long"))
+    return f.supplier.select(
+        "s_suppkey", F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+        F.size(items).alias("n"))
+
+
+@query("i29_unique_task_id", "SELECT task_id, (CAST(app_type AS BIGINT) << 56) + task_id AS uid FROM tasks")
+def _(f):
+    return f.tasks.select("task_id", (F.shiftleft(F.col("app_type").cast("long"), 56) + F.col("task_id")).alias("uid"))
+
+
+@query("i30_biz_day", "SELECT id, strftime(cyc_ts, '%Y-%m-%d') AS day FROM job_runs")
+def _(f):
+    c = F.col("cyc_time")
+    return f.job_runs.select("id", F.concat_ws("-", c.substr(1, 4), c.substr(5, 2), c.substr(7, 2)).alias("day"))

@@ -70,8 +70,8 @@ def _(f):
 
 @query("j02_debounce_stream", _debounced(3, 36_000))
 def _(f):
-    rows = feeds.stamped(_reports(_events_stream(f)))
-    return f._spark.read.parquet(_store(f, feeds.debounce_stream(rows, 3, 36_000))).select("event_id", "status")
+    path = _store(f, _reports(_events_stream(f)), sink=lambda p: feeds.debounce_sink(p, 3, 36_000))
+    return f._spark.read.parquet(f"{path}/rows").select("event_id", "status")
 
 
 def _histories(events):

@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from opsframe.dims import SOURCE_TYPE
 from opsframe.functions.text import partition_map
 from opsframe.plans.storage import scratch_dir
-from opsframe.sources import cube, script, sync
+from opsframe.sources import cube, registry, script, sync
 from opsframe.suite import query
 
 
@@ -37,6 +38,18 @@ def _(f):
     """, conf={"spark.sql.ansi.enabled": "true"}).last
 
 
+@query("a02_script_options", "SELECT '5' AS parts, count(*) AS n FROM nation")
+def _(f):
+    spark = _views(f, "nation")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    result = script.run_script(spark, """
+        CREATE OR REPLACE TEMPORARY VIEW v AS SELECT count(*) AS n FROM nation;
+        SET spark.sql.shuffle.partitions
+    """, conf={"spark.sql.shuffle.partitions": "5"}, app_name="options")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    return result.last.select(F.col("value").alias("parts")).crossJoin(spark.table("v"))
+
+
 @query("a03_skip_select", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def _(f):
     spark = _views(f, "nation")
@@ -102,6 +115,31 @@ def _(f):
         "id", F.col("amount").cast("long").alias("amount"), F.col("day").cast("string").alias("day"))
 
 
+@query("a15_sync_split_read", """
+SELECT event_id AS id, event_type AS kind FROM events
+""")
+def _(f):
+    spark = f._spark
+    target = _fresh(spark, "split")
+    job = {"content": [{
+        "reader": {"path": f"{f._folder}/events.parquet", "splitPk": "event_id",
+                   "column": [{"name": "event_id"}, {"name": "event_type"}]},
+        "writer": {"path": target, "column": [{"name": "id", "index": 0, "type": "bigint"},
+                                              {"name": "kind", "index": 1, "type": "string"}]}}],
+        "setting": {"speed": {"channel": 4}}}
+    sync.sync(spark, job)
+    written = spark.read.parquet(target)
+    assert len(written.inputFiles()) == 4
+    return written
+
+
+@query("a19_source_registry", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def _(f):
+    spark = _views(f, "nation")
+    df = registry.read_source(spark, SOURCE_TYPE["HIVE"], {"table": "nation"})
+    return df.where("n_regionkey = 1").select("n_nationkey", "n_name")
+
+
 @query("a10_sync_text_files", """
 SELECT event_id AS id, CAST(floor(value + 0.5) AS BIGINT) AS amount, strftime(ts, '%Y-%m-%d') AS day FROM events
 """)

@@ -130,6 +130,8 @@ def nest(levels: DataFrame, parent: str, child: str) -> DataFrame:
 
     The result stays flat; the path orders it and can be of any depth.
     """
+    # an edge back to the root hangs nothing
+    levels = levels.where(F.col(child) != F.col("root"))
     first = levels.groupBy("root", child).agg(F.min("level").alias("level"))
     hung = levels.join(first, ["root", child, "level"], "left_semi").groupBy("root", "level", child).agg(
         F.min(parent).alias(parent))

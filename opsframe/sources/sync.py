@@ -184,8 +184,9 @@ def write_partition(df: DataFrame, table: str, spec: str, mode: str = "overwrite
     text = ", ".join(f"{k}='" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for k, v in values.items())
     spark = df.sparkSession
     spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({text})")
-    full = df.withColumns({k: F.lit(v) for k, v in values.items()}).select(*spark.table(table).columns)
-    full.write.mode(mode).option("partitionOverwriteMode", "dynamic").insertInto(table)
+    columns = [c for c in spark.table(table).columns if c not in values]
+    verb = "OVERWRITE" if mode == "overwrite" else "INTO"
+    spark.sql(f"INSERT {verb} TABLE {table} PARTITION ({text}) SELECT * FROM {{rows}}", rows=df.select(*columns))
 
 
 def _publish(good: DataFrame, job: SyncJob) -> None:

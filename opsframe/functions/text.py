@@ -70,10 +70,12 @@ def properties(text: Column) -> Column:
 
 def _last_wins(pairs: Column) -> Column:
     """Array of (k, v) structs to a map without failing on repeated keys."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(
+    names = pairs.getField("k")
+    keys = F.array_distinct(names)
+    last = F.map_from_entries(F.transform(keys, lambda k: F.struct(
         k.alias("key"),
         F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"].alias("value"))))
+    return F.when(F.size(keys) == F.size(names), F.map_from_arrays(names, pairs.getField("v"))).otherwise(last)
 
 
 def split_outside(text: Column, delimiter: str) -> Column:

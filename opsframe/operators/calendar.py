@@ -26,116 +26,107 @@ _RULE_DDL = ("periodType STRING, beginHour INT, endHour INT, beginMin INT, endMi
              "hour INT, min INT, weekDay STRING, day STRING, beginDate STRING, endDate STRING, selfReliance STRING, "
              "maxRetryNum STRING, isLastInstance STRING, isExpire STRING")
 
-# a month rule on the 29th to 31st may be silent for up to two months
-_LOOK_BACK = {3: 7, 4: 62}
+# The rule as a struct. A minute rule steps by gapMin, an hour rule by gapHour; other rules have one slot a day.
+_RULE = """
+named_struct(
+  'period', p, 'first', CASE WHEN p < 2 THEN d.beginHour * 60 + d.beginMin ELSE d.hour * 60 + d.min END,
+  'gap', CASE p WHEN 0 THEN d.gapMin WHEN 1 THEN d.gapHour * 60 ELSE 1 END,
+  'slots', CASE p WHEN 0 THEN CAST(floor((d.endHour * 60 + d.endMin - d.beginHour * 60 - d.beginMin) / d.gapMin) AS INT)
+                  WHEN 1 THEN CAST(floor((d.endHour - d.beginHour) / d.gapHour) AS INT) ELSE 0 END,
+  'days', CASE WHEN p IN (3, 4) THEN array_sort(transform(split(if(p = 3, d.weekDay, d.day), ','),
+                                                          x -> try_cast(trim(x) AS INT))) END,
+  'begin_date', try_to_date(d.beginDate), 'end_date', try_to_date(d.endDate),
+  'self_reliance', CASE d.selfReliance WHEN 'true' THEN 1 WHEN 'false' THEN 0
+                   ELSE coalesce(try_cast(d.selfReliance AS INT), 0) END,
+  'max_retry', coalesce(try_cast(d.maxRetryNum AS INT), 0),
+  'is_last_instance', try_cast(d.isLastInstance AS BOOLEAN), 'is_expire', try_cast(d.isExpire AS INT))
+"""
+_RULE_ERROR = """
+CASE WHEN d IS NULL THEN 'not a JSON object' WHEN d.periodType IS NULL THEN 'periodType is missing'
+     WHEN p IS NULL OR NOT p BETWEEN 0 AND 4 THEN 'period type is not supported'
+     WHEN d.beginDate IS NULL THEN 'beginDate is missing' WHEN d.endDate IS NULL THEN 'endDate is missing'
+     WHEN p < 2 AND (d.beginHour IS NULL OR d.beginMin IS NULL OR d.endHour IS NULL
+                     OR coalesce(if(p = 0, d.gapMin, d.gapHour), 0) < 1 OR (p = 0 AND d.endMin IS NULL))
+     THEN 'range is incomplete'
+     WHEN p > 1 AND (d.hour IS NULL OR d.min IS NULL) THEN 'time of day is missing'
+     WHEN p = 3 AND d.weekDay IS NULL THEN 'weekDay is missing' WHEN p = 4 AND d.day IS NULL THEN 'day is missing' END
+"""
 
 
 def parse_rules(tasks: DataFrame, conf: str = "schedule_conf") -> DataFrame:
     """Adds ``rule`` (struct) and ``rule_error`` (null for a usable rule)."""
-    doc = F.from_json(F.col(conf), _RULE_DDL)
-    period = doc["periodType"].try_cast("int")
-    reliance = (
-        F.when(doc["selfReliance"] == "true", 1).when(doc["selfReliance"] == "false", 0)
-        .otherwise(F.coalesce(doc["selfReliance"].try_cast("int"), F.lit(0)))
-    )
-
-    def day_list(c: Column) -> Column:
-        return F.array_sort(F.transform(F.split(c, ","), lambda d: F.trim(d).try_cast("int")))
-
-    rule = F.struct(
-        period.alias("period"), doc["beginHour"].alias("begin_hour"), doc["endHour"].alias("end_hour"),
-        doc["beginMin"].alias("begin_min"), doc["endMin"].alias("end_min"),
-        F.when(period == 0, doc["gapMin"]).otherwise(doc["gapHour"] * 60).alias("gap"),
-        (doc["hour"] * 60 + doc["min"]).alias("at_minute"),
-        F.when(period == 3, day_list(doc["weekDay"])).when(period == 4, day_list(doc["day"])).alias("days"),
-        F.try_to_date(doc["beginDate"]).alias("begin_date"), F.try_to_date(doc["endDate"]).alias("end_date"),
-        reliance.alias("self_reliance"),
-        F.coalesce(doc["maxRetryNum"].try_cast("int"), F.lit(0)).alias("max_retry"),
-        (doc["isLastInstance"].try_cast("boolean")).alias("is_last_instance"),
-        doc["isExpire"].try_cast("int").alias("is_expire"))
-    sub_day = (doc["beginHour"].isNull() | doc["beginMin"].isNull() | doc["endHour"].isNull())
-    bad_gap = F.coalesce(F.when(period == 0, doc["gapMin"]).otherwise(doc["gapHour"]), F.lit(0)) < 1
-    error = (
-        F.when(doc.isNull(), "not a JSON object")
-        .when(doc["periodType"].isNull(), "periodType is missing")
-        .when(period.isNull() | ~period.between(0, 4), "period type is not supported")
-        .when(doc["beginDate"].isNull(), "beginDate is missing")
-        .when(doc["endDate"].isNull(), "endDate is missing")
-        .when((period < 2) & (sub_day | bad_gap | ((period == 0) & doc["endMin"].isNull())), "range is incomplete")
-        .when((period > 1) & (doc["hour"].isNull() | doc["min"].isNull()), "time of day is missing")
-        .when((period == 3) & doc["weekDay"].isNull(), "weekDay is missing")
-        .when((period == 4) & doc["day"].isNull(), "day is missing")
-    )
-    return tasks.withColumn("rule", rule).withColumn("rule_error", error)
-
-
-def _first_minute(r: Column) -> Column:
-    return F.when(r["period"] < 2, r["begin_hour"] * 60 + r["begin_min"]).otherwise(r["at_minute"])
-
-
-def _last_slot(r: Column) -> Column:
-    """Number of steps from the first to the last trigger of a day."""
-    span = F.when(r["period"] == 0, r["end_hour"] * 60 + r["end_min"] - r["begin_hour"] * 60 - r["begin_min"]) \
-        .otherwise((r["end_hour"] - r["begin_hour"]) * 60)
-    return F.when(r["period"] < 2, F.floor(span / r["gap"])).otherwise(F.lit(0)).cast("int")
-
-
-def _fires_on(r: Column, day: Column) -> Column:
-    return (
-        F.when(r["period"] == 3, F.array_contains(r["days"], F.weekday(day) + 1))
-        .when(r["period"] == 4, F.array_contains(r["days"], F.dayofmonth(day)))
-        .otherwise(F.lit(True))
-    )
-
-
-def minutes_of_day(r: Column, day: Column) -> Column:
-    """Sorted minutes of day at which the rule fires on ``day``."""
-    slots = F.when(
-        (r["period"] < 2) & (_last_slot(r) >= 0),
-        F.transform(F.sequence(F.lit(0), F.greatest(_last_slot(r), F.lit(0))),
-                    lambda i: _first_minute(r) + i * r["gap"])).when(r["period"] >= 2, F.array(_first_minute(r)))
-    empty = F.array().cast("array<int>")
-    return F.coalesce(F.when(_fires_on(r, day), slots), empty)
+    # exploding a one-element array keeps later filters from copying the JSON parser into themselves
+    once = tasks.select("*", F.explode(F.array(F.from_json(F.col(conf), _RULE_DDL))).alias("d"))
+    doc = once.withColumn("p", F.expr("try_cast(d.periodType AS INT)"))
+    checked = doc.withColumn("rule_error", F.expr(_RULE_ERROR))
+    # a rule with an error has no usable numbers to divide by
+    checked = checked.withColumn("rule", F.when(F.col("rule_error").isNull(), F.expr(_RULE)))
+    return checked.select(*tasks.columns, "rule", "rule_error")
 
 
 def _at(day: Column, minute: Column) -> Column:
     return day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))
 
 
-def last_trigger(r: Column, moment: Column) -> Column:
-    """The rule's last trigger at or before ``moment``, null when the look-back holds none."""
-    day = moment.cast("date")
-    minute = F.hour(moment) * 60 + F.minute(moment)
-    first, slots = _first_minute(r), _last_slot(r)
-    today = minute >= first
-    slot = F.least(F.floor((minute - first) / F.when(r["period"] < 2, r["gap"]).otherwise(1)).cast("int"), slots)
-    step = F.when(r["period"] < 2, r["gap"]).otherwise(F.lit(0))
-    daily = F.when(slots >= 0, F.when(today, _at(day, first + slot * step)).otherwise(
-        _at(F.date_sub(day, 1), first + slots * step)))
-    start = F.when(today, F.lit(0)).otherwise(F.lit(1))
-    back = F.when(r["period"] == 3, F.lit(_LOOK_BACK[3])).otherwise(F.lit(_LOOK_BACK[4]))
-    fired = F.filter(F.sequence(start, back), lambda i: F.coalesce(_fires_on(r, F.date_sub(day, i)), F.lit(False)))
-    listed = _at(F.date_sub(day, F.try_element_at(fired, F.lit(1))), first)
-    return F.when(r["period"] < 3, daily).otherwise(listed)
-
-
-def trigger_before(r: Column, moment: Column) -> Column:
+def minutes_of_day(rule: str, day: str) -> Column:
+    """Sorted minutes of day at which the rule fires on ``day`` (both are column names)."""
+    return F.expr(f"""
+CASE WHEN {rule}.slots < 0 OR ({rule}.period = 3 AND NOT array_contains({rule}.days, weekday({day}) + 1))
+       OR ({rule}.period = 4 AND NOT array_contains({rule}.days, dayofmonth({day}))) THEN CAST(array() AS ARRAY<INT>)
+     ELSE transform(sequence(0, {rule}.slots), i -> {rule}.first + i * {rule}.gap) END""")
+
+
+def last_trigger(rule: str, moment: str) -> Column:
+    """The rule's last trigger at or before ``moment`` (column name or SQL text).
+
+    Closed form: a slot number for minute, hour and day rules; for week and month
+    rules the largest listed day that is not later, in this or an earlier period.
+    No two months in a row lack the same day, so two steps back are enough.
+    """
+    r, day = rule, f"CAST({moment} AS DATE)"
+    minute = f"(hour({moment}) * 60 + minute({moment}))"
+    late = f"if({minute} >= {r}.first, 0, 1)"
+
+    def at(d: str, m: str) -> str:
+        return f"CAST({d} AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, {m}, 0)"
+
+    def listed(limit: str) -> str:
+        return f"array_max(filter({r}.days, x -> x <= {limit}))"
+
+    def in_month(back: int) -> str:
+        end = f"last_day(add_months({day}, -{back}))"
+        limit = f"dayofmonth({day}) - {late}" if back == 0 else f"dayofmonth({end})"
+        return f"date_add(trunc({end}, 'MM'), {listed(limit)} - 1)"
+
+    weekday = f"(weekday({day}) + 1)"
+    week = (f"date_add({day}, coalesce({listed(f'{weekday} - {late}')}, array_max({r}.days) - 7) - {weekday})")
+    month = f"coalesce({in_month(0)}, {in_month(1)}, {in_month(2)})"
+    slot = f"least(({minute} - {r}.first) DIV {r}.gap, {r}.slots)"
+    daily = at(f"date_sub({day}, {late})",
+               f"CAST({r}.first + {r}.gap * if({late} = 0, {slot}, {r}.slots) AS INT)")
+    return F.expr(f"CASE WHEN {r}.slots < 0 THEN NULL WHEN {r}.period < 3 THEN {daily} "
+                  f"WHEN {r}.period = 3 THEN {at(week, f'{r}.first')} ELSE {at(month, f'{r}.first')} END")
+
+
+def trigger_before(rule: str, moment: str) -> Column:
     """The rule's last trigger strictly before ``moment``."""
-    return last_trigger(r, moment - F.make_dt_interval(secs=F.lit(0.001).cast("decimal(18,6)")))
+    return last_trigger(rule, f"({moment} - INTERVAL '0.001' SECOND)")
 
 
 def expand(tasks: DataFrame, first: dt.date, last: dt.date, normal: bool = True) -> DataFrame:
     """All triggers of parsed tasks in a range of days: ``trigger`` and the following one (minute and hour rules).
 
-    Rows multiply inside each task row; there is no shuffle.
+    A task row becomes up to 1440 rows per day. So the task rows, and not their
+    triggers, are shuffled once to spread them over all cores; the rest is narrow.
     """
     r = F.col("rule")
-    rows = tasks.where(F.col("rule_error").isNull()).withColumn(
+    cores = tasks.sparkSession.sparkContext.defaultParallelism
+    rows = tasks.where(F.col("rule_error").isNull()).repartition(cores, "task_id").withColumn(
         "_day", F.explode(F.sequence(F.lit(first), F.lit(last))))
     if normal:
         # a rule is off when it begins after, or ended before, the midnight of the day
         rows = rows.where((r["begin_date"] <= F.col("_day")) & (F.col("_day") <= r["end_date"]))
-    rows = rows.withColumn("_slots", minutes_of_day(r, F.col("_day")))
+    rows = rows.withColumn("_slots", minutes_of_day("rule", "_day"))
     rows = rows.select("*", F.posexplode("_slots").alias("_pos", "_minute"))
     following = F.when(F.col("_pos") + 1 < F.size("_slots"),
                        _at(F.col("_day"), F.try_element_at("_slots", F.col("_pos") + 2))).otherwise(
@@ -227,7 +218,7 @@ def previous_trigger(instances: DataFrame, tasks: DataFrame) -> DataFrame:
     """Adds ``prev_ts``, the trigger of the same rule before each instance, whether or not it has an instance."""
     rules = parse_rules(tasks).where(F.col("rule_error").isNull()).select("task_id", "rule")
     return instances.join(rules, "task_id", "inner").withColumn(
-        "prev_ts", trigger_before(F.col("rule"), F.col("cyc_ts"))).drop("rule")
+        "prev_ts", trigger_before("rule", "cyc_ts")).drop("rule")
 
 
 def align_parent(children: DataFrame, edges: DataFrame, tasks: DataFrame, prefix: Column | None = None) -> DataFrame:
@@ -236,15 +227,17 @@ def align_parent(children: DataFrame, edges: DataFrame, tasks: DataFrame, prefix
     A day parent under a day child is always the one of the same day. Parent id
     -1 and parents without a usable rule give no row.
     """
-    parents = parse_rules(tasks.where("is_deleted = 0")).where(F.col("rule_error").isNull()).select(
+    # a rule that fires at all has a last trigger, so nothing needs to be filtered after the joins
+    parents = parse_rules(tasks.where("is_deleted = 0")).where(
+        F.expr("rule_error IS NULL AND rule.slots >= 0 AND (rule.period < 3 OR array_max(rule.days) IS NOT NULL)")).select(
         F.col("task_id").alias("parent_task_id"), F.col("id").alias("_parent_shade"), F.col("rule").alias("_rule"))
     links = edges.where(F.col("parent_task_id") != -1).select("task_id", "parent_task_id").join(
         parents, "parent_task_id", "inner")
     r, at = F.col("_rule"), F.col("cyc_ts")
     same_day = (r["period"] == dims.PERIOD["DAY"]) & (F.col("period_type") == dims.PERIOD["DAY"])
-    aligned = F.when(same_day, _at(at.cast("date"), _first_minute(r))).otherwise(last_trigger(r, at))
+    aligned = F.when(same_day, _at(at.cast("date"), r["first"])).otherwise(last_trigger("_rule", "cyc_ts"))
     rows = children.select("job_key", "task_id", "cyc_ts", "period_type").join(links, "task_id", "inner").withColumn(
-        "parent_ts", aligned).where(F.col("parent_ts").isNotNull())
+        "parent_ts", aligned)
     key = job_key(prefix if prefix is not None else F.lit(CRON_PREFIX), F.col("_parent_shade"),
                   F.date_format("parent_ts", STAMP))
     return rows.select("job_key", "task_id", "cyc_ts", "parent_task_id", "parent_ts", key.alias("parent_job_key"))

@@ -23,7 +23,7 @@ from opsframe.plans.storage import materialise, write_step
 
 LEVEL_CAP = 20
 BROADCAST_EDGES = 500_000
-_SMALL_HOPS = 8
+_SMALL_HOPS = 16
 
 
 def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | None = None,
@@ -50,6 +50,10 @@ def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | N
     while count and (levels is None or done < levels):
         width = hops if levels is None else min(hops, levels - done)
         step = spark.read.schema(schema).parquet(paths[-1])
+        if width > 1:
+            # a root reaches no more nodes than there are edges, few here; kept together
+            # by root, its hops and their duplicates need no further shuffle
+            step = step.repartition("root")
         for _ in range(width):
             met = step.join(links, F.col("node") == F.col("_src"), "inner" if width == 1 else "left")
             onward = F.struct((F.col("level") + 1).alias("level"), F.col("_dst").alias("node"))

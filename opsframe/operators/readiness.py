@@ -11,7 +11,7 @@ from opsframe import dims
 from opsframe.operators.calendar import CRON_PREFIX, parse_rules, trigger_before
 from opsframe.functions.keys import job_key
 from opsframe.functions.params import STAMP
-from opsframe.plans.ordered import carried
+from opsframe.plans.ordered import carried, find_hot
 
 R = dims.READINESS
 PAUSED_TASK, PAUSED_PROJECT = 2, 1
@@ -134,7 +134,7 @@ def child_period_check(pending: DataFrame, jobs: DataFrame, edges: DataFrame, ta
     rules = parse_rules(tasks.where("is_deleted = 0")).where(F.col("rule_error").isNull()).select(
         F.col("task_id").alias("_ctask"), F.col("id").alias("_shade"), "rule")
     before = earliest.join(rules, "_ctask", "inner").withColumn(
-        "_prev", trigger_before(F.col("rule"), F.col("_cts"))).select(
+        "_prev", trigger_before("rule", "_cts")).select(
         "parent_job_key",
         job_key(F.lit(CRON_PREFIX), F.col("_shade"), F.date_format("_prev", STAMP)).alias("job_key"))
     seen = before.join(facts.select("job_key", "_cstatus"), "job_key", "inner")
@@ -143,8 +143,10 @@ def child_period_check(pending: DataFrame, jobs: DataFrame, edges: DataFrame, ta
     has = links.select(F.col("parent_job_key").alias("job_key")).distinct().withColumn("_has", F.lit(True))
     of_tasks = jobs.join(empty.select("task_id").distinct(), "task_id", "left_semi").select(
         "job_key", "task_id", "type", "cyc_ts", "id").join(has, "job_key", "left")
+    # counted on the bare instance table: a superset of these rows that costs one narrow scan
+    hot = find_hot(jobs.select("task_id", "type", "cyc_ts"), ["task_id", "type"], "cyc_ts", limit)
     walked = carried(of_tasks, ["task_id", "type"], ["cyc_ts", "id"],
-                     F.when(F.col("_has"), F.col("job_key")), "_earlier", current=False, limit=limit)
+                     F.when(F.col("_has"), F.col("job_key")), "_earlier", current=False, hot=hot)
     back = walked.where(F.col("_earlier").isNotNull()).join(empty.select("job_key"), "job_key", "left_semi").select(
         F.col("job_key").alias("_for"), F.col("_earlier").alias("parent_job_key"))
     found = back.join(children.select("parent_job_key", "job_key", "_cstatus"), "parent_job_key", "inner").select(

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,13 +47,31 @@ def _locate(value: Column, bounds: Sequence[float]) -> Column:
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inner)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], by: str, limit: int | None = None) -> DataFrame | None:
-    """``df`` with a ``_piece`` column (0 = ordinary key, else 1.. along ``by``), or None if no key is hot.
+@dataclass(frozen=True)
+class HotKeys:
+    """The keys above the limit, at most MAX_HOT_KEYS rows, and the borders of their pieces along the order."""
 
-    At most MAX_HOT_KEYS keys come back to the driver; any key left out holds
-    less than 1/MAX_HOT_KEYS of the rows.
+    keys: tuple[str, ...]
+    marks: DataFrame
+    bounds: tuple[float, ...]
+
+    def split(self, df: DataFrame, by: str) -> DataFrame:
+        """Adds ``_piece``: 0 for ordinary keys, 1.. along ``by`` for hot ones."""
+        same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in self.keys]
+        # at most MAX_HOT_KEYS rows, so the broadcast is bounded whatever the data size
+        marked = df.join(F.broadcast(self.marks), same, "left").drop(*[f"_h_{k}" for k in self.keys])
+        piece = _locate(_numeric(df, by), self.bounds) + 1 if self.bounds else F.lit(1)
+        return marked.withColumn(
+            PIECE, F.when(F.col("_hot"), F.coalesce(piece, F.lit(0))).otherwise(0)).drop("_hot")
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], by: str, limit: int | None = None) -> HotKeys | None:
+    """Keys with more rows than ``limit``, or None.
+
+    ``df`` may be any cheap superset of the rows to be split, such as the bare
+    scan they come from. Any key left out holds less than 1/MAX_HOT_KEYS of it.
     """
-    keys = list(keys)
+    keys = tuple(keys)
     limit = _limit(df, limit)
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
@@ -63,16 +82,19 @@ def split_hot(df: DataFrame, keys: Sequence[str], by: str, limit: int | None = N
         return None
     marks = df.sparkSession.createDataFrame(rows, hot.schema).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    # at most MAX_HOT_KEYS rows, so the broadcast is bounded whatever the data size
-    marked = df.join(F.broadcast(marks), same, "left").drop(*[f"_h_{k}" for k in keys])
     pieces = min(MAX_PIECES, max(2, math.ceil(max(r["_n"] for r in rows) / limit)))
     probs = [i / pieces for i in range(1, pieces)]
-    order = _numeric(df, by)
-    bounds = sorted(set(
-        marked.where("_hot").select(order.alias("_v")).approxQuantile("_v", probs, 0.25 / pieces)))
-    piece = _locate(order, bounds) + 1 if bounds else F.lit(1)
-    return marked.withColumn(PIECE, F.when(F.col("_hot"), F.coalesce(piece, F.lit(0))).otherwise(0)).drop("_hot")
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    values = df.join(F.broadcast(marks), same, "left_semi").select(_numeric(df, by).alias("_v"))
+    bounds = sorted(set(values.approxQuantile("_v", probs, 0.25 / pieces)))
+    return HotKeys(keys, marks, tuple(bounds))
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], by: str, limit: int | None = None,
+              hot: HotKeys | None | str = "find") -> DataFrame | None:
+    """``df`` with its ``_piece`` column, or None if no key is hot. ``hot`` reuses an earlier search."""
+    found = find_hot(df, keys, by, limit) if hot == "find" else hot
+    return None if found is None else found.split(df, by)
 
 
 def _orders(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -89,10 +111,11 @@ def _attach(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
-             descending: bool = False, limit: int | None = None) -> DataFrame:
+             descending: bool = False, limit: int | None = None,
+             hot: HotKeys | None | str = "find") -> DataFrame:
     """Position of each row in its key, from 1. ``order`` must be unique per key; its first column cuts pieces."""
     keys = list(keys)
-    split = split_hot(df, keys, order[0], limit)
+    split = split_hot(df, keys, order[0], limit, hot)
     if split is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*_orders(order, descending))))
     inside = Window.partitionBy(*keys, PIECE).orderBy(*_orders(order, descending))
@@ -105,12 +128,13 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
-              name: str, following: bool = False, limit: int | None = None) -> DataFrame:
+              name: str, following: bool = False, limit: int | None = None,
+              hot: HotKeys | None | str = "find") -> DataFrame:
     """Adds ``name``: a struct of ``values`` from the previous (or following) row of the key, null at the end."""
     keys = list(keys)
     what = F.struct(*values)
     step = F.lead if following else F.lag
-    split = split_hot(df, keys, order[0], limit)
+    split = split_hot(df, keys, order[0], limit, hot)
     if split is None:
         return df.withColumn(name, step(what).over(Window.partitionBy(*keys).orderBy(*_orders(order))))
     inside = Window.partitionBy(*keys, PIECE).orderBy(*_orders(order))
@@ -126,12 +150,12 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
 
 
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
-            current: bool = True, limit: int | None = None) -> DataFrame:
+            current: bool = True, limit: int | None = None, hot: HotKeys | None | str = "find") -> DataFrame:
     """Adds ``name``: the last non-null ``value`` at (``current``) or strictly before each row of the key."""
     keys = list(keys)
     end = 0 if current else -1
     df = df.withColumn("_value", value)
-    split = split_hot(df, keys, order[0], limit)
+    split = split_hot(df, keys, order[0], limit, hot)
     if split is None:
         run = Window.partitionBy(*keys).orderBy(*_orders(order)).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(name, F.last("_value", ignorenulls=True).over(run)).drop("_value")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from opsframe import dims
 from opsframe.functions.params import render
 from opsframe.operators.jobs import expire_checkpoints
-from opsframe.plans.ordered import carried, neighbour, numbered
+from opsframe.plans.ordered import carried, find_hot, neighbour, numbered
 
 STREAM, BATCH = 0, 1
 NOT_FOUND, FAILED = dims.STATUS["NOTFOUND"], dims.STATUS["FAILED"]
@@ -56,10 +56,11 @@ def current_status(reports: DataFrame) -> DataFrame:
 def _runs(reports: DataFrame, limit: int | None = None) -> DataFrame:
     """Reports with their place in the job and the place and time at which their NOTFOUND run began."""
     keys, order = ["job_id"], ["ts", "event_id"]
-    rows = numbered(reports, keys, order, "_rn", limit=limit)
-    rows = neighbour(rows, keys, order, ["status"], "_prev", limit=limit)
+    hot = find_hot(reports, keys, "ts", limit)
+    rows = numbered(reports, keys, order, "_rn", hot=hot)
+    rows = neighbour(rows, keys, order, ["status"], "_prev", hot=hot)
     begins = (F.col("status") == NOT_FOUND) & (F.col("_prev").isNull() | (F.col("_prev.status") != NOT_FOUND))
-    return carried(rows, keys, order, F.when(begins, F.struct("_rn", "ts")), "_start", limit=limit)
+    return carried(rows, keys, order, F.when(begins, F.struct("_rn", "ts")), "_start", hot=hot)
 
 
 def debounce_not_found(reports: DataFrame, n: int = 300, span_s: float = 180, limit: int | None = None) -> DataFrame:
@@ -269,9 +270,10 @@ def _sessions(rows: DataFrame, gap: str, by: tuple[str, ...], ts: str, limit: in
     one = rows.select(F.col(ts).alias("_at"), *by, F.lit(0).alias("_one"))
     keys = [*by, "_one"]
     pace = F.expr(f"INTERVAL {gap}")
-    marked = neighbour(one, keys, ["_at"], ["_at"], "_prev", limit=limit)
+    hot = find_hot(one, keys, "_at", limit)
+    marked = neighbour(one, keys, ["_at"], ["_at"], "_prev", hot=hot)
     begins = F.col("_prev").isNull() | (F.col("_at") >= F.col("_prev._at") + pace)
-    placed = carried(marked, keys, ["_at"], F.when(begins, F.col("_at")), "start", limit=limit)
+    placed = carried(marked, keys, ["_at"], F.when(begins, F.col("_at")), "start", hot=hot)
     return placed.groupBy("start", *by).agg(
         F.count(F.lit(1)).alias("cnt"), F.max("_at").alias("_last")).select(
         "start", (F.col("_last") + pace).alias("end"), *by, "cnt")

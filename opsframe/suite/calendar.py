@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from opsframe.operators import calendar, filters, readiness
+from opsframe.plans.storage import materialise
 from opsframe.suite import query
 
 DAY = dt.date(1998, 3, 15)  # a Sunday and a fifteenth: every period type fires
@@ -290,10 +291,12 @@ _WORST = "CASE min(r) WHEN 102 THEN 0 WHEN 101 THEN 2 ELSE min(r) END"
 
 
 def keyed(f):
+    """Instance edges by key. They are a stored table in real life, so they are written once here."""
     runs = f.job_runs
-    return f.job_edges.join(runs.select("job_id", "job_key"), "job_id").join(
+    edges = f.job_edges.join(runs.select("job_id", "job_key"), "job_id").join(
         runs.select(F.col("job_id").alias("parent_job_id"), F.col("job_key").alias("parent_job_key")),
         "parent_job_id").select("job_key", "parent_job_key")
+    return materialise(edges, "keyed")[0]
 
 
 @query("g18_edge_outcomes", f"""

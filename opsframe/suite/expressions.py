@@ -105,7 +105,8 @@ SELECT id, concat('insert into t', task_id % 10, ' select ', {_fmt('cyc_ts - INT
 def _(f):
     runs = f.job_runs.withColumn("script", F.concat(
         F.lit("insert into t"), (F.col("task_id") % 10).cast("string"), F.lit(" select ${day}, ${tag}, ${other}")))
-    values = F.create_map(F.lit("day"), params.sys_param("yyyyMMdd-1", F.col("cyc_time")), F.lit("tag"),
+    runs = params.add_params(runs, {"day": (params.SYSTEM, "yyyyMMdd-1")}, F.col("cyc_time"), F.lit(NOW))
+    values = F.create_map(F.lit("day"), F.col("day"), F.lit("tag"),
                           F.concat(F.lit("x"), F.col("fill_id").cast("string")))
     return runs.select("id", params.render(F.col("script"), values).alias("rendered"))
 

@@ -58,9 +58,8 @@ def test_last_and_previous_trigger(spark, tasks):
     moments += [t for d in (dt.date(2024, 3, 1), dt.date(2024, 3, 5)) for r in RULES for t in brute(r, d)]
     rows = calendar.parse_rules(tasks).crossJoin(
         spark.createDataFrame([(m,) for m in moments], "m timestamp_ntz"))
-    r = F.col("rule")
-    out = rows.select("task_id", "m", calendar.last_trigger(r, F.col("m")).alias("at"),
-                      calendar.trigger_before(r, F.col("m")).alias("before")).collect()
+    out = rows.select("task_id", "m", calendar.last_trigger("rule", "m").alias("at"),
+                      calendar.trigger_before("rule", "m").alias("before")).collect()
     every = {i: [t for k in range(100, -20, -1) for t in brute(rule, dt.date(2024, 3, 1) - dt.timedelta(days=k))]
              for i, rule in enumerate(RULES)}
     for row in out:

@@ -268,10 +268,10 @@ def _(f):
     seen = f.part.select(F.col("p_size").alias("source_id"), F.col("p_type").alias("db_name"),
                          F.when(F.col("p_partkey") % 2 == 0, "").alias("schema_name"),
                          F.col("p_brand").alias("table_name"))
-    first = seen.where("source_id < 10")
-    empty = first.select("source_id", "db_name", F.col("db_name").alias("schema_name"), "table_name",
-                         F.lit("").alias("table_key")).where("source_id < 0")
-    return tables.register_datasets(tables.register_datasets(empty, first), seen)
+    known = seen.where("source_id < 10").select(
+        "source_id", "db_name", F.col("db_name").alias("schema_name"), "table_name",
+        F.concat(F.col("source_id").cast("string"), "db_name", "table_name").alias("table_key"))
+    return tables.register_datasets(known.dropDuplicates(["table_key"]), seen)
 
 
 @query("f09_replace_edges", """

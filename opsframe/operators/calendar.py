@@ -31,8 +31,10 @@ _RULE = """
 named_struct(
   'period', p, 'first', CASE WHEN p < 2 THEN d.beginHour * 60 + d.beginMin ELSE d.hour * 60 + d.min END,
   'gap', CASE p WHEN 0 THEN d.gapMin WHEN 1 THEN d.gapHour * 60 ELSE 1 END,
-  'slots', CASE p WHEN 0 THEN CAST(floor((d.endHour * 60 + d.endMin - d.beginHour * 60 - d.beginMin) / d.gapMin) AS INT)
-                  WHEN 1 THEN CAST(floor((d.endHour - d.beginHour) / d.gapHour) AS INT) ELSE 0 END,
+  'slots', CASE WHEN p = 0 AND d.gapMin > 0
+                THEN CAST(floor((d.endHour * 60 + d.endMin - d.beginHour * 60 - d.beginMin) / d.gapMin) AS INT)
+                WHEN p = 1 AND d.gapHour > 0 THEN CAST(floor((d.endHour - d.beginHour) / d.gapHour) AS INT)
+                WHEN p > 1 THEN 0 END,
   'days', CASE WHEN p IN (3, 4) THEN array_sort(transform(split(if(p = 3, d.weekDay, d.day), ','),
                                                           x -> try_cast(trim(x) AS INT))) END,
   'begin_date', try_to_date(d.beginDate), 'end_date', try_to_date(d.endDate),
@@ -58,9 +60,7 @@ def parse_rules(tasks: DataFrame, conf: str = "schedule_conf") -> DataFrame:
     # exploding a one-element array keeps later filters from copying the JSON parser into themselves
     once = tasks.select("*", F.explode(F.array(F.from_json(F.col(conf), _RULE_DDL))).alias("d"))
     doc = once.withColumn("p", F.expr("try_cast(d.periodType AS INT)"))
-    checked = doc.withColumn("rule_error", F.expr(_RULE_ERROR))
-    # a rule with an error has no usable numbers to divide by
-    checked = checked.withColumn("rule", F.when(F.col("rule_error").isNull(), F.expr(_RULE)))
+    checked = doc.withColumn("rule_error", F.expr(_RULE_ERROR)).withColumn("rule", F.expr(_RULE))
     return checked.select(*tasks.columns, "rule", "rule_error")
 
 

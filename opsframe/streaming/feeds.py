@@ -11,7 +11,6 @@ import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,13 +112,9 @@ def debounce_sink(path: str, n: int = 300, span_s: float = 180, limit: int | Non
 
 def _read_open(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """Open runs after the batch before ``batch_id``; none before the first."""
-    try:
-        return spark.read.schema(_OPEN).parquet(f"{path}/open").where(
-            F.col("batch") == batch_id - 1).drop("batch")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if batch_id == 0:
         return spark.createDataFrame([], "job_id long, count long, start timestamp")
+    return spark.read.schema(_OPEN).parquet(f"{path}/open").where(F.col("batch") == batch_id - 1).drop("batch")
 
 
 # --- J3, J4 --------------------------------------------------------------------------------------
@@ -158,7 +153,8 @@ def retention_sink(path: str, n: int):
                             F.lit(0).alias("is_deleted"))
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         touched = rows.select("task_engine_id").distinct()
-        live = read_retained(spark, path).join(touched, "task_engine_id", "left_semi")
+        known = rows if batch_id == 0 else read_retained(spark, path)
+        live = known.join(touched, "task_engine_id", "left_semi")
         gone = expire_checkpoints(live, n).where("is_deleted = 1").select("task_engine_id", "checkpoint_id")
         gone.write.mode("overwrite").parquet(f"{path}/gone/batch={batch_id}")
     return write
@@ -169,15 +165,10 @@ _GONE = "task_engine_id string, checkpoint_id long, batch long"
 
 
 def read_retained(spark: SparkSession, path: str) -> DataFrame:
-    """Checkpoints of a retention sink that are still kept."""
+    """Checkpoints of a retention sink, after at least one batch, that are still kept."""
     rows = spark.read.schema(_ROWS).parquet(f"{path}/rows").drop("batch").dropDuplicates(
         ["task_engine_id", "checkpoint_id"])
-    try:
-        gone = spark.read.schema(_GONE).parquet(f"{path}/gone").select("task_engine_id", "checkpoint_id")
-    except AnalysisException as e:  # nothing was noted before the first batch
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return rows
+    gone = spark.read.schema(_GONE).parquet(f"{path}/gone").select("task_engine_id", "checkpoint_id")
     return rows.join(gone, ["task_engine_id", "checkpoint_id"], "left_anti")
 
 

@@ -153,7 +153,7 @@ def retention_sink(path: str, n: int):
                             F.lit(0).alias("is_deleted"))
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         touched = rows.select("task_engine_id").distinct()
-        known = rows if batch_id == 0 else read_retained(spark, path)
+        known = rows if batch_id == 0 else read_retained(spark, path, batch_id)
         live = known.join(touched, "task_engine_id", "left_semi")
         gone = expire_checkpoints(live, n).where("is_deleted = 1").select("task_engine_id", "checkpoint_id")
         gone.write.mode("overwrite").parquet(f"{path}/gone/batch={batch_id}")
@@ -164,11 +164,17 @@ _ROWS = "task_id long, task_engine_id string, checkpoint_id long, checkpoint_sav
 _GONE = "task_engine_id string, checkpoint_id long, batch long"
 
 
-def read_retained(spark: SparkSession, path: str) -> DataFrame:
-    """Checkpoints of a retention sink, after at least one batch, that are still kept."""
-    rows = spark.read.schema(_ROWS).parquet(f"{path}/rows").drop("batch").dropDuplicates(
-        ["task_engine_id", "checkpoint_id"])
-    gone = spark.read.schema(_GONE).parquet(f"{path}/gone").select("task_engine_id", "checkpoint_id")
+def read_retained(spark: SparkSession, path: str, during: int | None = None) -> DataFrame:
+    """Checkpoints of a retention sink, after at least one batch, that are still kept.
+
+    ``during`` gives the view inside that batch: its rows are in, its notes are not.
+    """
+    rows = spark.read.schema(_ROWS).parquet(f"{path}/rows")
+    gone = spark.read.schema(_GONE).parquet(f"{path}/gone")
+    if during is not None:
+        rows, gone = rows.where(F.col("batch") <= during), gone.where(F.col("batch") < during)
+    rows = rows.drop("batch").dropDuplicates(["task_engine_id", "checkpoint_id"])
+    gone = gone.select("task_engine_id", "checkpoint_id")
     return rows.join(gone, ["task_engine_id", "checkpoint_id"], "left_anti")
 
 

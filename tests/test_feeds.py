@@ -61,6 +61,13 @@ def test_retention_over_batches(spark, tmp_path):
     _files(spark, df, str(tmp_path / "in"), 6)
     out = str(tmp_path / "out")
     feeds.run_to_files(_stream(spark, df, str(tmp_path / "in")), out, str(tmp_path / "cp"), sink=feeds.retention_sink(out, 5))
+    # a repeated last batch changes nothing
+    before = _rows(feeds.read_retained(spark, out))
+    last = spark.read.parquet(f"{out}/rows")
+    number = last.agg(F.max("batch")).first()[0]
+    again = spark.createDataFrame(last.where(F.col("batch") == number).drop("batch").collect(), last.drop("batch").schema)
+    feeds.retention_sink(out, 5)(again, number)
+    assert _rows(feeds.read_retained(spark, out)) == before
     kept = {}
     for r in feeds.read_retained(spark, out).collect():
         kept.setdefault(r["task_engine_id"], []).append(r["checkpoint_id"])

@@ -48,8 +48,8 @@ def test_nest_paths(spark, edges):
 
 SQL = {
     "insert into test select * from test1": {("dev.test1", "dev.test")},
-    "create table chener (id int)": set(),
-    "create table chener as select * from chener1": {("dev.chener1", "dev.chener")},
+    "create table target (id int)": set(),
+    "create table target as select * from target1": {("dev.target1", "dev.target")},
     "WITH c AS (SELECT * FROM a.x), d AS (SELECT * FROM c) INSERT OVERWRITE TABLE `b`.`y` SELECT * FROM d JOIN z ON 1=1":
         {("a.x", "b.y"), ("dev.z", "b.y")},
     "INSERT INTO t SELECT 'from fake; insert into no' FROM r1 q, r2 AS w, r3 -- from hidden\n WHERE 1=1":

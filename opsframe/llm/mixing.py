@@ -10,11 +10,9 @@ last two fractions are the landing problem.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +27,17 @@ GROUP = 20_000
 EDGE = 1e-9
 
 
-def count_words(text: str = "text"):
+def count_words(text: str = "text") -> Column:
     """``[^\\x20\\x09-\\x0D]+`` counted; null has none."""
     return F.expr(f"cast(coalesce(regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+'), 0) as long)")
 
 
+def row_digest(*columns: str) -> Column:
+    """A digest of the columns, equal for equal values only; null differs from empty."""
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in columns]
+    return F.unhex(F.sha2(F.concat_ws("\1", *parts), 256))
+
+
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], most: float) -> dict[str | None, float]:
     """Targets of the sources: shares of all sizes by weight, none above ``most`` times its size.
 
@@ -155,10 +159,9 @@ def mix(
     however large its source.
     """
     spark = docs.sparkSession
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_col, source_col, text_col)]
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.unhex(F.sha2(F.concat_ws("\1", *parts), 256)).alias("row"), count_words(f"`{text_col}`").alias("size"),
+        row_digest(id_col, source_col, text_col).alias("row"), count_words(f"`{text_col}`").alias("size"),
     )
     sized, _ = materialise(sized, "sizes")
     stats = [(r.source, r.n, r.size) for r in sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()]
@@ -199,6 +202,19 @@ def mix(
     return both.withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies`` and ``taken`` (copies times words)."""
+    key = row_digest(id_col, source_col, text_col)
+    shares = mix(docs, id_col, text_col, source_col).groupBy("row").agg(
+        F.count(F.lit(1)).alias("same"), F.min("copies").alias("low"), F.sum("copies").alias("all"), F.first("size").alias("words"))
+    wanted = docs.withColumn("row", key).join(shares.where("`all` > 0"), "row")
+    one = wanted.where("same = 1").withColumn("copies", F.col("all"))
+    more = wanted.where("same > 1").withColumn("copies", F.expr(
+        "low + case when row_number() over (partition by row order by same) <= `all` - low * same then 1 else 0 end"))
+    out = one.unionByName(more.where("copies > 0")).withColumn("taken", F.col("copies") * F.col("words"))
+    return out.select(*docs.columns, "copies", "taken")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source with weights 5, 2, 1."""
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")

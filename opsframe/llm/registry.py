@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from opsframe.llm.mixing import op3_mixing
 from opsframe.llm.simhash import op8_simhash
+from opsframe.llm.suffix_dedup import op7_suffix_dedup
 from opsframe.llm.token_count import op4_token_counts
 from opsframe.llm.url_filter import ORACLE as URL_ORACLE
 from opsframe.llm.url_filter import op9_url_filter
@@ -11,6 +12,7 @@ from opsframe.llm.url_filter import op9_url_filter
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
 }

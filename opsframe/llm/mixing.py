@@ -23,7 +23,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: A source's target is at most so many times its size.
 MOST = 3.0
 #: Documents that one group of the first round holds on average, and leftovers in one of the later rounds.
-GROUP = 20_000
+GROUP = 2_000
 EDGE = 1e-9
 
 

@@ -7,7 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.plans.storage import materialise, scratch_dir, write_step
+from opsframe.plans import storage
+from opsframe.plans.storage import scratch_dir
+
+#: Spark's setting that removes a query's shuffle files once it has ended; a written step doesn't need them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_step(df: DataFrame, name: str) -> tuple[str, int]:
+    """Writes ``df`` under the scratch folder and lets its shuffle files go; returns the path and the row count."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return storage.write_step(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def materialise(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written and read back, with its row count."""
+    path, count = write_step(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), count
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:

@@ -6,8 +6,9 @@ shows in the sorted order of suffixes: it does if a neighbour shares ``width`` b
 1. Each text is cut into stretches of starts that share one anchor: the smallest hash among the ``ANCHOR``-byte strings
    within the start's ``width`` bytes. The anchor depends on those bytes only, so equal strings have equal anchors, and
    starts whose anchor occurs once in the corpus are settled. So are equal stretches: they are counted, not sorted.
-2. The stretches that differ but share an anchor yield the suffixes to sort. A task sorts those of a run, drops equal ones,
-   cuts the run at common splitters and front-codes each piece: the length shared with the suffix before, and the rest.
+2. The stretches that differ but share an anchor yield the suffixes to sort. A task sorts runs of them; anchor classes that
+   lie in one run are settled by it, since equal strings never have different anchors. The distinct suffixes of classes that
+   span runs are cut at common splitters and exchanged front-coded: the length shared with the suffix before, and the rest.
 3. The pieces of one range meet in a task, and a loser tree merges them. Every competitor carries the length it shares with the
    last winner. Different lengths decide without looking at a byte; equal lengths compare from there on.
 4. Suffixes that repeat go back to their stretches, those to their texts, whose covered bytes are removed.
@@ -26,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import materialise, read, tasks
+from opsframe.llm.common import drop_step, materialise, read, write_step
 
 WIDTH = 200
 #: Bytes of an anchor; a start chooses among WIDTH - ANCHOR + 1 of them.
-ANCHOR = 64
+ANCHOR = 40
 #: Bytes hashed at once; a longer text goes in overlapping stretches.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Suffixes of a sorted run, and of a range on average.
-RUN, RANGE = 100_000, 400_000
+RUN, RANGE = 60_000, 400_000
 #: Stretches drawn for the splitters, at most.
 SPLITTER_SAMPLE = 20_000
 
@@ -282,68 +283,61 @@ def cut_points(rows: np.ndarray, splitters: list[bytes]) -> list[int]:
     return [0, *out, n]
 
 
-_RUN = "run long, idx int, h long, c long, bytes binary"
-_PIECE = "part int, run long, shared binary, rest binary, ids binary"
+_OPEN = "h long, c long, kinds long, bytes binary"
+_PIECE = "part int, run long, h binary, c binary, shared binary, rest binary, ids binary"
 
 
 def _contested(open_: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The bytes of one copy of each open stretch, numbered within runs of at most RUN starts."""
-    wanted = open_.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e", "h", "c")).alias("cuts"))
-    held = docs.join(wanted, (docs.doc_id.eqNullSafe(wanted.doc_id)) & (docs.crc == wanted.crc)).select("t", "cuts")
+    """The bytes of one copy of each open stretch."""
+    wanted = open_.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e", "h", "c", "kinds")).alias("cuts"))
+    wanted = wanted.withColumnsRenamed({"doc_id": "d", "crc": "k"})
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k"))).select("t", "cuts")
+    cut = held.select("t", F.explode("cuts").alias("x"))
+    return cut.select("x.h", "x.c", "x.kinds", F.expr(f"substring(t, cast(x.s + 1 as int), cast(x.e - x.s + {width} as int))").alias("bytes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, starts, rows = TaskContext.get().partitionId() << 32, 0, []
 
-        def packed() -> pa.RecordBatch:
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(cols[0], pa.int64()),
-                 pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["run", "idx", "h", "c", "bytes"])
+def _sorted_runs(rows: DataFrame, splitters: list[bytes], width: int, run_size: int) -> DataFrame:
+    """Sorted runs, as rows of ``_PIECE``.
 
-        for b in batches:
-            for t, cuts in zip(b.column("t"), b.column("cuts")):
-                text = t.as_py()
-                for x in cuts.as_py():
-                    rows.append((x["h"], x["c"], text[x["s"] : x["e"] + width]))
-                    starts += x["e"] - x["s"] + 1
-                    if starts >= RUN:
-                        yield packed()
-                        number, starts, rows = number + 1, 0, []
-        if rows:
-            yield packed()
-
-    return held.mapInArrow(run, _RUN)
-
-
-def _sorted_pieces(rows: DataFrame, splitters: list[bytes], width: int) -> DataFrame:
-    """Each run sorted, cut at the splitters and front-coded; part -1 has the starts found equal within a run."""
+    A task takes whole anchor classes, and a class too large for a run only in part (``salt``). Every run puts out a row
+    with part -1: its stretches and the ids of starts equal to another of the run, which settles the whole classes.
+    Of a class that several runs share, the distinct starts follow, cut at the splitters and front-coded, to be exchanged.
+    """
     shared_splitters = rows.sparkSession.sparkContext.broadcast(splitters)  # at most one per range, width bytes each
 
-    def emit(run: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sorted_rows, ids, equal = sort_run(data, width)
-        out = [(-1, run, b"", b"", equal.astype("<i8").tobytes())] if len(equal) else []
-        cuts = cut_points(sorted_rows, shared_splitters.value)
+    def emit(run: int, held: list[tuple[int, int, bytes]], split: bool) -> pa.RecordBatch:
+        h, c, data = zip(*held)
+        sorted_rows, ids, equal = sort_run(list(data), width)
+        names = [np.array(x, dtype="<i8").tobytes() for x in (h, c)]
+        out = [(-1, run, *names, b"", b"", equal.astype("<i8").tobytes())]
+        cuts = cut_points(sorted_rows, shared_splitters.value) if split else []
         for part, (a, z) in enumerate(zip(cuts, cuts[1:])):
             if a < z:
                 shared, rest = front_code(sorted_rows[a:z])
-                out.append((part, run, shared.astype("<u4").tobytes(), rest, ids[a:z].astype("<i8").tobytes()))
-        cols = list(zip(*out))
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "run", "shared", "rest", "ids"])
+                out.append((part, run, None, None, shared.astype("<u4").tobytes(), rest, ids[a:z].astype("<i8").tobytes()))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["part", "run", "h", "c", "shared", "rest", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data = None, []
+        number, held, starts, now = TaskContext.get().partitionId() << 32, [], 0, None
         for b in batches:
-            for number, bytes_ in zip(b.column("run").to_pylist(), b.column("bytes").to_pylist()):
-                if number != now and data:
-                    yield from emit(now, data)
-                    data = []
-                now = number
-                data.append(bytes_)
-        if data:
-            yield from emit(now, data)
-
-    return rows.select("run", "idx", "bytes").repartition("run").sortWithinPartitions("run", "idx").select("run", "bytes").mapInArrow(run, _PIECE)
+            for h, c, salts, salt, data in zip(*(b.column(k).to_pylist() for k in ("h", "c", "salts", "salt", "bytes"))):
+                key = (salts > 1, h, salt)
+                # a class of several runs stands alone; others share a run until it is full, and end with it
+                if held and key != now and (starts >= run_size or key[0] or now[0]):
+                    yield emit(number, held, now[0])
+                    number, held, starts = number + 1, [], 0
+                now = key
+                held.append((h, c, data))
+                starts += len(data) - width + 1
+        if held:
+            yield emit(number, held, now[0])
+
+    per_run = max(1, run_size // (width // 2))
+    salted = rows.withColumn("salts", F.ceil(F.col("kinds") / per_run)).withColumn("salt", F.pmod("c", F.col("salts")))
+    dealt = salted.repartition("h", "salt").sortWithinPartitions("salts", "h", "salt", "c")
+    return dealt.select("h", "c", "salts", "salt", "bytes").mapInArrow(run, _PIECE)
 
 
 def _merge(width: int):
@@ -360,49 +354,56 @@ def _merge(width: int):
 
 
 def _spans(found: DataFrame) -> DataFrame:
-    """(run, idx, lo, hi): offsets that repeat, as closed intervals, from the ids of each run."""
+    """(h, c, lo, hi): offsets of a stretch that repeat, as closed intervals, from the ids of each run."""
+    low = (1 << 20) - 1
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in rows["ids"]]))
+        names = rows[rows["part"] == -1]
+        h, c = np.frombuffer(names["h"].iloc[0], "<i8"), np.frombuffer(names["c"].iloc[0], "<i8")
         first = np.ones(len(ids), dtype=bool)
-        first[1:] = (np.diff(ids) != 1) | ((ids[1:] >> 20) != (ids[:-1] >> 20))
+        first[1:] = np.diff(ids) != 1  # ids of two stretches are never neighbours: a stretch is shorter than 2^20 - 1
         lo = ids[first]
-        hi = ids[np.append(np.flatnonzero(first)[1:], len(ids)) - 1]
-        low = (1 << 20) - 1
-        return pd.DataFrame({"run": rows["run"].iloc[0], "idx": lo >> 20, "lo": lo & low, "hi": hi & low})
+        hi = ids[np.append(np.flatnonzero(first)[1:], len(ids)) - 1] if len(ids) else ids
+        return pd.DataFrame({"h": h[lo >> 20], "c": c[lo >> 20], "lo": lo & low, "hi": hi & low})
 
-    return found.groupBy("run").applyInPandas(run, "run long, idx int, lo long, hi long")
+    return found.groupBy("run").applyInPandas(run, "h long, c long, lo long, hi long")
 
 
-def repeated_starts(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+def repeated_starts(
+    docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, run_size: int = RUN, range_size: int = RANGE,
+) -> DataFrame:
     """(doc_id, crc, s, e): the starts, as closed intervals, whose ``width`` bytes also start elsewhere.
 
     ``docs`` has doc_id, crc (CRC-32 of the text) and t (the text as binary, never null).
     """
     spark = docs.sparkSession
-    all_, n = materialise(text_stretches(docs.select("doc_id", "t"), width, anchor), "stretches")
+    path, _ = write_step(text_stretches(docs.select("doc_id", "t"), width, anchor), "stretches")
+    all_ = spark.read.parquet(path)
     anchors = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared, _ = materialise(all_.join(anchors, "h", "left_semi"), "shared")
+    drop_step(spark, path)
     copies = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "crc", "s", "e")).alias("one"))
     copies, _ = materialise(copies, "copies")
-    mixed = copies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    mixed = copies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     # a stretch found twice repeats all through; it is sorted only as a partner for others
-    open_, _ = materialise(copies.join(mixed, "h", "left_semi").select("h", "c", "n", "one.*"), "open")
-    rows, _ = materialise(_contested(open_, docs, width), "contested")
-    starts = rows.agg(F.sum(F.length("bytes") - (width - 1)), F.count(F.lit(1))).first()
+    open_ = copies.join(mixed, "h").select("h", "c", "kinds", "one.*")
+    rows, n_rows = materialise(_contested(open_, docs, width), "contested")
     twice = copies.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("lo"), F.lit(1 << 40).cast("long").alias("hi"))
     spans = twice
-    if starts[0]:
-        ranges = max(1, -(-starts[0] // RANGE))
-        share = min(1.0, SPLITTER_SAMPLE / starts[1])
-        drawn = rows.where(F.pmod(F.xxhash64("h", "c"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(
+    if n_rows:
+        large = rows.where(F.col("kinds") > run_size // (width // 2))
+        starts, stretches_ = large.agg(F.coalesce(F.sum(F.length("bytes") - (width - 1)), F.lit(0)), F.count(F.lit(1))).first()
+        ranges = max(1, -(-starts // range_size))
+        share = SPLITTER_SAMPLE / max(stretches_, SPLITTER_SAMPLE)
+        drawn = large.where(F.pmod(F.xxhash64("h", "c"), F.lit(1 << 20)) < int(share * (1 << 20))).select(
             F.expr(f"substring(bytes, 1 + cast(pmod(c, length(bytes) - {width - 1}) as int), {width})").alias("x")).collect()
         drawn = sorted(bytes(r.x) for r in drawn)
-        splitters = [drawn[k * len(drawn) // ranges] for k in range(1, ranges)]
-        pieces, _ = materialise(_sorted_pieces(rows, splitters, width), "pieces")
+        splitters = [drawn[k * len(drawn) // ranges] for k in range(1, ranges)] if drawn else []
+        pieces, _ = materialise(_sorted_runs(rows, splitters, width, run_size), "pieces")
         merged = pieces.where("part >= 0").groupBy("part").applyInPandas(_merge(width), "run long, ids binary")
-        found, _ = materialise(_spans(merged.union(pieces.where("part < 0").select("run", "ids"))), "spans")
-        some = found.join(rows.select("run", "idx", "h", "c"), ["run", "idx"]).select("h", "c", "lo", "hi")
+        found = pieces.where("part < 0").select("run", "ids", "part", "h", "c").unionByName(merged, allowMissingColumns=True)
+        some, _ = materialise(_spans(found), "spans")
         spans = twice.union(some.join(copies.where("n = 1").select("h", "c"), ["h", "c"], "left_semi"))
     return shared.join(spans, ["h", "c"]).select(
         "doc_id", "crc", (F.col("s") + F.col("lo")).alias("s"), F.least(F.col("s") + F.col("hi"), "e").alias("e"))
@@ -412,7 +413,7 @@ _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 st
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR,
-                with_kept: bool = False) -> DataFrame:
+                with_kept: bool = False, run_size: int = RUN, range_size: int = RANGE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_kept`` the bytes left.
 
     A byte is removed if a ``width``-byte string that covers it starts at any other place too, of any row; strings are
@@ -422,7 +423,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("crc", F.crc32("t"))
-    spans = repeated_starts(held, width, anchor).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = repeated_starts(held, width, anchor, run_size, range_size).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "d", "crc": "k"})
     spans, _ = materialise(spans, "removals")
     both = held.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left").select("doc_id", "t", "spans")

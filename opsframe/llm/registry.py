@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from opsframe.llm.decontaminate import op10_decontaminate
 from opsframe.llm.mixing import op3_mixing
 from opsframe.llm.simhash import op8_simhash
 from opsframe.llm.suffix_dedup import op7_suffix_dedup
 from opsframe.llm.token_count import op4_token_counts
+from opsframe.llm.toxicity import op1_toxicity
 from opsframe.llm.url_filter import ORACLE as URL_ORACLE
 from opsframe.llm.url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE = {"op9_url_filter": URL_ORACLE}

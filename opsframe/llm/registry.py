@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from opsframe.llm.decontaminate import op10_decontaminate
+from opsframe.llm.embedding_join import ORACLE as EMBEDDING_ORACLE
+from opsframe.llm.embedding_join import op2_embedding_near_dedup
 from opsframe.llm.mixing import op3_mixing
 from opsframe.llm.simhash import op8_simhash
 from opsframe.llm.suffix_dedup import op7_suffix_dedup
@@ -13,6 +15,7 @@ from opsframe.llm.url_filter import op9_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op7_suffix_dedup": op7_suffix_dedup,
@@ -21,4 +24,4 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE = {"op9_url_filter": URL_ORACLE}
+ORACLE = {"op2_embedding_near_dedup": EMBEDDING_ORACLE, "op9_url_filter": URL_ORACLE}

@@ -381,11 +381,13 @@ def repeated_starts(
     path, _ = write_step(text_stretches(docs.select("doc_id", "t"), width, anchor), "stretches")
     all_ = spark.read.parquet(path)
     anchors = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    anchors, _ = materialise(anchors, "anchors")  # joins of two exchanges can split a hot anchor
     shared, _ = materialise(all_.join(anchors, "h", "left_semi"), "shared")
     drop_step(spark, path)
     copies = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "crc", "s", "e")).alias("one"))
     copies, _ = materialise(copies, "copies")
     mixed = copies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed, _ = materialise(mixed, "mixed")
     # a stretch found twice repeats all through; it is sorted only as a partner for others
     open_ = copies.join(mixed, "h").select("h", "c", "kinds", "one.*")
     rows, n_rows = materialise(_contested(open_, docs, width), "contested")

@@ -6,6 +6,7 @@ from opsframe.llm.decontaminate import op10_decontaminate
 from opsframe.llm.embedding_join import ORACLE as EMBEDDING_ORACLE
 from opsframe.llm.embedding_join import op2_embedding_near_dedup
 from opsframe.llm.mixing import op3_mixing
+from opsframe.llm.page_text import op5_page_text
 from opsframe.llm.simhash import op8_simhash
 from opsframe.llm.suffix_dedup import op7_suffix_dedup
 from opsframe.llm.token_count import op4_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_page_text": op5_page_text,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,

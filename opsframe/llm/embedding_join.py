@@ -292,8 +292,8 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair by brute force; components by reachability.
 ORACLE = """
 WITH RECURSIVE ok AS (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM ok a JOIN ok b ON a.r <> b.r AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.9),

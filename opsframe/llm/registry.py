@@ -5,6 +5,8 @@ from __future__ import annotations
 from opsframe.llm.decontaminate import op10_decontaminate
 from opsframe.llm.embedding_join import ORACLE as EMBEDDING_ORACLE
 from opsframe.llm.embedding_join import op2_embedding_near_dedup
+from opsframe.llm.license_scan import ORACLE as LICENSE_ORACLE
+from opsframe.llm.license_scan import op6_license_scan
 from opsframe.llm.mixing import op3_mixing
 from opsframe.llm.page_text import op5_page_text
 from opsframe.llm.simhash import op8_simhash
@@ -20,10 +22,15 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_page_text": op5_page_text,
+    "op6_license_scan": op6_license_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE = {"op2_embedding_near_dedup": EMBEDDING_ORACLE, "op9_url_filter": URL_ORACLE}
+ORACLE = {
+    "op2_embedding_near_dedup": EMBEDDING_ORACLE,
+    "op6_license_scan": LICENSE_ORACLE,
+    "op9_url_filter": URL_ORACLE,
+}

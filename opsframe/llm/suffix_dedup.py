@@ -411,6 +411,12 @@ def repeated_starts(
         "doc_id", "crc", (F.col("s") + F.col("lo")).alias("s"), F.least(F.col("s") + F.col("hi"), "e").alias("e"))
 
 
+def removals(held: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, run_size: int = RUN, range_size: int = RANGE) -> DataFrame:
+    """(d, k, spans): the repeated starts of each text, by doc_id and CRC-32."""
+    spans = repeated_starts(held, width, anchor, run_size, range_size).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return materialise(spans.withColumnsRenamed({"doc_id": "d", "crc": "k"}), "removals")[0]
+
+
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -425,9 +431,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("crc", F.crc32("t"))
-    spans = repeated_starts(held, width, anchor, run_size, range_size).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "d", "crc": "k"})
-    spans, _ = materialise(spans, "removals")
+    spans = removals(held, width, anchor, run_size, range_size)
     both = held.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left").select("doc_id", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,6 +460,24 @@ def remove(text: bytes, spans: list[dict] | None, width: int) -> tuple[int, int,
     return len(text), removed, runs, hashlib.sha256(left).hexdigest(), left
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with the texts that ``dedup_bytes`` leaves; a character cut in two is dropped. Null texts stay null.
+
+    Every row stays, also one of which nothing is left.
+    """
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
+    spans = removals(held.withColumn("crc", F.crc32("t")), width)
+    key = F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    both = docs.withColumn("crc", key).join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series(
+            [t if t is None or x is None else remove(t.encode(), list(x), width)[4].decode(errors="ignore") for t, x in zip(texts, found)], dtype=object)
+
+    return both.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "spans"))).select(*docs.columns)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with strings of 200 bytes that occur more than once removed."""
     return dedup_bytes(read(spark, sf_dir, "documents", "doc_id", "text"))

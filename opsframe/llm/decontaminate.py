@@ -223,7 +223,8 @@ def _search(spark: SparkSession, docs: DataFrame, index: Index) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id has no leak."""
     ids = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("leaking")), "left_anti")
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))  # so no name can clash
+    return held.join(ids, F.col("i").eqNullSafe(F.col("leaking")), "left_anti").select("doc.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,16 +203,16 @@ def mix(
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies`` and ``taken`` (copies times words)."""
-    key = row_digest(id_col, source_col, text_col)
+    """The rows of ``docs`` that the mix takes, with ``copies`` and ``taken`` (copies times words); these names replace columns of ``docs``."""
     shares = mix(docs, id_col, text_col, source_col).groupBy("row").agg(
         F.count(F.lit(1)).alias("same"), F.min("copies").alias("low"), F.sum("copies").alias("all"), F.first("size").alias("words"))
-    wanted = docs.withColumn("row", key).join(shares.where("`all` > 0"), "row")
+    held = docs.select(F.struct("*").alias("doc"), row_digest(id_col, source_col, text_col).alias("row"))  # so no name can clash
+    wanted = held.join(shares.where("`all` > 0"), "row")
     one = wanted.where("same = 1").withColumn("copies", F.col("all"))
     more = wanted.where("same > 1").withColumn("copies", F.expr(
         "low + case when row_number() over (partition by row order by same) <= `all` - low * same then 1 else 0 end"))
     out = one.unionByName(more.where("copies > 0")).withColumn("taken", F.col("copies") * F.col("words"))
-    return out.select(*docs.columns, "copies", "taken")
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in ("copies", "taken")], "copies", "taken")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,10 +135,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "
     groups, _ = materialise(simhash_groups(docs, id_col, text_col, shingle, radius), "groups")
     ids = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
     ids, _ = materialise(ids.withColumnRenamed("doc_id", "kept_id"), "ids")
-    id_ = docs[id_col].cast("long")
-    once = docs.join(ids.where("n_rows = 1"), id_.eqNullSafe(F.col("kept_id")), "left_semi")
-    again = docs.join(ids.where("n_rows > 1"), id_.eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col])
-    return once.union(again)
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))  # so no name can clash
+    same = F.col("i").eqNullSafe(F.col("kept_id"))
+    once = held.join(ids.where("n_rows = 1"), same, "left_semi")
+    again = held.join(ids.where("n_rows > 1"), same, "left_semi").dropDuplicates(["i"])
+    return once.union(again).select("doc.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -465,17 +465,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Every row stays, also one of which nothing is left.
     """
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
-    spans = removals(held.withColumn("crc", F.crc32("t")), width)
-    key = F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    both = docs.withColumn("crc", key).join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("crc", F.crc32("t"))
+    spans = removals(held.select("doc_id", "t", "crc"), width)
+    both = held.drop("t").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series(
             [t if t is None or x is None else remove(t.encode(), list(x), width)[4].decode(errors="ignore") for t, x in zip(texts, found)], dtype=object)
 
-    return both.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "spans"))).select(*docs.columns)
+    old = F.col(f"doc.`{text_col}`")
+    new = F.when(F.col("spans").isNull(), old).otherwise(cut(old, "spans"))
+    return both.select(*[new.alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

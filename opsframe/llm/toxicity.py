@@ -53,15 +53,22 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
 
 def _grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings of length GRAM as integers, with the number of documents that hold them."""
-    seen = []
-    for x in docs:
-        a = np.frombuffer(x, dtype=np.uint8).astype(np.uint64)
-        if len(a) >= GRAM:
-            v = np.zeros(len(a) - GRAM + 1, dtype=np.uint64)
-            for i in range(GRAM):
-                v = (v << np.uint64(8)) | a[i : len(a) - GRAM + 1 + i]
-            seen.append(np.unique(v))
-    return np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, int))
+    grams, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for lo in range(0, len(docs), 500):  # merged piece by piece to hold little at once
+        seen = []
+        for x in docs[lo : lo + 500]:
+            a = np.frombuffer(x, dtype=np.uint8).astype(np.uint64)
+            if len(a) >= GRAM:
+                v = np.zeros(len(a) - GRAM + 1, dtype=np.uint64)
+                for i in range(GRAM):
+                    v = (v << np.uint64(8)) | a[i : len(a) - GRAM + 1 + i]
+                seen.append(np.unique(v))
+        if seen:
+            u, c = np.unique(np.concatenate(seen), return_counts=True)
+            merged, back = np.unique(np.concatenate([grams, u]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([counts, c])).astype(np.int64)
+            grams = merged
+    return grams, counts
 
 
 def telling_grams(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:

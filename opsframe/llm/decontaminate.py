@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, repeat
 from math import log
 
 import numpy as np
@@ -32,6 +32,8 @@ RADIUS, BLOCKS = 19, 4
 SLICE = 2000
 #: Words of a text looked at together; a longer text goes in overlapping parts.
 PART = 1 << 16
+#: Windows whose fingerprints are taken at once.
+WINDOWS = 20_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,9 +42,15 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _signs(shingle: tuple[str, ...]) -> np.ndarray:
-    h = np.array([xxhash.xxh64_intdigest(" ".join(shingle).encode())], dtype="<u8").view(np.uint8)
-    return np.unpackbits(h, bitorder="little").astype(np.float64) * 2 - 1
+def _signs(shingles: list[tuple[str, ...]]) -> np.ndarray:
+    """+1 or -1 for each bit of each shingle's hash."""
+    h = np.fromiter((xxhash.xxh64_intdigest(" ".join(s).encode()) for s in shingles), dtype="<u8", count=len(shingles))
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
+
+
+def _vote(weight: float) -> int:
+    """A weight as a whole number, so that sums don't depend on their order."""
+    return round(weight * 4096)
 
 
 def _near(value: int, bits: int, radius: int) -> Iterator[int]:
@@ -72,7 +80,7 @@ class Index:
         self.least = {}
         for size, t in zip(self.sizes, total):
             self.least[size] = min(t, self.least.get(size, t))
-        signs = [sum(self.weight[s] * n * _signs(s) for s, n in b.items()) for b in bags]
+        signs = [_signs(list(b)).T @ np.array([_vote(self.weight[s]) * n for s, n in b.items()]) for b in bags]
         self.prints = np.array([np.packbits(s > 0, bitorder="little").view("<u8")[0] for s in signs], dtype=np.uint64)
         width = 64 // BLOCKS
         entries = []
@@ -100,7 +108,7 @@ class Index:
     def hit_weights(self, words: list[str]) -> np.ndarray | None:
         """For each shingle of the words its weight if an item holds it, else 0; None if no item does."""
         get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], dtype=np.uint64)
+        ids = np.fromiter(map(get, words, repeat(0)), dtype=np.uint64, count=len(words))
         known = ids > 0
         n = len(ids) - SHINGLE + 1
         full = np.logical_and.reduce([known[k : k + n] for k in range(SHINGLE)])
@@ -124,32 +132,52 @@ class Index:
         if hits is None:
             return best
         mass = np.concatenate([[0.0], np.cumsum(hits)])
-        votes: dict[int, np.ndarray] = {}
+        starts, sizes = [], []
         for size, least in self.least.items():
             m = size - SHINGLE + 1
-            if m > n:
-                continue
-            starts = np.flatnonzero(mass[m:] - mass[:-m] >= THRESHOLD * least - 1e-9)
-            for p in starts.tolist():
-                for k in range(p, p + m):
-                    if k not in votes:
-                        s = tuple(words[k : k + SHINGLE])
-                        votes[k] = self.weight.get(s, self.unseen) * _signs(s)
-                fp = int(np.packbits(sum(votes[k] for k in range(p, p + m)) > 0, bitorder="little").view("<u8")[0])
-                for item in self.within(fp, size):
-                    similarity = self.similarity(words, p, size, item)
-                    if similarity >= THRESHOLD and (-similarity, p) < (-best.get(item, (0.0, 0))[0], best.get(item, (0.0, 0))[1]):
-                        best[item] = (similarity, p)
+            if m <= n:
+                found = np.flatnonzero(mass[m:] - mass[:-m] >= THRESHOLD * least - 1e-9)
+                starts.append(found)
+                sizes.append(np.full(len(found), size))
+        if not starts:
+            return best
+        start, size = np.concatenate(starts), np.concatenate(sizes)
+        for lo in range(0, len(start), WINDOWS):
+            p, m = start[lo : lo + WINDOWS], size[lo : lo + WINDOWS]
+            for k, item in self.within(self.window_prints(words, p, m - SHINGLE + 1), m):
+                first = int(p[k])
+                similarity = self.similarity(words, first, int(m[k]), item)
+                if similarity >= THRESHOLD and (item not in best or (-similarity, first) < (-best[item][0], best[item][1])):
+                    best[item] = (similarity, first)
         return best
 
-    def within(self, fp: int, size: int) -> list[int]:
-        """Items of that size whose fingerprints lie within RADIUS."""
-        width, found = 64 // BLOCKS, set()
+    def window_prints(self, words: list[str], p: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows of m shingles from p on, by differences of running bit votes."""
+        n = len(words) - SHINGLE + 1
+        edge = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edge, p, 1)
+        np.add.at(edge, p + m, -1)
+        needed = np.flatnonzero(np.cumsum(edge)[:n] > 0)
+        shingles = [tuple(words[k : k + SHINGLE]) for k in needed.tolist()]
+        votes = _signs(shingles) * np.array([_vote(self.weight.get(s, self.unseen)) for s in shingles])[:, None]
+        running = np.concatenate([np.zeros((1, 64), dtype=np.int64), np.cumsum(votes, axis=0)])
+        place = np.searchsorted(needed, p)  # a window's shingles are all needed, so they lie side by side
+        return np.packbits(running[place + m] - running[place] > 0, axis=1, bitorder="little").view("<u8").ravel()
+
+    def within(self, prints: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+        """(number of a fingerprint, item) for the items of its size within RADIUS."""
+        width, pairs = 64 // BLOCKS, []
         for b in range(BLOCKS):
-            key = (size << (width + 8)) | (b << width) | ((fp >> (b * width)) & ((1 << width) - 1))
-            a, z = np.searchsorted(self.block, [key, key + 1])
-            found.update(self.item[a:z].tolist())
-        return sorted(k for k in found if (int(self.prints[k]) ^ fp).bit_count() <= RADIUS)
+            value = ((prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            key = (sizes << (width + 8)) | (b << width) | value
+            a = np.searchsorted(self.block, key)
+            count = np.searchsorted(self.block, key, side="right") - a
+            who = np.repeat(np.arange(len(key)), count)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+            pairs.append(np.stack([who, self.item[at]]))
+        who, item = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        near = np.bitwise_count(prints[who] ^ self.prints[item]) <= RADIUS
+        return list(zip(who[near].tolist(), item[near].tolist()))
 
     def similarity(self, words: list[str], p: int, size: int, item: int) -> float:
         """Weighted Jaccard similarity of the shingles, repeats counted."""

@@ -183,7 +183,7 @@ def mix(
         done = settled if done is None else done.union(settled)
         if most_slots == 1:
             break
-        most_slots = -(-most_slots * 2 // group)  # two leftovers from each slot
+        most_slots = max(1, min(-(-most_slots * 2 // group), most_slots // 2))  # two leftovers from each slot
         todo = out.where("p > 0 and p < 1").withColumns(
             {"slot": F.pmod("slot", F.lit(most_slots)), "last": F.lit(most_slots == 1)})
     # equal rows are numbered, so that each gets one outcome

@@ -112,23 +112,36 @@ def _read_custom(command: Column) -> Reader:
         "kind": F.when(square, _CYCLE).when(curly, _DAY_BEFORE).when(round_, _NOW).otherwise(-1),
     }
     line, kind = top["line"], top["kind"]
-    # format(base ± n unit, 'out')
-    call = r"(?i)^format\s*\(\s*[a-z:\-]+\s*([+\-]*)\s*([0-9]*)\s*([a-z]+)\s*,\s*'([0-9a-z:\-\s/]+)'"
-    # base ± amount [, 'separator']
-    shape = r"^(yyyyMMdd|hh24miss)\s*([\-+])\s*(.*)"
+    # format(base ± n unit, 'out'): the parts between quotes, then the number within the first argument
+    quotes = F.split(line, "'")
+    # base ± amount [, 'separator']: one of two bases, a sign, the amount
     body = F.substring_index(line, ",", 1)
+    cut = yield {"line": line, "kind": kind, "call": F.regexp_replace(quotes[0], r"\s", ""), "quotes": F.size(quotes), "text": _part(quotes, 2),
+                 "body": body, "stem": F.substr(body, F.lit(1), F.lit(8)), "behind": F.ltrim(F.substr(body, F.lit(9)))}
+    line, kind, body, stem, behind, text = (cut[n] for n in ("line", "kind", "body", "stem", "behind", "text"))
+    signed = stem.isin("yyyyMMdd", "hh24miss") & (behind.startswith("-") | behind.startswith("+"))
+    first = yield {"inner": F.substr(cut["call"], F.lit(len("format(") + 1), F.greatest(F.length(cut["call"]) - len("format(,"), F.lit(0)))}
+    inner = first["inner"]
+    number = yield {"digits": F.regexp_extract(inner, "[0-9]+", 0)}
+    digits = number["digits"]
+    spot = yield {"place": F.when(digits == "", F.length(inner)).otherwise(F.instr(inner, digits))}
+    sides = yield {"front": F.substr(inner, F.lit(1), spot["place"] - 1), "unit": F.substr(inner, spot["place"] + F.length(digits))}
+    front, unit_ = sides["front"], sides["unit"]
+    fits = yield {"formed": (
+        F.lower(cut["call"]).startswith("format(") & cut["call"].endswith(",") & (cut["quotes"] > 2) & F.lower(text).rlike(r"^[0-9a-z:\s/-]+$")
+        & F.lower(F.rtrim(front, F.lit("+"))).rlike("^[a-z:-]+$") & F.lower(unit_).rlike("^[a-z]+$"))}
+    formed = fits["formed"]
     # add_months(format, n [, 'separator'])
     args = F.split(F.regexp_extract(line, r"\(([^)]*)\)", 1), ",")
     t = yield {
         "is_format": line.startswith("format"), "is_months": line.startswith("add_months"),
-        "plus": F.regexp_extract(line, call, 1) == "+",
-        "size": F.coalesce(_number(F.regexp_extract(line, call, 2)), F.lit(0)),
-        "unit": F.regexp_extract(line, call, 3), "out": F.regexp_extract(line, call, 4),
+        "plus": formed & front.endswith("+") & ~front.endswith("++"),
+        "size": F.when(formed, F.coalesce(_number(digits), F.lit(0))).otherwise(0),
+        "unit": F.when(formed, unit_).otherwise(""), "out": F.when(formed, text).otherwise(""),
         "month_fmt": F.trim(_part(args, 1)), "month_n": F.regexp_replace(_part(args, 2), r"\s", ""),
         "month_sep": _bare(_part(args, 3)), "body": body, "sep": _bare(_part(F.split(line, ","), 2)),
-        "head": F.regexp_extract(body, shape, 1),
-        "flip": F.when(F.regexp_extract(body, shape, 2) == "-", -1).otherwise(1),
-        "rest": F.regexp_replace(F.regexp_extract(body, shape, 3), r"\s", ""),
+        "head": F.when(signed, stem).otherwise(""), "flip": F.when(behind.startswith("-"), -1).otherwise(1),
+        "rest": F.when(signed, F.regexp_replace(F.substr(behind, F.lit(2)), r"\s", "")).otherwise(""),
     }
     slashes = F.split(t["rest"], "/")
     clock, count = t["head"] == "hh24miss", _number(_part(slashes, 1)) * t["flip"]
@@ -180,14 +193,21 @@ def _read_system(command: Column) -> Reader:
     command = pieces["command"]
     halves = F.split(command, ",")
     comma = F.size(halves) == 2
-    bare = r"([a-zA-Z]{4,14})\s*([\-+])\s*(\d+)"
     second = _part(halves, 2)
+    # letters, a sign, digits
+    stage = yield {"command": command, "halves": halves, "packed": F.regexp_replace(command, r"\s", "")}
+    command, halves, packed = stage["command"], stage["halves"], stage["packed"]
+    comma, second = F.size(halves) == 2, _part(halves, 2)
+    word = yield {"letters": F.regexp_extract(packed, "^[a-zA-Z]+", 0)}
+    letters = word["letters"]
+    mark = F.substr(packed, F.length(letters) + 1, F.lit(1))
+    digits = F.regexp_extract(F.substr(packed, F.length(letters) + 2), "^[0-9]+", 0)
+    bare = F.length(letters).between(4, 14) & mark.isin("-", "+") & (digits != "")
     t = yield {
         "whole": command.isin(STAMP, "yyyyMMdd"),
-        "fmt": F.when(comma, halves[0]).otherwise(F.regexp_extract(command, bare, 1)),
-        "sign": F.when(comma, F.substring(second, 1, 1)).otherwise(F.regexp_extract(command, bare, 2)),
-        "digits": F.when(comma, second.substr(F.lit(2), F.length(second))).otherwise(
-            F.regexp_extract(command, bare, 3)),
+        "fmt": F.when(comma, halves[0]).when(bare, letters).otherwise(""),
+        "sign": F.when(comma, F.substring(second, 1, 1)).when(bare, mark).otherwise(""),
+        "digits": F.when(comma, second.substr(F.lit(2), F.length(second))).when(bare, digits).otherwise(""),
     }
     count = F.when(t["sign"] == "-", -_number(t["digits"])).when(t["sign"] == "+", _number(t["digits"]))
     u = yield {"n": count, "size": F.length(t["fmt"])}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,9 +80,26 @@ def _last_wins(pairs: Column) -> Column:
 
 
 def split_outside(text: Column, delimiter: str) -> Column:
-    """Split on a delimiter that stands outside brackets and double quotes."""
-    outside = r"(?![^()]*+\))(?![^{}]*+})(?![^\[\]]*+\])(?=(?:[^\"]|\"[^\"]*\")*$)"
-    return F.split(text, re.escape(delimiter) + outside)
+    """Split on a one-character delimiter that stands outside brackets and double quotes.
+
+    One pass over the characters, which keeps the open brackets, whether a quote is open, the parts so far and the current one.
+    """
+    if len(delimiter) != 1:
+        raise ValueError("the delimiter must be one character")
+
+    def step(state: Column, c: Column) -> Column:
+        quoted = F.when(c == '"', ~state["quoted"]).otherwise(state["quoted"])
+        depth = state["depth"] + F.when(quoted, 0).when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
+        cut = (c == delimiter) & ~state["quoted"] & (state["depth"] == 0)
+        return F.struct(
+            F.greatest(depth, F.lit(0)).alias("depth"), quoted.alias("quoted"),
+            F.when(cut, F.concat(state["parts"], F.array(state["now"]))).otherwise(state["parts"]).alias("parts"),
+            F.when(cut, F.lit("")).otherwise(F.concat(state["now"], c)).alias("now"))
+
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(letters, start, step, lambda s: F.concat(s["parts"], F.array(s["now"])))
 
 
 def json_get(doc: Column, path: str) -> Column:
@@ -104,20 +122,53 @@ def json_put(doc: Column, parent: str, member: str, value: Column) -> Column:
     return F.replace(put, F.lit(",}"), F.lit("}"))
 
 
-_JDBC = (r"(?i)jdbc(?::[a-z0-9.]+){1,2}:(?://|@//|@)([0-9a-z.\-]+):(\d{1,5})"
-         r"(?:(?:;DatabaseName=([a-z0-9]+))|(?:[/:]([a-z0-9]+))|$)")
 _HBASE_LIKE = {8: False, 30: True, 38: True}
 
 
 def jdbc_parts(url: Column) -> Column:
-    """Struct (host, port, db) of a JDBC URL; nulls where the URL has another form."""
-    filled = F.replace(url, F.lit("%s"), F.lit("default"))
-
-    def group(i: int) -> Column:
-        return F.nullif(F.regexp_extract(filled, _JDBC, i), F.lit(""))
-
-    return F.struct(group(1).alias("host"), group(2).try_cast("int").alias("port"),
-                    F.coalesce(group(4), group(3)).alias("db"))
+    """Struct (host, port, db) of a JDBC URL; nulls where the URL has another form.
+
+    Cut step by step: the scheme up to ``//`` or ``@``, the host up to a colon, the port, and then the database behind
+    ``/``, ``:`` or ``;DatabaseName=``, which may be missing.
+    """
+    halves = F.split(F.replace(url, F.lit("%s"), F.lit("default")), "//|@", 2)
+    address = F.regexp_replace(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), "^//", "")
+
+    def scheme(p: dict[str, Column]) -> Column:
+        # jdbc, one or two names, and nothing behind the last colon
+        names = p["names"]
+        middle = F.slice(names, 2, F.greatest(F.size(names) - 2, F.lit(0)))
+        return (F.element_at(names, 1).endswith("jdbc") & F.size(names).isin(3, 4) & (F.element_at(names, -1) == "")
+                & F.forall(middle, lambda n: n.rlike("^[a-z0-9.]+$")))
+
+    def place(p: dict[str, Column]) -> Column:
+        port = F.regexp_extract(p["behind"], "^[0-9]+", 0)
+        return _with({"host": p["host"], "good": p["good"], "port": port, "tail": F.substr(p["behind"], F.length(port) + 1)}, database)
+
+    def database(p: dict[str, Column]) -> Column:
+        named, tail = F.lit(";databasename="), p["tail"]
+        rest = F.when(F.lower(tail).startswith(named), F.substr(tail, F.length(named) + 1)).when(
+            tail.startswith("/") | tail.startswith(":"), F.substr(tail, F.lit(2)))
+        db = F.nullif(F.regexp_extract(rest, "(?i)^[a-z0-9]+", 0), F.lit(""))
+        return _with({"host": p["host"], "port": p["port"], "db": db,
+                      "fits": p["good"] & F.length(p["port"]).between(1, 5) & ((tail == "") | db.isNotNull())}, result)
+
+    def result(p: dict[str, Column]) -> Column:
+        return F.struct(F.when(p["fits"], p["host"]).alias("host"), F.when(p["fits"], p["port"]).try_cast("int").alias("port"),
+                        F.when(p["fits"], p["db"]).alias("db"))
+
+    def cut(p: dict[str, Column]) -> Column:
+        host = F.substring_index(p["address"], ":", 1)
+        return _with({"host": host, "behind": F.substr(p["address"], F.length(host) + 2),
+                      "good": scheme(p) & F.lower(host).rlike("^[0-9a-z.-]+$")}, place)
+
+    return _with({"names": F.split(F.lower(halves[0]), ":"), "address": address}, cut)
+
+
+def _with(pieces: dict[str, Column], use: Callable[[dict[str, Column]], Column]) -> Column:
+    """``use`` on pieces that are computed once: they become variables of a lambda."""
+    row = F.array(F.struct(*[c.alias(n) for n, c in pieces.items()]))
+    return F.element_at(F.transform(row, lambda r: use({n: r[n] for n in pieces})), 1)
 
 
 def source_key(url: Column, source_type: Column) -> Column:

@@ -107,6 +107,7 @@ def self_edges(edges: DataFrame) -> DataFrame:
     return edges.where(head("job_key") == head("parent_job_key"))
 
 
+#: Fixed value: the form of a valid savepoint path.
 SAVEPOINT = r"^hdfs.*[a-zA-Z0-9]{8}-[a-zA-Z0-9]{6}-[a-zA-Z0-9]{12}$"
 
 

@@ -144,7 +144,7 @@ def child_period_check(pending: DataFrame, jobs: DataFrame, edges: DataFrame, ta
     of_tasks = jobs.join(empty.select("task_id").distinct(), "task_id", "left_semi").select(
         "job_key", "task_id", "type", "cyc_ts", "id").join(has, "job_key", "left")
     # counted on the bare instance table: a superset of these rows that costs one narrow scan
-    hot = find_hot(jobs.select("task_id", "type", "cyc_ts"), ["task_id", "type"], "cyc_ts", limit)
+    hot = find_hot(jobs.select("task_id", "type"), ["task_id", "type"], limit)
     walked = carried(of_tasks, ["task_id", "type"], ["cyc_ts", "id"],
                      F.when(F.col("_has"), F.col("job_key")), "_earlier", current=False, hot=hot)
     back = walked.where(F.col("_earlier").isNotNull()).join(empty.select("job_key"), "job_key", "left_semi").select(

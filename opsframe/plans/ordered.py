@@ -2,10 +2,12 @@
 
 A plain ``Window.partitionBy(key)`` sends all rows of a key to one task. The
 functions here first count rows per key (map-side combined). If no key is larger
-than ``opsframe.hotRows`` they plan the plain window. Otherwise the hot keys are
-cut into equally filled pieces along the order column, the window runs per
-(key, piece), and what must cross a piece border travels in one summary row per
-piece.
+than ``opsframe.hotRows`` they plan the plain window. Otherwise the rows of all
+hot keys are range-partitioned by (key, order, a tie-breaker) and written with
+the number of their range, their piece: pieces follow the order, hold about
+three quarters of the limit whatever the keys, types and ties, and are the same
+for every later use. The window runs per (key, piece), and what must cross a
+piece border travels in one summary row per piece.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsframe.plans.storage import materialise
+
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-MAX_PIECES = 4_096
 PIECE = "_piece"
 
 
@@ -27,74 +29,47 @@ def _limit(df: DataFrame, limit: int | None) -> int:
     return limit or int(df.sparkSession.conf.get("opsframe.hotRows", str(HOT_ROWS)))
 
 
-def _numeric(df: DataFrame, col: str) -> Column:
-    kind = dict(df.dtypes)[col]
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(F.col(col)).cast("double")
-    return F.col(col).cast("double")
-
-
-def _locate(value: Column, bounds: Sequence[float]) -> Column:
-    """Number of ``bounds`` that are <= value, by a two-level search of sqrt size each."""
-    step = max(1, math.isqrt(len(bounds)))
-    groups = [list(bounds[i : i + step]) for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(g[0]) for g in groups])
-    group = F.size(F.filter(heads, lambda b: b <= value))
-    rest = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
-    inner = F.size(F.filter(F.element_at(rest, group), lambda b: b <= value))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + inner)
-
-
 @dataclass(frozen=True)
 class HotKeys:
-    """The keys above the limit, at most MAX_HOT_KEYS rows, and the borders of their pieces along the order."""
+    """The keys above the limit, however many, and how many pieces their rows make."""
 
     keys: tuple[str, ...]
     marks: DataFrame
-    bounds: tuple[float, ...]
+    pieces: int
+
+    def split(self, df: DataFrame, order: Sequence[str]) -> DataFrame:
+        """Adds ``_piece``: 0 for ordinary keys, rising along (key, ``order``) from 1 for hot ones.
 
-    def split(self, df: DataFrame, by: str) -> DataFrame:
-        """Adds ``_piece``: 0 for ordinary keys, 1.. along ``by`` for hot ones."""
+        ``df`` runs once, for a written copy; the pieces are cut from that.
+        """
         same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in self.keys]
-        # at most MAX_HOT_KEYS rows, so the broadcast is bounded whatever the data size
-        marked = df.join(F.broadcast(self.marks), same, "left").drop(*[f"_h_{k}" for k in self.keys])
-        piece = _locate(_numeric(df, by), self.bounds) + 1 if self.bounds else F.lit(1)
-        return marked.withColumn(
-            PIECE, F.when(F.col("_hot"), F.coalesce(piece, F.lit(0))).otherwise(0)).drop("_hot")
+        marked = df.join(self.marks, same, "left").drop(*[f"_h_{k}" for k in self.keys])
+        held, _ = materialise(marked.withColumn("_tie", F.monotonically_increasing_id()), "marked")
+        hot = held.where("_hot").repartitionByRange(self.pieces, *self.keys, *order, "_tie")
+        cut, _ = materialise(hot.withColumn(PIECE, F.spark_partition_id() + 1).drop("_tie", "_hot"), "pieces")
+        return held.where("_hot is null").drop("_tie", "_hot").withColumn(PIECE, F.lit(0)).unionByName(cut)
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], by: str, limit: int | None = None) -> HotKeys | None:
+def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> HotKeys | None:
     """Keys with more rows than ``limit``, or None.
 
-    ``df`` may be any cheap superset of the rows to be split, such as the bare
-    scan they come from. Any key left out holds less than 1/MAX_HOT_KEYS of it.
+    ``df`` may be any cheap superset of the rows to be split, such as the bare scan they come from.
     """
     keys = tuple(keys)
     limit = _limit(df, limit)
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        .orderBy(F.desc("_n")).limit(MAX_HOT_KEYS)
-    )
-    rows = hot.collect()
-    if not rows:
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    total = hot.agg(F.sum("_n")).first()[0]
+    if not total:
         return None
-    marks = df.sparkSession.createDataFrame(rows, hot.schema).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
-    pieces = min(MAX_PIECES, max(2, math.ceil(max(r["_n"] for r in rows) / limit)))
-    probs = [i / pieces for i in range(1, pieces)]
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    values = df.join(F.broadcast(marks), same, "left_semi").select(_numeric(df, by).alias("_v"))
-    bounds = sorted(set(values.approxQuantile("_v", probs, 0.25 / pieces)))
-    return HotKeys(keys, marks, tuple(bounds))
+    marks, _ = materialise(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot")), "hot")
+    return HotKeys(keys, marks, max(2, math.ceil(total * 4 / 3 / limit)))
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], by: str, limit: int | None = None,
+def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None,
               hot: HotKeys | None | str = "find") -> DataFrame | None:
     """``df`` with its ``_piece`` column, or None if no key is hot. ``hot`` reuses an earlier search."""
-    found = find_hot(df, keys, by, limit) if hot == "find" else hot
-    return None if found is None else found.split(df, by)
+    found = find_hot(df, keys, limit) if hot == "find" else hot
+    return None if found is None else found.split(df, order)
 
 
 def _orders(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -113,9 +88,9 @@ def _attach(df: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
              descending: bool = False, limit: int | None = None,
              hot: HotKeys | None | str = "find") -> DataFrame:
-    """Position of each row in its key, from 1. ``order`` must be unique per key; its first column cuts pieces."""
+    """Position of each row in its key, from 1. ``order`` must be unique per key."""
     keys = list(keys)
-    split = split_hot(df, keys, order[0], limit, hot)
+    split = split_hot(df, keys, order, limit, hot)
     if split is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*_orders(order, descending))))
     inside = Window.partitionBy(*keys, PIECE).orderBy(*_orders(order, descending))
@@ -134,7 +109,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     keys = list(keys)
     what = F.struct(*values)
     step = F.lead if following else F.lag
-    split = split_hot(df, keys, order[0], limit, hot)
+    split = split_hot(df, keys, order, limit, hot)
     if split is None:
         return df.withColumn(name, step(what).over(Window.partitionBy(*keys).orderBy(*_orders(order))))
     inside = Window.partitionBy(*keys, PIECE).orderBy(*_orders(order))
@@ -155,7 +130,7 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Col
     keys = list(keys)
     end = 0 if current else -1
     df = df.withColumn("_value", value)
-    split = split_hot(df, keys, order[0], limit, hot)
+    split = split_hot(df, keys, order, limit, hot)
     if split is None:
         run = Window.partitionBy(*keys).orderBy(*_orders(order)).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(name, F.last("_value", ignorenulls=True).over(run)).drop("_value")
@@ -177,7 +152,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """Adds ``name``: the sum of ``value`` up to and including each row of the key."""
     keys = list(keys)
     df = df.withColumn("_value", value)
-    split = split_hot(df, keys, order[0], limit)
+    split = split_hot(df, keys, order, limit)
     if split is None:
         run = Window.partitionBy(*keys).orderBy(*_orders(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum("_value").over(run)).drop("_value")

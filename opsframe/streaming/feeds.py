@@ -55,7 +55,7 @@ def current_status(reports: DataFrame) -> DataFrame:
 def _runs(reports: DataFrame, limit: int | None = None) -> DataFrame:
     """Reports with their place in the job and the place and time at which their NOTFOUND run began."""
     keys, order = ["job_id"], ["ts", "event_id"]
-    hot = find_hot(reports, keys, "ts", limit)
+    hot = find_hot(reports, keys, limit)
     rows = numbered(reports, keys, order, "_rn", hot=hot)
     rows = neighbour(rows, keys, order, ["status"], "_prev", hot=hot)
     begins = (F.col("status") == NOT_FOUND) & (F.col("_prev").isNull() | (F.col("_prev.status") != NOT_FOUND))
@@ -121,6 +121,7 @@ def _read_open(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 _HISTORY = ("history ARRAY<STRUCT<id: LONG, trigger_timestamp: LONG, external_path: STRING, status: STRING>>, "
             "counts STRING")
+#: Fixed value: what a checkpoint without an address reports as its path.
 NO_PATH = "<checkpoint-not-externally-addressable>"
 
 
@@ -267,7 +268,7 @@ def _sessions(rows: DataFrame, gap: str, by: tuple[str, ...], ts: str, limit: in
     one = rows.select(F.col(ts).alias("_at"), *by, F.lit(0).alias("_one"))
     keys = [*by, "_one"]
     pace = F.expr(f"INTERVAL {gap}")
-    hot = find_hot(one, keys, "_at", limit)
+    hot = find_hot(one, keys, limit)
     marked = neighbour(one, keys, ["_at"], ["_at"], "_prev", hot=hot)
     begins = F.col("_prev").isNull() | (F.col("_at") >= F.col("_prev._at") + pace)
     placed = carried(marked, keys, ["_at"], F.when(begins, F.col("_at")), "start", hot=hot)

@@ -4,9 +4,10 @@ import pytest
 from oracle import compare, database
 
 import __spark_entry__ as entry
+from opsframe import suite
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = suite.QUERIES, suite.ORACLE
 
 
 @pytest.fixture(scope="module")

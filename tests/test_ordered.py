@@ -31,12 +31,12 @@ def in_order():
 
 
 def test_split_marks_only_hot_keys(rows):
-    split = ordered.split_hot(rows, ["k"], "t", 500)
+    split = ordered.split_hot(rows, ["k"], ["t", "id"], 500)
     sizes = {(r["k"], r["_piece"]): r["count"] for r in split.groupBy("k", "_piece").count().collect()}
     hot = {k: n for k, n in sizes.items() if k[1] > 0}
     assert {k[0] for k in hot} == {0} and len(hot) >= 6
     assert max(hot.values()) < 1000
-    assert ordered.split_hot(rows, ["k"], "t", 5000) is None
+    assert ordered.split_hot(rows, ["k"], ["t", "id"], 5000) is None
 
 
 def test_numbered(rows):
@@ -124,3 +124,24 @@ def test_quantile_of_a_hot_timestamp(spark):
     got = series.agg_series(rows, "quantile", 0.37, limit=50).select("ts", F.round("value", 9).alias("value"))
     want = rows.groupBy("ts").agg(F.round(F.percentile("value", F.lit(0.37)), 9).alias("value"))
     same(got, want)
+
+
+def test_many_hot_keys_on_text_and_date_orders(spark):
+    """No limit on hot keys; any orderable type cuts pieces; ranges of keys are disjoint."""
+    big = spark.range(480).select(
+        F.concat(F.lit("k"), F.col("id") % 40).alias("k"), F.concat(F.lit("n"), F.lpad(F.col("id"), 7, "0")).alias("t"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 7).cast("int")).alias("d"), F.col("id"))
+    sizes = ordered.split_hot(big, ["k"], ["t"], 10).groupBy("k", "_piece").count()
+    assert sizes.where("_piece = 0").count() == 0 and sizes.agg(F.max("count")).first()[0] <= 20
+    for order in (["t"], ["d", "id"]):
+        w = Window.partitionBy("k").orderBy(*order)
+        same(ordered.numbered(big, ["k"], order, limit=10), big.withColumn("rn", F.row_number().over(w).cast("long")))
+        same(ordered.neighbour(big, ["k"], order, ["id"], "n", limit=10), big.withColumn("n", F.lag(F.struct("id")).over(w)))
+
+
+def test_one_key_with_ties_all_through(spark):
+    ties = spark.range(5000).select(F.lit(1).alias("k"), F.lit("same").alias("t"), F.struct(F.lit(3).alias("a")).alias("s"), "id")
+    sizes = ordered.split_hot(ties, ["k"], ["t", "s"], 500).groupBy("_piece").count()
+    assert sizes.agg(F.max("count"), F.sum("count")).first()[1] == 5000 and sizes.agg(F.max("count")).first()[0] <= 1000
+    got = ordered.numbered(ties, ["k"], ["t", "s"], limit=500)
+    assert sorted(r.rn for r in got.select("rn").collect()) == list(range(1, 5001))

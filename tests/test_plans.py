@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from opsframe import suite
 from opsframe.operators import filters, jobs, series
 
+suite.load()
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -59,8 +60,8 @@ ONE_ROW = {"b19_search_tasks", "c16_dict_lookup", "d33_fill_preview", "a13_sync_
 LOOPS = ("h0", "h10", "h11", "h12", "a", "j01_current_status_s", "j02", "j03", "j04", "j06", "j09", "m0", "g17", "g18", "g19")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in ONE_ROW and not n.startswith(LOOPS)])
+@pytest.mark.parametrize("name", [n for n in suite.QUERIES if n not in ONE_ROW and not n.startswith(LOOPS)])
 def test_no_join_without_keys_and_no_row_python(spark, name):
-    p = plan(entry.queries()[name](spark, FOLDER))
+    p = plan(suite.QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p

@@ -21,7 +21,6 @@ from opsframe.operators.joins import top_nodes
 from opsframe.plans.ordered import chunked
 from opsframe.plans.storage import materialise, write_step
 
-LEVEL_CAP = 20
 BROADCAST_EDGES = 500_000
 _SMALL_HOPS = 16
 
@@ -86,17 +85,15 @@ def _walked_edges(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels
 
 
 def descendants(edges: DataFrame, roots: DataFrame, levels: int | None = 1, parent: str = "parent_job_key",
-                child: str = "job_key", cap: int | None = LEVEL_CAP) -> DataFrame:
-    """Edges below the roots up to ``levels`` (at most ``cap``; both None for a full closure)."""
-    limit = levels if cap is None else min(levels or cap, cap)
-    return _walked_edges(edges, roots, parent, child, limit)
+                child: str = "job_key") -> DataFrame:
+    """Edges below the roots up to ``levels``: 0 gives none, None the full closure."""
+    return _walked_edges(edges, roots, parent, child, levels)
 
 
 def ancestors(edges: DataFrame, roots: DataFrame, levels: int | None = 1, parent: str = "parent_job_key",
-              child: str = "job_key", cap: int | None = LEVEL_CAP) -> DataFrame:
-    """Edges above the roots up to ``levels``."""
-    limit = levels if cap is None else min(levels or cap, cap)
-    return _walked_edges(edges, roots, child, parent, limit)
+              child: str = "job_key") -> DataFrame:
+    """Edges above the roots up to ``levels``: 0 gives none, None the full closure."""
+    return _walked_edges(edges, roots, child, parent, levels)
 
 
 def find_cycles(edges: DataFrame, roots: DataFrame, parent: str, child: str) -> DataFrame:

@@ -12,12 +12,12 @@ INPUT, RESULT = "input_table_id", "result_table_id"
 
 def table_upstream(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """All edges that lead, directly or not, to the given tables (column ``root``); safe with cycles."""
-    return ancestors(edges, tables, None, INPUT, RESULT, cap=None)
+    return ancestors(edges, tables, None, INPUT, RESULT)
 
 
 def table_downstream(edges: DataFrame, tables: DataFrame) -> DataFrame:
     """All edges that start, directly or not, at the given tables."""
-    return descendants(edges, tables, None, INPUT, RESULT, cap=None)
+    return descendants(edges, tables, None, INPUT, RESULT)
 
 
 def table_lineage(edges: DataFrame, tables: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _column_walk(edges: DataFrame, columns: DataFrame, up: bool) -> DataFrame:
     links = edges.select(pair(*_IN).alias("i"), pair(*_OUT).alias("o"))
     roots = columns.select(pair("table_id", "column_name").alias("root"))
     step = ancestors if up else descendants
-    out = step(links, roots, None, "i", "o", cap=None)
+    out = step(links, roots, None, "i", "o")
     return out.select(
         F.col("root.k0").alias("root_table_id"), F.col("root.k1").alias("root_column_name"), "level",
         F.col("i.k0").alias(_IN[0]), F.col("i.k1").alias(_IN[1]),

@@ -261,10 +261,17 @@ def start_location(history: DataFrame, task_id: object, cyc_time: str) -> str |
 
 def sync_incremental(spark: SparkSession, document: str | Mapping, history: DataFrame, task_id: object,
                      cyc_time: str, **options) -> dict[str, object]:
-    """A normal run that starts after the end of the last finished one; without such an end everything is read."""
+    """A normal run that starts after the end of the last finished one; without such an end everything is read.
+
+    An increment is added to the target. A job that asks to overwrite it with a part of the source is refused.
+    """
     job = SyncJob.parse(document)
     if job.reader.get("increColumn"):
-        job.reader["startLocation"] = start_location(history, task_id, cyc_time)
+        start = start_location(history, task_id, cyc_time)
+        job.reader["startLocation"] = start
+        if start is not None and options.get("mode") != "backfill":
+            if str(job.writer.setdefault("writeMode", "append")).lower() == "overwrite":
+                raise ValueError("an increment would overwrite the rows of earlier runs; use writeMode append")
     return sync(spark, job, **options)
 
 

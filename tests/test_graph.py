@@ -73,3 +73,9 @@ def test_long_script(spark):
     text = "insert into t select * from s where x in (" + ",".join(f"'v;{i}'" for i in range(50_000)) + "); "
     df = spark.createDataFrame([(1, text * 2 + "insert into u select * from t")], "id int, sql_text string")
     assert lineage.table_edges_from_sql(df, default_db="d").count() == 2
+
+
+def test_walks_have_no_depth_cap(spark):
+    chain = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    root = spark.createDataFrame([(0,)], "root long")
+    assert [graph.descendants(chain, root, n, "a", "b").count() for n in (0, 1, 30, None)] == [0, 1, 30, 40]

@@ -103,3 +103,19 @@ def test_unknown_sources():
         registry.read_source(None, 12, {})
     with pytest.raises(registry.UnsupportedSource):
         registry.read_jdbc(None, "nodb", "x")
+
+
+def test_increments_add_to_one_target(spark, tmp_path):
+    spark.range(10).createOrReplaceTempView("inc_src")
+    target = str(tmp_path / "inc")
+    schema = "task_id long, id long, status int, cyc_time string, end_location string"
+    history = spark.createDataFrame([], schema)
+    for top in (6, 10):
+        job = {"content": [{"reader": {"customSql": f"SELECT id FROM inc_src WHERE id < {top}", "increColumn": "id"},
+                            "writer": {"path": target, "column": [{"name": "id", "index": 0, "type": "bigint"}]}}]}
+        seen = sync.sync_incremental(spark, job, history, 1, "20240103000000")
+        history = spark.createDataFrame([(1, 1, 5, "20240102000000", str(seen["endLocation"]))], schema)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(10))
+    job["content"][0]["writer"]["writeMode"] = "overwrite"
+    with pytest.raises(ValueError):
+        sync.sync_incremental(spark, job, history, 1, "20240103000000")

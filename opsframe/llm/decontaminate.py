@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import read
+from opsframe.llm.mixing import row_digest
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 19, 4
@@ -215,14 +216,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts have no leak. Items of fewer than five words have no shingle and are not searched; of items
     with the same words each is found. Equal rows of ``docs`` are each reported. Other columns are not read.
     """
-    spark = docs.sparkSession
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    return _leaks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")), benchmark)
+
+
+def _leaks(wanted: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The leaks of rows (doc_id, t), with a doc_id of any type."""
+    spark = wanted.sparkSession
     items = [(r[0], words_of(r[1])) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
     items = [(i, w) for i, w in items if len(w) >= SHINGLE]
     held = Counter(s for _, w in items for s in {tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)})
     weights = {s: 1 + log(len(items) / n) for s, n in held.items()}
     found = [_search(spark, wanted, Index(items[k : k + SLICE], weights, 1 + log(len(items) + 1))) for k in range(0, len(items), SLICE)]
-    kinds = "doc_id long, item_id long, similarity double, first_word long"
+    kinds = f"doc_id {dict(wanted.dtypes)['doc_id']}, item_id long, similarity double, first_word long"
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], kinds)
 
 
@@ -242,17 +247,20 @@ def _search(spark: SparkSession, docs: DataFrame, index: Index) -> DataFrame:
                             best[item] = (s, at + p)
                 rows += [(doc, idx.ids[k], s, p) for k, (s, p) in sorted(best.items())]
             cols = list(zip(*rows)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "first_word"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInArrow(run, f"doc_id {kind}, item_id long, similarity double, first_word long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no leak."""
-    ids = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("leaking")).distinct()
-    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))  # so no name can clash
-    return held.join(ids, F.col("i").eqNullSafe(F.col("leaking")), "left_anti").select("doc.*")
+    """The rows of ``docs`` whose text has no leak; rows are told apart by id and text, not by id."""
+    key = row_digest(id_col, text_col)
+    found = _leaks(docs.select(key.alias("doc_id"), F.col(text_col).alias("t")), benchmark)
+    found = found.select(F.col("doc_id").alias("row")).distinct()
+    held = docs.select(F.struct("*").alias("doc"), key.alias("row"))  # so no name can clash
+    return held.join(found, "row", "left_anti").select("doc.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

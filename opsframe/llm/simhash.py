@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import components, materialise, read
+from opsframe.llm.mixing import row_digest
 
 BITS = 64
 SEED = 42
@@ -50,17 +51,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(set_bits.tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp) per row, fp as the 64 bits of a long."""
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) per row, fp as the 64 bits of a long; if ``keyed``, also ``row``, a digest of id and text."""
+    key = [row_digest(id_col, text_col).alias("row")] if keyed else []
+    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.col(text_col).cast("binary").alias("t"))
+    names = ["doc_id", "row"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py() or b"", shingle) for t in b.column("t")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+                [*[b.column(c) for c in names], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], [*names, "fp"])
 
-    return wanted.mapInArrow(run, "doc_id long, fp long")
+    return wanted.mapInArrow(run, f"doc_id long, {'row binary, ' if keyed else ''}fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -111,6 +114,14 @@ def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     return pairs.select("fps").mapInArrow(run, "a long, b long").distinct()
 
 
+def _placed(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) per fingerprint of ``prints``: its smallest doc_id and the fingerprint that names its group."""
+    classes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    edges, _ = materialise(links(classes.select("fp"), radius), "edges")
+    groups = components(edges)
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """Near-duplicate groups: per row of ``docs`` doc_id, fingerprint (16 hex digits), component_id.
 
@@ -120,10 +131,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no rows; other columns are not read.
     """
     prints, _ = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
-    classes, _ = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    edges, _ = materialise(links(classes.select("fp"), radius), "edges")
-    groups = components(edges)
-    placed = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(prints, radius)
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(smallest, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -131,14 +139,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's component_id; of rows that share that id, one."""
-    groups, _ = materialise(simhash_groups(docs, id_col, text_col, shingle, radius), "groups")
-    ids = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    ids, _ = materialise(ids.withColumnRenamed("doc_id", "kept_id"), "ids")
-    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("i"))  # so no name can clash
-    same = F.col("i").eqNullSafe(F.col("kept_id"))
-    once = held.join(ids.where("n_rows = 1"), same, "left_semi")
-    again = held.join(ids.where("n_rows > 1"), same, "left_semi").dropDuplicates(["i"])
+    """One row of each group: the one with the smallest doc_id, of several rows with that id the smallest digest of id and text.
+
+    A null id comes last. Rows are told apart by id and text, so neither null nor repeated ids tie rows of different groups.
+    """
+    prints, _ = materialise(fingerprints(docs, id_col, text_col, shingle, keyed=True), "prints")
+    rows = prints.groupBy("fp", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"))
+    rows = rows.join(_placed(prints, radius).select("fp", "root"), "fp")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n_rows")).alias("least")
+    kept, _ = materialise(rows.groupBy("root").agg(least).select(F.col("least.row").alias("row"), F.col("least.n_rows").alias("n_rows")), "kept")
+    held = docs.select(F.struct("*").alias("doc"), row_digest(id_col, text_col).alias("row"))  # so no name can clash
+    once = held.join(kept.where("n_rows = 1"), "row", "left_semi")
+    again = held.join(kept.where("n_rows > 1"), "row", "left_semi").dropDuplicates(["row"])
     return once.union(again).select("doc.*")
 
 

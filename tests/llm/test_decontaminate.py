@@ -61,3 +61,13 @@ def test_empty_tables(spark):
     assert leaks(empty(spark), bench).count() == 0
     assert leaks(documents(spark), bench.limit(0)).count() == 0
     assert drop_leaks(documents(spark), bench.limit(0)).count() == documents(spark).count()
+
+
+def test_only_leaking_rows_go(spark):
+    rng = random.Random(14)
+    item, clean, other = sentence(rng, 20), sentence(rng, 60), sentence(rng, 60)
+    bench = spark.createDataFrame([(1, item, 2)], ITEM)
+    leaking = f"{sentence(rng, 30)} {item} {sentence(rng, 30)}"
+    rows = [(None, clean), (None, leaking), (None, other), (None, None), (7, clean), (7, leaking), (7, other), (7, other)]
+    kept = drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(str(r) for r in rows if r[1] != leaking)

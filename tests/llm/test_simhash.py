@@ -3,7 +3,7 @@ import random
 import re
 
 import xxhash
-from corpus import documents, empty
+from corpus import documents, empty, sentence
 
 from opsframe.llm.simhash import covering_masks, keep_one, links, simhash_groups
 
@@ -74,3 +74,12 @@ def test_one_of_each_group_stays(spark):
     ids = [r.doc_id for r in simhash_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct().collect()]
     assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in kept.collect())
     assert keep_one(empty(spark)).count() == 0
+
+
+def test_groups_keep_a_row_whatever_their_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (sentence(rng, 80) for _ in range(5))
+    # unrelated texts without an id and under one id; a copy under the id of a kept row
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, c), (8, e), (8, e.upper()), (9, a)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((str(r.doc_id), r.text.lower()) for r in kept)) == sorted([("9", a), ("None", b), ("7", c), ("7", d), ("8", e)])

@@ -31,7 +31,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 19, 4
 #: Items of one index. More items are searched slice by slice, each slice broadcast for itself.
 SLICE = 2000
-#: Words of a text looked at together; a longer text goes in overlapping parts.
+#: Words of a text looked at together, or twice a longer item's; a longer text goes in overlapping parts.
 PART = 1 << 16
 #: Windows whose fingerprints are taken at once.
 WINDOWS = 20_000
@@ -143,11 +143,14 @@ class Index:
         if not starts:
             return best
         start, size = np.concatenate(starts), np.concatenate(sizes)
+        slides: dict[int, Slide] = {}
         for lo in range(0, len(start), WINDOWS):
             p, m = start[lo : lo + WINDOWS], size[lo : lo + WINDOWS]
             for k, item in self.within(self.window_prints(words, p, m - SHINGLE + 1), m):
                 first = int(p[k])
-                similarity = self.similarity(words, first, int(m[k]), item)
+                if item not in slides:
+                    slides[item] = Slide(self, words, int(m[k]) - SHINGLE + 1, item)
+                similarity = slides[item].similarity(first)
                 if similarity >= THRESHOLD and (item not in best or (-similarity, first) < (-best[item][0], best[item][1])):
                     best[item] = (similarity, first)
         return best
@@ -180,18 +183,50 @@ class Index:
         near = np.bitwise_count(prints[who] ^ self.prints[item]) <= RADIUS
         return list(zip(who[near].tolist(), item[near].tolist()))
 
-    def similarity(self, words: list[str], p: int, size: int, item: int) -> float:
-        """Weighted Jaccard similarity of the shingles, repeats counted."""
-        bag, own = Counter(tuple(words[k : k + SHINGLE]) for k in range(p, p + size - SHINGLE + 1)), self.bags[item]
-        low = high = 0.0
-        for s in bag.keys() | own.keys():
-            w = self.weight.get(s, self.unseen)
-            low, high = low + w * min(bag[s], own[s]), high + w * max(bag[s], own[s])
-        return low / high
+
+class Slide:
+    """Weighted Jaccard similarity of an item to windows of ``m`` shingles that come in order, repeats counted.
+
+    A window near the one before costs what enters and leaves it. Sums are of whole numbers, so they don't depend on the way to a window.
+    """
+
+    def __init__(self, index: Index, words: list[str], m: int, item: int):
+        self.index, self.words, self.m, self.own = index, words, m, index.bags[item]
+        self.at, self.bag, self.low = 0, Counter(), 0
+        self.high = sum(self._weight(s) * n for s, n in self.own.items())
+        self.empty = self.high
+        self.end = 0
+
+    def _weight(self, s: tuple[str, ...]) -> int:
+        return round(self.index.weight.get(s, self.index.unseen) * (1 << 40))
+
+    def similarity(self, p: int) -> float:
+        if p >= self.end:  # nothing in common with the window before
+            self.at = self.end = p
+            self.bag, self.low, self.high = Counter(), 0, self.empty
+        for k in range(self.end, p + self.m):
+            s = tuple(self.words[k : k + SHINGLE])
+            if self.bag[s] < self.own[s]:
+                self.low += self._weight(s)
+            else:
+                self.high += self._weight(s)
+            self.bag[s] += 1
+        for k in range(self.at, p):
+            s = tuple(self.words[k : k + SHINGLE])
+            self.bag[s] -= 1
+            if self.bag[s] < self.own[s]:
+                self.low -= self._weight(s)
+            else:
+                self.high -= self._weight(s)
+            if not self.bag[s]:
+                del self.bag[s]
+        self.at, self.end = p, p + self.m
+        return self.low / self.high
 
 
 def parts(text: str | None, overlap: int) -> Iterator[tuple[int, list[str]]]:
-    """(number of the first word, words) of PART words at most, each part starting with the last ``overlap`` words before."""
+    """(number of the first word, words) of PART words, or twice the ``overlap``, at most, each part starting with the last ``overlap`` words before."""
+    size = max(PART, 2 * overlap)
     if not text:
         return
     if len(text) <= PART:
@@ -201,7 +236,7 @@ def parts(text: str | None, overlap: int) -> Iterator[tuple[int, list[str]]]:
     at = 0
     for m in _WORD.finditer(text.lower()):
         held.append(m.group())
-        if len(held) >= PART:
+        if len(held) >= size:
             yield at, held
             at += len(held) - overlap
             held = held[len(held) - overlap :] if overlap else []

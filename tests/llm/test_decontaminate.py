@@ -71,3 +71,15 @@ def test_only_leaking_rows_go(spark):
     rows = [(None, clean), (None, leaking), (None, other), (None, None), (7, clean), (7, leaking), (7, other), (7, other)]
     kept = drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(str(r) for r in rows if r[1] != leaking)
+
+
+def test_item_longer_than_a_part(spark):
+    rng = random.Random(15)
+    long_, short = sentence(rng, decontaminate.PART + 100), sentence(rng, 20)
+    bench = spark.createDataFrame([(0, long_, 1), (1, short, 1)], ITEM)
+    border = f"{sentence(rng, decontaminate.PART - 10)} {short}"
+    crossing = f"{sentence(rng, 2 * (decontaminate.PART + 99) - 10)} {short} {long_} {sentence(rng, 50)}"
+    rows = [(1, border), (2, f"{sentence(rng, 70)} {long_}"), (3, crossing)]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    at = len(crossing.split()) - 50 - len(long_.split())
+    assert got == {(1, 1): (1.0, decontaminate.PART - 10), (2, 0): (1.0, 70), (3, 1): (1.0, at - 20), (3, 0): (1.0, at)}

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from opsframe import dims
 
-DEFAULT_CAP = 1000
 
 
 def filter_by(df: DataFrame, **criteria) -> DataFrame:
@@ -176,9 +175,9 @@ PROFILES: Mapping[str, Sequence[str]] = {
 }
 
 
-def page(df: DataFrame, order: str | None = None, number: int | None = None, size: int | None = None,
+def page(df: DataFrame, order: str | None, number: int | None, size: int | None,
          descending: bool = True, tiebreak: str = "id") -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows; without a size at most 1000 rows.
+    """Page ``number`` (from 1) of ``size`` rows, which the caller must give; None for all rows.
 
     The tiebreak makes pages disjoint. Sort plus limit runs as a per-partition
     top-k, so a page costs one pass and no global sort.
@@ -188,7 +187,7 @@ def page(df: DataFrame, order: str | None = None, number: int | None = None, siz
         keys = [first] if order == tiebreak else [first, F.asc(tiebreak)]
         df = df.orderBy(*keys)
     if size is None:
-        return df.limit(DEFAULT_CAP)
+        return df
     if number is not None and number > 1:
         df = df.offset((number - 1) * size)
     return df.limit(size)

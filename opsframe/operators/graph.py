@@ -204,9 +204,9 @@ def restart_closure(edges: DataFrame, jobs: DataFrame, roots: DataFrame, only_ne
         "cyc_time", "task_type", "task_id")
 
 
-def same_day_descendants(edges: DataFrame, jobs: DataFrame, tasks: DataFrame, roots: DataFrame, levels: int = 10,
-                         only_next: bool = False) -> DataFrame:
-    """Same-day descendants; an instance of a deleted task is cut together with what lies below it."""
+def same_day_descendants(edges: DataFrame, jobs: DataFrame, tasks: DataFrame, roots: DataFrame,
+                         levels: int | None = None, only_next: bool = False) -> DataFrame:
+    """Same-day descendants, all or up to ``levels``; an instance of a deleted task is cut together with what lies below it."""
     live = jobs.join(tasks.where("is_deleted = 0").select("task_id"), "task_id", "left_semi").select("job_key")
     allowed = same_day_edges(edges).join(live, "job_key", "left_semi")
     below = walk(allowed, roots, "parent_job_key", "job_key", 1 if only_next else levels)

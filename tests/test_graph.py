@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.operators import graph, lineage
+from opsframe.operators import filters, graph, lineage
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,20 @@ def test_walks_have_no_depth_cap(spark):
     chain = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
     root = spark.createDataFrame([(0,)], "root long")
     assert [graph.descendants(chain, root, n, "a", "b").count() for n in (0, 1, 30, None)] == [0, 1, 30, 40]
+
+
+def test_same_day_descendants_have_no_depth_cap(spark):
+    keys = [f"cronJob_{k}_20240301000000" for k in range(41)]
+    chain = spark.createDataFrame(list(zip(keys, keys[1:])), "parent_job_key string, job_key string")
+    runs = spark.createDataFrame(list(enumerate(keys)), "task_id int, job_key string")
+    tasks = spark.createDataFrame([(k, 0) for k in range(41)], "task_id int, is_deleted int")
+    root = spark.createDataFrame([(keys[0],)], "root string")
+    counts = [graph.same_day_descendants(chain, runs, tasks, root, *n).count() for n in ((), (None,), (10,), (None, True))]
+    assert counts == [40, 40, 10, 1]
+
+
+def test_pages_hold_all_rows_unless_a_size_is_given(spark):
+    rows = spark.range(2500)
+    assert [filters.page(rows, "id", number, size).count() for number, size in ((None, None), (3, 1000), (1, 20))] == [2500, 500, 20]
+    with pytest.raises(TypeError):
+        filters.page(rows)

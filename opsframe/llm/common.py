@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,5 +93,19 @@ def components(edges: DataFrame) -> DataFrame:
     return everyone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+#: A byte of UTF-8 that is neither a Latin letter nor part of a longer character.
+_GAP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
+
+
+def pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A UTF-8 text in pieces of about ``size`` bytes that end before a gap between words; together they are the whole text."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 Query = Callable[[SparkSession, str], DataFrame]
-__all__ = ["Query", "components", "drop_step", "materialise", "read", "scratch_dir", "tasks", "write_step"]
+__all__ = ["Query", "components", "drop_step", "materialise", "pieces", "read", "scratch_dir", "tasks", "write_step"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from opsframe.llm.decontaminate import op10_decontaminate
+from opsframe.llm.divergence import ORACLE as DIVERGENCE_ORACLE
+from opsframe.llm.divergence import op13_source_divergence
 from opsframe.llm.embedding_join import ORACLE as EMBEDDING_ORACLE
 from opsframe.llm.embedding_join import op2_embedding_near_dedup
 from opsframe.llm.license_scan import ORACLE as LICENSE_ORACLE
@@ -27,10 +29,12 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE = {
     "op2_embedding_near_dedup": EMBEDDING_ORACLE,
     "op6_license_scan": LICENSE_ORACLE,
     "op9_url_filter": URL_ORACLE,
+    "op13_source_divergence": DIVERGENCE_ORACLE,
 }

@@ -12,6 +12,7 @@ from opsframe.llm.license_scan import op6_license_scan
 from opsframe.llm.mixing import op3_mixing
 from opsframe.llm.page_text import op5_page_text
 from opsframe.llm.simhash import op8_simhash
+from opsframe.llm.spelling import op12_spelling_variants
 from opsframe.llm.suffix_dedup import op7_suffix_dedup
 from opsframe.llm.token_count import op4_token_counts
 from opsframe.llm.toxicity import op1_toxicity
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
 

@@ -192,8 +192,9 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Ta
 
 
 def distances(rows: DataFrame) -> DataFrame:
-    """(lang, a, b, value): per pair of sources of a pair of blocks, the summed distance of shares over the partition's terms.
+    """(lang, a, b, value, seen, gap): per pair of sources of a pair of blocks, the summed distance of shares over the partition's terms.
 
+    Terms that no source of the two blocks has aren't among them; ``seen`` counts the others, ``gap`` is the distance of a missing term.
     ``rows`` hold (lang, x, y, bucket, term, block, pos, p, source), sorted by the first five: first, without a term, the sources
     of the blocks x and y with the share of a term they don't have, then the shares by term.
     """
@@ -202,6 +203,7 @@ def distances(rows: DataFrame) -> DataFrame:
         pair, bucket = None, None
         names: dict[tuple[int, int], str] = {}
         sums = absent = np.zeros((2, SIDE), dtype=np.int64)
+        seen = 0
 
         def out() -> pa.RecordBatch:
             lang, x, y = pair
@@ -210,13 +212,14 @@ def distances(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(some), pa.string()), pa.array([names[x, a] for a, _ in some], pa.string()),
                 pa.array([names[y, b] for _, b in some], pa.string()), pa.array([int(sums[a, b]) for a, b in some], pa.int64()),
-            ], ["lang", "a", "b", "value"])
+                pa.array([seen] * len(some), pa.int64()), pa.array([int(abs(absent[0, a] - absent[1, b])) for a, b in some], pa.int64()),
+            ], ["lang", "a", "b", "value", "seen", "gap"])
 
         for (lang, x, y, now, head), part in _stretches(batches):
             if (lang, x, y) != pair:
                 if pair is not None:
                     yield out()
-                pair, bucket, names, sums = (lang, x, y), None, {}, np.zeros((SIDE, SIDE), dtype=np.int64)
+                pair, bucket, names, sums, seen = (lang, x, y), None, {}, np.zeros((SIDE, SIDE), dtype=np.int64), 0
             if now != bucket:
                 bucket, absent = now, np.zeros((2, SIDE), dtype=np.int64)
             block, pos, p = (part[c].to_numpy() for c in ("block", "pos", "p"))
@@ -226,6 +229,7 @@ def distances(rows: DataFrame) -> DataFrame:
                     absent[k, pos[block == side]] = p[block == side]
                 continue
             codes = part["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+            seen += int(codes.max()) + 1
             left, right = (np.repeat(absent[k : k + 1], codes.max() + 1, axis=0) for k in (0, 1))
             for shares, side in ((left, x), (right, y)):
                 shares[codes[block == side], pos[block == side]] = p[block == side]
@@ -235,7 +239,7 @@ def distances(rows: DataFrame) -> DataFrame:
         if pair is not None:
             yield out()
 
-    return rows.mapInArrow(run, "lang string, a string, b string, value long")
+    return rows.mapInArrow(run, "lang string, a string, b string, value long, seen long, gap long")
 
 
 def _pairs(terms: DataFrame, groups: DataFrame) -> DataFrame:
@@ -255,7 +259,9 @@ def _pairs(terms: DataFrame, groups: DataFrame) -> DataFrame:
         "bucket", F.pmod(F.xxhash64("term"), buckets)).select("*", beside).select(
         "lang", *ends, "bucket", "term", "block", "pos", F.col("mine").alias("p"), F.lit(None).cast("string").alias("source"))
     rows = heads.unionByName(cells).repartition("lang", "x", "y", "bucket").sortWithinPartitions("lang", "x", "y", "bucket", F.asc_nulls_first("term"))
-    sums = distances(rows).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = distances(rows).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"), F.max("gap").alias("gap"))
+    kept = groups.groupBy("lang").agg(F.max("kept").alias("kept"))
+    sums = sums.join(kept, "lang").withColumn("value", F.col("value") + (F.col("kept") - F.col("seen")) * F.col("gap"))
     both = F.explode(F.array(
         F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("s")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))

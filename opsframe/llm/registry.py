@@ -15,6 +15,8 @@ from opsframe.llm.simhash import op8_simhash
 from opsframe.llm.spelling import op12_spelling_variants
 from opsframe.llm.suffix_dedup import op7_suffix_dedup
 from opsframe.llm.token_count import op4_token_counts
+from opsframe.llm.top_k import ORACLE as TOP_K_ORACLE
+from opsframe.llm.top_k import op11_exact_top_k
 from opsframe.llm.toxicity import op1_toxicity
 from opsframe.llm.url_filter import ORACLE as URL_ORACLE
 from opsframe.llm.url_filter import op9_url_filter
@@ -30,6 +32,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_exact_top_k": op11_exact_top_k,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -38,5 +41,6 @@ ORACLE = {
     "op2_embedding_near_dedup": EMBEDDING_ORACLE,
     "op6_license_scan": LICENSE_ORACLE,
     "op9_url_filter": URL_ORACLE,
+    "op11_exact_top_k": TOP_K_ORACLE,
     "op13_source_divergence": DIVERGENCE_ORACLE,
 }

@@ -13,6 +13,7 @@ SHAPES = {
     "op5_page_text": ["page_id", "url", "text", "n_chars"],
     "op7_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op12_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
     "op10_decontaminate": ["doc_id", "item_id", "similarity", "first_word"],
 }
 
@@ -36,5 +37,5 @@ def test_query_has_its_columns(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(registry.QUERIES) == set(registry.ORACLE) | set(SHAPES)

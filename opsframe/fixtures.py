@@ -62,6 +62,16 @@ SELECT DISTINCT input_table_id, result_table_id FROM (
   UNION ALL
   SELECT p_partkey, p_partkey - 5 FROM part WHERE p_partkey % 50 = 0) e
 WHERE result_table_id >= 1
+""",
+    # groups of thirty tables, in layers, with ways back
+    "layer_edges": """
+SELECT DISTINCT input_table_id, result_table_id FROM (
+  SELECT p_partkey AS input_table_id, p_partkey + 1 + p_partkey % 3 AS result_table_id FROM part
+  UNION ALL
+  SELECT p_partkey, p_partkey + 7 FROM part WHERE p_partkey % 4 = 1
+  UNION ALL
+  SELECT p_partkey, p_partkey - 5 FROM part WHERE p_partkey % 60 = 20) e
+WHERE floor(input_table_id / 30) = floor(result_table_id / 30)
 """,
     "lineage_refs": """
 SELECT p_partkey AS input_table_id, p_partkey + 1 + p_partkey % 3 AS result_table_id, 1 AS app_type,

@@ -129,7 +129,7 @@ def display_edges(edges: DataFrame, jobs: DataFrame, flow_view: bool = False) ->
 def nest(levels: DataFrame, parent: str, child: str) -> DataFrame:
     """A walk as a tree: (root, node, parent, level, path). A node hangs below its smallest parent of the level above.
 
-    The result stays flat; the path orders it and can be of any depth.
+    The result stays flat; the path orders it and can be of any depth: paths are joined from pieces, twice as long each round.
     """
     # an edge back to the root hangs nothing
     levels = levels.where(F.col(child) != F.col("root"))
@@ -137,21 +137,17 @@ def nest(levels: DataFrame, parent: str, child: str) -> DataFrame:
     hung = levels.join(first, ["root", child, "level"], "left_semi").groupBy("root", "level", child).agg(
         F.min(parent).alias(parent))
     hung, _ = materialise(hung, "hung")
-    top = hung.select("root").distinct().select("root", F.col("root").alias("node"))
-    known, out = top.withColumn("path", F.array(F.col("node").cast("string"))), None
-    depth = hung.agg(F.max("level").alias("n")).first()["n"] or 0
-    for level in range(1, depth + 1):
-        rows = hung.where(F.col("level") == level).select(
-            "root", F.col(parent).alias("_parent"), F.col(child).alias("_child"))
-        step = rows.join(known.withColumnRenamed("node", "_parent"), ["root", "_parent"], "inner").select(
-            "root", F.col("_child").alias("node"), F.col("_parent").alias("parent"), F.lit(level).alias("level"),
-            F.array_append("path", F.col("_child").cast("string")).alias("path"))
-        step, _ = materialise(step, "tree")
-        known = step.select("root", "node", "path")
-        out = step if out is None else out.unionByName(step)
-    if out is None:
-        out = known.select("root", "node", F.col("node").alias("parent"), F.lit(0).alias("level"), "path").limit(0)
-    return out
+    # each row holds its path below an ancestor; a round takes the ancestor's own row in front and so doubles what it spans
+    rows = hung.select("root", F.col(child).alias("node"), F.col(parent).alias("parent"), "level", F.col(parent).alias("_up"),
+                       F.array(F.col(child).cast("string")).alias("path"))
+    reached, depth = 1, hung.agg(F.max("level").alias("n")).first()["n"] or 0
+    while reached < depth:
+        above = rows.select("root", F.col("node").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_front"))
+        rows, _ = materialise(rows.join(above, ["root", "_up"], "left").select(
+            "root", "node", "parent", "level", F.coalesce("_next", "_up").alias("_up"),
+            F.when(F.col("_next").isNull(), F.col("path")).otherwise(F.concat("_front", "path")).alias("path")), "tree")
+        reached *= 2
+    return rows.withColumn("path", F.concat(F.array(F.col("root").cast("string")), "path")).drop("_up")
 
 
 def child_lists(levels: DataFrame, parent: str, child: str, size: int = 1000, limit: int | None = None) -> DataFrame:

@@ -273,7 +273,7 @@ def _(f):
 
 @query("d33_fill_preview", f"""
 SELECT *, count(*) OVER () AS fill_total FROM ({_PROGRESS}) p
-WHERE id IN (SELECT fill_id FROM jobs WHERE fill_id > 0 AND period_type IN (0, 1)) ORDER BY id DESC LIMIT 1000
+WHERE id IN (SELECT fill_id FROM jobs WHERE fill_id > 0 AND period_type IN (0, 1))
 """)
 def _(f):
     return jobs.fill_preview(f.fills, f.jobs, period_type=[0, 1])

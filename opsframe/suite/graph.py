@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opsframe.operators import graph, lineage
+from opsframe.operators import graph, lineage, reach
 from opsframe.suite import query
 from opsframe.suite.calendar import _KEYED, keyed
 
@@ -84,6 +84,39 @@ def _(f):
     return graph.find_cycles(f.lineage_edges, _last_tables(f), "input_table_id", "result_table_id")
 
 
+# All pairs of tables of which one leads to the other.
+_ALL = """reach(root, node) AS (SELECT input_table_id, result_table_id FROM {edges} UNION
+  SELECT w.root, e.result_table_id FROM reach w JOIN {edges} e ON e.input_table_id = w.node)"""
+
+
+@query("h03_cyclic_edges", f"""
+WITH RECURSIVE {_ALL.format(edges='lineage_edges')},
+both_ways AS (SELECT a.root AS node, least(a.root, min(a.node)) AS component FROM reach a JOIN reach b ON a.root = b.node AND a.node = b.root GROUP BY a.root)
+SELECT input_table_id, result_table_id, p.component FROM lineage_edges e JOIN both_ways p ON p.node = e.input_table_id
+JOIN both_ways q ON q.node = e.result_table_id AND q.component = p.component
+""")
+def _(f):
+    return reach.cyclic_edges(f.lineage_edges, "input_table_id", "result_table_id")
+
+
+@query("h10_upstream_of_all", f"""
+WITH RECURSIVE {_ALL.format(edges='layer_edges')},
+met AS (SELECT node AS root, root AS node FROM reach UNION SELECT result_table_id, result_table_id FROM layer_edges)
+SELECT root, input_table_id, result_table_id FROM met JOIN layer_edges ON result_table_id = node
+""")
+def _(f):
+    return reach.closure_edges(f.layer_edges, "result_table_id", "input_table_id")
+
+
+@query("h11_downstream_of_all", f"""
+WITH RECURSIVE {_ALL.format(edges='layer_edges')},
+met AS (SELECT root, node FROM reach UNION SELECT input_table_id, input_table_id FROM layer_edges)
+SELECT root, input_table_id, result_table_id FROM met JOIN layer_edges ON input_table_id = node
+""")
+def _(f):
+    return reach.closure_edges(f.layer_edges, "input_table_id", "result_table_id")
+
+
 @query("h04_display_edges", f"""
 SELECT job_key, parent_job_key FROM ({_KEYED}) e JOIN job_runs c USING (job_key)
 WHERE left(right(e.job_key, 14), 8) = left(right(parent_job_key, 14), 8)
@@ -181,7 +214,7 @@ def _(f):
 @query("h09_same_day_descendants", f"""
 WITH RECURSIVE same AS (SELECT s.* FROM ({_SAME_DAY}) s JOIN job_runs j ON j.job_key = s.job_key
   JOIN tasks t ON t.task_id = j.task_id AND t.is_deleted = 0),
-{_bfs('SELECT * FROM same', 'parent_job_key', 'job_key', _FIRST_OF_DAY, 10)}
+{_bfs('SELECT * FROM same', 'parent_job_key', 'job_key', _FIRST_OF_DAY)}
 SELECT root, CAST(level AS INTEGER) AS level, node AS job_key FROM nodes WHERE level > 0
 """)
 def _(f):

@@ -7,6 +7,7 @@ milliseconds. A series is a distinct label map; its sorted entries serve as key.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
@@ -289,14 +290,26 @@ def sync_metric(df: DataFrame, name: str, start: dt.datetime | int, end: dt.date
 
 def last_location(df: DataFrame, runs: DataFrame, name: str = "endLocation", slack_ms: int = 60_000) -> DataFrame:
     """(id, location) of finished runs (id, job_id, exec_start_time, exec_end_time): the metric up to one minute after
-    their end. 0 or nothing gives no row."""
+    their end. 0 or nothing gives no row.
+
+    Runs and samples meet in slots of time as long as the average run: n runs cover at most 3 n slots, a sample lies in one, so a
+    job's samples aren't put beside all of its runs.
+    """
     points = df.where(F.col("metric") == name).select(
         F.try_element_at("labels", F.lit("job_id")).alias("job_id"), _entries(F.col("labels")).alias(_KEY), "ts",
         "value")
     bounds = runs.select("id", F.col("job_id").cast("string").alias("job_id"),
                          F.unix_millis(F.col("exec_start_time").cast("timestamp")).alias("_lo"),
                          (F.unix_millis(F.col("exec_end_time").cast("timestamp")) + slack_ms).alias("_hi"))
-    near = points.join(bounds, "job_id", "inner").where(F.col("ts").between(F.col("_lo"), F.col("_hi")))
+    mean = bounds.where("_hi >= _lo").agg(F.avg(F.col("_hi") - F.col("_lo"))).first()[0]
+    width = max(1, math.ceil(mean or 1))
+
+    def slot(c: str) -> Column:
+        return F.floor(F.col(c) / F.lit(width)).cast("long")
+
+    spread = bounds.where("_hi >= _lo").withColumn("_slot", F.explode(F.sequence(slot("_lo"), slot("_hi"))))
+    near = points.withColumn("_slot", slot("ts")).join(spread, ["job_id", "_slot"], "inner").where(
+        F.col("ts").between(F.col("_lo"), F.col("_hi")))
     per_series = near.groupBy("id", _KEY).agg(F.max_by("value", "ts").alias("value"))
     total = per_series.groupBy("id").agg(
         F.sum(F.greatest(F.col("value"), F.lit(0.0)).cast("long")).alias("location"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.dims import SOURCE_TYPE, STATUS
+from opsframe.operators.series import last_location
 from opsframe.plans.storage import scratch_dir
 from opsframe.sources.registry import read_files, read_source
 
@@ -259,6 +260,21 @@ def start_location(history: DataFrame, task_id: object, cyc_time: str) -> str |
     return None if last in (None, "", "0") else last
 
 
+def with_end_locations(history: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Runs (task_id, id, status, cyc_time, job_id, exec_start_time, exec_end_time) with the ``end_location`` that their metric reports."""
+    ends = last_location(metrics, history.where(F.col("status") == STATUS["FINISHED"])).select(
+        "id", F.col("location").cast("string").alias("end_location"))
+    return history.join(ends, "id", "left")
+
+
+def start_locations(history: DataFrame, cyc_time: str) -> DataFrame:
+    """(task_id, start_location): where the next increment of each task begins, for all tasks at once; null means everything."""
+    done = history.where((F.col("status") == STATUS["FINISHED"]) & (F.col("cyc_time") < cyc_time)).groupBy("task_id").agg(
+        F.max_by("end_location", F.struct("cyc_time", "id")).alias("at"))
+    tasks = history.select("task_id").distinct()
+    return tasks.join(done, "task_id", "left").select("task_id", F.when(~F.col("at").isin("", "0"), F.col("at")).alias("start_location"))
+
+
 def sync_incremental(spark: SparkSession, document: str | Mapping, history: DataFrame, task_id: object,
                      cyc_time: str, **options) -> dict[str, object]:
     """A normal run that starts after the end of the last finished one; without such an end everything is read.
@@ -275,19 +291,66 @@ def sync_incremental(spark: SparkSession, document: str | Mapping, history: Data
     return sync(spark, job, **options)
 
 
+_LEDGER = "numRead long, numWrite long, nErrors long, conversionErrors long, nullErrors long, otherErrors long, batch long"
+
+
+def stream_report(spark: SparkSession, checkpoint: str, before: int | None = None) -> DataFrame:
+    """One row: the counters of a restorable sync over all its batches, or those before one."""
+    ledger = spark.read.schema(_LEDGER).parquet(f"{checkpoint}/ledger")
+    if before is not None:
+        ledger = ledger.where(F.col("batch") < before)
+    return ledger.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ledger.columns if c != "batch"])
+
+
+def _commit(job: SyncJob, checkpoint: str, required: Sequence[str], task_name: str):
+    """``foreachBatch`` function that copies a batch: staged once, entered in the ledger, checked, then published.
+
+    Every folder carries the batch number and is replaced as a whole, so a batch that was cut off at any point and comes again
+    leaves what one run of it leaves. Limits count all batches: the batch that passes them is not published and fails again until they
+    are raised.
+    """
+    record, percentage = job.limits
+    dirty_path = job.setting.get("dirty", {}).get("path")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        targets = _targets(job, batch)
+        names = [n for _, n, _ in targets]
+        flagged = flag_dirty(batch, targets)
+        bad = F.size("_faults") > 0
+        for c in required:
+            bad = bad | F.col(c).isNull()
+        seen = Observation()
+        staging = f"{checkpoint}/staging/batch={batch_id}"
+        flagged.observe(seen, *counters(required)).withColumn("_bad", bad).write.mode("overwrite").partitionBy("_bad").parquet(staging)
+        entry = spark.createDataFrame([{k: int(v) for k, v in seen.get.items()}], _LEDGER.rpartition(",")[0])
+        entry.write.mode("overwrite").parquet(f"{checkpoint}/ledger/batch={batch_id}")
+        total = stream_report(spark, checkpoint, batch_id + 1).first().asDict()
+        check_limits(total, record, percentage)
+        staged = spark.read.schema(flagged.withColumn("_bad", F.lit(True)).schema).parquet(staging)
+        if dirty_path:
+            staged.where("_bad").select(F.col("_row").alias("row"), F.col("_faults").alias("faults")).write.mode("overwrite").parquet(
+                f"{dirty_path}/task_name={task_name}/batch={batch_id}")
+        kind = job.writer.get("fileType", "parquet")
+        staged.where("NOT _bad").select(*names).write.mode("overwrite").format(kind).save(f"{job.writer['path']}/batch={batch_id}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return write
+
+
 def sync_stream(spark: SparkSession, document: str | Mapping, checkpoint: str, schema: str,
-                options: Mapping[str, str] | None = None):
-    """A restorable sync: file source to file sink with a checkpoint, everything available now, then stops.
+                options: Mapping[str, str] | None = None, required: Sequence[str] = (), task_name: str = "sync"):
+    """A restorable sync: files to files with a checkpoint, everything available now, then stops.
 
-    A run that was interrupted goes on where it stopped; files are copied once.
+    A run that was interrupted goes on where it stopped, and every row is copied once. Rows at fault are counted by kind, kept
+    in the folder for dirty rows if the job names one, and held against its limits, over all runs with this checkpoint. Good rows lie
+    in one folder per batch.
     """
     job = SyncJob.parse(document)
-    p, w = job.reader, job.writer
+    p = job.reader
     stream = spark.readStream.schema(schema).options(**(options or {})).format(
         p.get("fileType", "parquet")).load(p["path"])
     columns = [c["name"] for c in p.get("column", [])]
     rows = stream.select(*columns) if columns else stream
-    targets = _targets(job, rows)
-    good = flag_dirty(rows, targets).where(F.size("_faults") == 0).select(*[n for _, n, _ in targets])
-    return good.writeStream.format(w.get("fileType", "parquet")).option("path", w["path"]).option(
+    return rows.writeStream.foreachBatch(_commit(job, checkpoint, required, task_name)).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()

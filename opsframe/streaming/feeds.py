@@ -8,15 +8,15 @@ for a stream inside ``foreachBatch`` with a small state table beside it.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from opsframe import dims
 from opsframe.functions.params import render
-from opsframe.operators.jobs import expire_checkpoints
 from opsframe.plans.ordered import carried, find_hot, neighbour, numbered
 
 STREAM, BATCH = 0, 1
@@ -142,41 +142,63 @@ def checkpoint_rows(feed: DataFrame, doc: str = "doc", delay: str = "1 day") ->
     return done.dropDuplicates(["task_engine_id", "checkpoint_id"])
 
 
+#: State of a retention sink is cut into this many folders by run; a batch reads and rewrites those of its runs.
+BUCKETS = 64
+_KEPT = "task_id long, task_engine_id string, checkpoint_id long, checkpoint_savepath string, is_deleted int"
+
+
+def _generations(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Batches that wrote each bucket of the state, ascending. At most two are kept of a bucket."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = fs.Path(f"{path}/kept/batch=*/bucket=*")
+    out: dict[int, list[int]] = {}
+    for status in found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []:
+        at = status.getPath()
+        out.setdefault(int(at.getName().split("=")[1]), []).append(int(at.getParent().getName().split("=")[1]))
+    return {b: sorted(n) for b, n in out.items()}
+
+
+def _read_kept(spark: SparkSession, path: str, batches: Mapping[int, int]) -> DataFrame:
+    """The state of some buckets, each as of one batch."""
+    folders = [f"{path}/kept/batch={n}/bucket={b}" for b, n in batches.items()]
+    return spark.read.schema(_KEPT).parquet(*folders) if folders else spark.createDataFrame([], _KEPT)
+
+
 def retention_sink(path: str, n: int):
-    """``foreachBatch`` function: appends new checkpoints and a note of those that fall below the n newest of their run.
+    """``foreachBatch`` function: keeps the n newest checkpoints of each run and notes those that fall below.
 
-    Only the runs of the batch are looked at. Both writes replace their own batch
-    folder, so a repeated batch changes nothing.
+    The state holds the n newest of each run and nothing else, in ``BUCKETS`` folders by run. A batch reads the folders of its own runs, as they
+    were before it, and writes their next generation; what it reads doesn't grow with the history. All writes replace the batch's own
+    folders, and the generation before stays until the next one, so a repeated batch changes nothing. All reported rows
+    are appended under ``rows``, the notes under ``gone``; neither is read again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("task_id", "task_engine_id", "checkpoint_id", "checkpoint_savepath",
-                            F.lit(0).alias("is_deleted"))
+        bucket = F.pmod(F.xxhash64("task_engine_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        rows = batch.select("task_id", "task_engine_id", "checkpoint_id", "checkpoint_savepath", F.lit(0).alias("is_deleted"))
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        touched = rows.select("task_engine_id").distinct()
-        known = rows if batch_id == 0 else read_retained(spark, path, batch_id)
-        live = known.join(touched, "task_engine_id", "left_semi")
-        gone = expire_checkpoints(live, n).where("is_deleted = 1").select("task_engine_id", "checkpoint_id")
+        stored = spark.read.schema(_KEPT).parquet(f"{path}/rows/batch={batch_id}")
+        touched = [r["bucket"] for r in stored.select(bucket).distinct().collect()]  # BUCKETS numbers at most
+        made = _generations(spark, path)
+        before = {b: max(g) for b in touched if (g := [k for k in made.get(b, []) if k < batch_id])}
+        known = stored.unionByName(_read_kept(spark, path, before)).dropDuplicates(["task_engine_id", "checkpoint_id"])
+        newest = Window.partitionBy("task_engine_id").orderBy(F.desc("checkpoint_id"))
+        ranked = known.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n)
+        ranked.drop("_rn").select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/kept/batch={batch_id}")
+        kept = _read_kept(spark, path, dict.fromkeys(touched, batch_id)).select("task_engine_id", "checkpoint_id")
+        gone = known.select("task_engine_id", "checkpoint_id").join(kept, ["task_engine_id", "checkpoint_id"], "left_anti")
         gone.write.mode("overwrite").parquet(f"{path}/gone/batch={batch_id}")
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for b, g in before.items():  # generations that no repetition of this batch needs
+            for old in (k for k in made[b] if k < g):
+                at = fs.Path(f"{path}/kept/batch={old}/bucket={b}")
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return write
 
 
-_ROWS = "task_id long, task_engine_id string, checkpoint_id long, checkpoint_savepath string, is_deleted int, batch long"
-_GONE = "task_engine_id string, checkpoint_id long, batch long"
-
-
-def read_retained(spark: SparkSession, path: str, during: int | None = None) -> DataFrame:
-    """Checkpoints of a retention sink, after at least one batch, that are still kept.
-
-    ``during`` gives the view inside that batch: its rows are in, its notes are not.
-    """
-    rows = spark.read.schema(_ROWS).parquet(f"{path}/rows")
-    gone = spark.read.schema(_GONE).parquet(f"{path}/gone")
-    if during is not None:
-        rows, gone = rows.where(F.col("batch") <= during), gone.where(F.col("batch") < during)
-    rows = rows.drop("batch").dropDuplicates(["task_engine_id", "checkpoint_id"])
-    gone = gone.select("task_engine_id", "checkpoint_id")
-    return rows.join(gone, ["task_engine_id", "checkpoint_id"], "left_anti")
+def read_retained(spark: SparkSession, path: str) -> DataFrame:
+    """Checkpoints that a retention sink still keeps."""
+    return _read_kept(spark, path, {b: g[-1] for b, g in _generations(spark, path).items()})
 
 
 def clean_stopped(checkpoints: DataFrame, stopped: DataFrame) -> DataFrame:
@@ -197,14 +219,80 @@ def silent_jobs(reports: DataFrame, timeout_s: int, now: dt.datetime, limit: int
         "job_id", F.col("ts").alias("since"), F.lit(FAILED).alias("status"))
 
 
+_WAITING = "ts long, event_id long, status int"
+_LAST = "ts long, event_id long, status int, told boolean"
+
+
+class _Silence(StatefulProcessor):
+    """Per job: its last settled report and the reports that may still be overtaken by older ones.
+
+    A report is settled once the watermark has passed it, so results don't depend on the order of arrival. A timer at the moment when
+    the last report turns stale makes silence known without a new report of the job.
+    """
+
+    def __init__(self, timeout_us: int, stopped: tuple[int, ...]):
+        self.timeout, self.stopped = timeout_us, frozenset(stopped)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _LAST)
+        self.waiting = handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r["ts"], r["event_id"], r["status"]) for r in rows]
+        return self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000, new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000, [])
+
+    def _settle(self, job, mark: int, new: list):
+        out = []
+        last = tuple(self.last.get()) if self.last.exists() else None
+        waiting = sorted([*(tuple(r) for r in self.waiting.get()), *new], key=lambda r: (r[0], r[1]))
+
+        def stale(until: int) -> bool:
+            return last is not None and not last[3] and last[2] not in self.stopped and until - last[0] >= self.timeout
+
+        ready = [r for r in waiting if r[0] <= mark]
+        for report in ready:
+            if stale(report[0]):
+                out.append(Row(job_id=job, since=last[0]))
+            last = (*report, False)
+        if stale(mark):
+            out.append(Row(job_id=job, since=last[0]))
+            last = (*last[:3], True)
+        rest = waiting[len(ready):]
+        if last is not None:
+            self.last.update(last)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        due = [r[0] for r in rest[:1]]
+        if last is not None and not last[3] and last[2] not in self.stopped:
+            due.append(last[0] + self.timeout)
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
 def silent_jobs_stream(reports: DataFrame, timeout_s: int, delay: str = "1 minute") -> DataFrame:
-    """The same on a stream: a session that closes without a stop status means silence since its last report."""
-    place = F.struct("ts", "event_id")
-    sessions = stamped(reports).withWatermark("ts", delay).groupBy(
-        "job_id", F.session_window("ts", f"{timeout_s} seconds")).agg(
-        F.max("ts").alias("since"), F.max_by("status", place).alias("_last"))
-    return sessions.where(~F.col("_last").isin(dims.STOPPED)).select(
-        "job_id", "since", F.lit(FAILED).alias("status"))
+    """The same on a stream, told as soon as the watermark, ``delay`` behind the newest report of any job, shows the silence.
+
+    Keyed state with event-time timers: one settled report per job and what arrived within the delay. Reports behind the watermark are left out
+    and counted (``run_to_files``). Needs a state store with timers, see ``run_to_files``.
+    """
+    marked = stamped(reports).withWatermark("ts", delay).select(
+        "job_id", F.col("ts").alias("_at"), F.unix_micros("ts").alias("ts"), "event_id", "status")
+    kind = dict(marked.dtypes)["job_id"]
+    found = marked.groupBy("job_id").transformWithState(
+        _Silence(timeout_s * 1_000_000, tuple(dims.STOPPED)), f"job_id {kind}, since long", "Append", "EventTime")
+    return found.select("job_id", F.timestamp_micros("since").alias("since"), F.lit(FAILED).alias("status"))
 
 
 # --- J6 ------------------------------------------------------------------------------------------
@@ -277,8 +365,33 @@ def _sessions(rows: DataFrame, gap: str, by: tuple[str, ...], ts: str, limit: in
         "start", (F.col("_last") + pace).alias("end"), *by, "cnt")
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink: Any = None) -> None:
-    """Runs a stream over all data available now into Parquet, one folder per micro-batch."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
-        sink or alert_sink(path)).trigger(availableNow=True).start()
+#: The built-in state store that can hold timers and several states per key.
+_TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink: Any = None, timers: bool = False) -> int:
+    """Runs a stream over all data available now into Parquet, one folder per micro-batch; returns how many rows came too late.
+
+    ``timers`` picks the state store that keyed state with timers needs, for this stream only.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
+        sink or alert_sink(path)).trigger(availableNow=True)
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE_CONF)
+    if timers:
+        conf.set(_STORE_CONF, _TIMER_STORE)
+    try:
+        query = writer.start()  # takes its own copy of the settings
+    finally:
+        conf.set(_STORE_CONF, before)
     query.awaitTermination()
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest version of each key that a stream in update mode has stored batch by batch."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
+    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])

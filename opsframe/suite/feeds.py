@@ -31,6 +31,20 @@ def _store(f, stream, mode="append", sink=None):
     return f"{base}/out"
 
 
+def _fed(f, make, mode="append", sink=None, timers=False, parts=3):
+    """Feeds ``make(events stream)`` the events in ``parts`` deliveries by time, with a restart after each; returns the sink's folder."""
+    spark = f._spark
+    base = f"{scratch_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = f.events.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000)).first()[0]
+    share = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(parts):
+        f.events.where(share == k).write.mode("append").parquet(f"{base}/in")
+        stream = make(spark.readStream.schema(f.events.schema).parquet(f"{base}/in"))
+        feeds.run_to_files(stream, f"{base}/out", f"{base}/state", mode, sink(f"{base}/out") if sink else None, timers)
+    return f"{base}/out"
+
+
 # An ordered fold, one report after the other.
 _FOLD = """
 WITH RECURSIVE r AS (SELECT job_id, compute_type, status, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS n
@@ -50,8 +64,8 @@ def _(f):
 
 @query("j01_current_status_stream", _FOLD)
 def _(f):
-    path = _store(f, feeds.current_status(_reports(_events_stream(f))), "complete")
-    return f._spark.read.parquet(path).select("job_id", "status")
+    path = _fed(f, lambda events: feeds.current_status(_reports(events)), "update")
+    return feeds.read_latest(f._spark, path, ["job_id"]).select("job_id", "status")
 
 
 def _debounced(n: int, span: int) -> str:
@@ -70,7 +84,7 @@ def _(f):
 
 @query("j02_debounce_stream", _debounced(3, 36_000))
 def _(f):
-    path = _store(f, _reports(_events_stream(f)), sink=lambda p: feeds.debounce_sink(p, 3, 36_000))
+    path = _fed(f, _reports, sink=lambda p: feeds.debounce_sink(p, 3, 36_000))
     return f._spark.read.parquet(f"{path}/rows").select("event_id", "status")
 
 
@@ -112,8 +126,7 @@ SELECT task_engine_id, checkpoint_id FROM ({_DONE}) d
 QUALIFY row_number() OVER (PARTITION BY task_engine_id ORDER BY checkpoint_id DESC) <= 20
 """)
 def _(f):
-    rows = feeds.checkpoint_rows(_histories(_events_stream(f)), delay="60 days")
-    path = _store(f, rows, sink=lambda p: feeds.retention_sink(p, 20))
+    path = _fed(f, lambda events: feeds.checkpoint_rows(_histories(events), delay="60 days"), sink=lambda p: feeds.retention_sink(p, 20))
     return feeds.read_retained(f._spark, path).select("task_engine_id", "checkpoint_id")
 
 
@@ -138,6 +151,17 @@ def _(f):
     return feeds.silent_jobs(f.status_feed, 43_200, dt.datetime(2024, 2, 1))
 
 
+@query("j05_silent_jobs_stream", """
+WITH m AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS mark FROM status_feed),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS nxt FROM status_feed)
+SELECT job_id, ts AS since, 8 AS status FROM n, m WHERE epoch_us(ts) <= mark
+AND least(coalesce(epoch_us(nxt), mark), mark) - epoch_us(ts) >= 43200 * 1000000::BIGINT AND status NOT IN (5, 7, 8, 9, 12, 13, 18, 21, 24, 26)
+""")
+def _(f):
+    path = _fed(f, lambda events: feeds.silent_jobs_stream(_reports(events), 43_200, "1 hour"), timers=True)
+    return f._spark.read.parquet(path).select("job_id", F.col("since").cast("timestamp_ntz").alias("since"), "status")
+
+
 _ALERTS = """
 SELECT a.alarm_id, c.channel_id, c.gate_type, coalesce(r.user_id, -1) AS user_id,
 concat('job ', a.job_id, ' on channel, value ', CAST(floor(value) AS BIGINT)) AS content
@@ -214,9 +238,8 @@ def _(f):
 
 @query("j09_live_profile_stream", f"SELECT strftime(s, '%Y-%m-%d %H') AS start, event_type, cnt FROM ({_TUMBLE}) t")
 def _(f):
-    stream = feeds.live_profile(_events_stream(f), "6 hours", by=("event_type",))
-    path = _store(f, stream, "complete")
-    return f._spark.read.parquet(path).select(
+    path = _fed(f, lambda events: feeds.live_profile(events, "6 hours", by=("event_type",)), "update")
+    return feeds.read_latest(f._spark, path, ["start", "end", "event_type"]).select(
         F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "cnt")
 
 

@@ -251,6 +251,63 @@ def _(f):
     return spark.read.parquet(target).select("id", F.floor("amount").alias("amount"))
 
 
+_AMOUNT = "TRY_CAST(amount_text AS BIGINT)"
+
+
+@query("a18_sync_stream_dirty", f"""
+SELECT 'report' AS kind, count(*) AS n, CAST(count(*) - count_if({_AMOUNT} IS NULL OR kind IS NULL) AS BIGINT) AS good,
+CAST(count_if({_AMOUNT} IS NULL) AS BIGINT) AS broken, CAST(count_if({_AMOUNT} IS NOT NULL AND kind IS NULL) AS BIGINT) AS missing FROM sync_source
+UNION ALL SELECT 'rows', count(*), CAST(sum({_AMOUNT}) AS BIGINT), max(id), min(id) FROM sync_source WHERE {_AMOUNT} IS NOT NULL AND kind IS NOT NULL
+UNION ALL SELECT 'dirty', count(*), 0, 0, 0 FROM sync_source WHERE {_AMOUNT} IS NULL OR kind IS NULL
+""")
+def _(f):
+    """Three deliveries with a restart after each."""
+    spark = f._spark
+    base = _fresh(spark, "restored")
+    job = {"content": [{
+        "reader": {"path": f"{base}/in", "column": [{"name": c} for c in ("id", "amount_text", "kind")]},
+        "writer": {"path": f"{base}/out", "column": [
+            {"name": "id", "type": "bigint"}, {"name": "amount", "type": "bigint"}, {"name": "kind", "type": "string"}]}}],
+        "setting": {"restore": {"isRestore": True}, "errorLimit": {"percentage": 90}, "dirty": {"path": f"{base}/dirty"}}}
+    for k in range(3):
+        f.sync_source.where(F.col("id") % 3 == k).write.mode("append").parquet(f"{base}/in")
+        schema = ", ".join(f"{n} {t}" for n, t in f.sync_source.dtypes)
+        sync.sync_stream(spark, job, f"{base}/state", schema, required=["kind"]).awaitTermination()
+    zero = F.lit(0).cast("long")
+    report = sync.stream_report(spark, f"{base}/state").select(
+        F.lit("report").alias("kind"), F.col("numRead").alias("n"), F.col("numWrite").alias("good"), F.col("conversionErrors").alias("broken"),
+        F.col("nullErrors").alias("missing"))
+    rows = spark.read.parquet(f"{base}/out").agg(
+        F.lit("rows").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("good"), F.max("id").alias("broken"), F.min("id").alias("missing"))
+    dirty = spark.read.parquet(f"{base}/dirty").agg(
+        F.lit("dirty").alias("kind"), F.count(F.lit(1)).alias("n"), zero.alias("good"), zero.alias("broken"), zero.alias("missing"))
+    return report.unionByName(rows).unionByName(dirty)
+
+
+@query("a16_start_locations", """
+WITH r AS (SELECT c_custkey AS id, c_custkey % 50 AS task_id, c_custkey AS job_id, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 5 END AS status,
+  strftime(TIMESTAMP '2024-01-05' + INTERVAL 1 DAY * (c_custkey % 20), '%Y%m%d%H%M%S') AS cyc,
+  TIMESTAMP '2024-01-05 00:00:00' + INTERVAL 1 HOUR * c_nationkey AS lo, TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 1 HOUR * c_nationkey AS hi FROM customer),
+e AS (SELECT id, CAST(sum(CAST(trunc(greatest(v, 0)) AS BIGINT)) AS VARCHAR) AS loc FROM (
+  SELECT r.id, event_id % 4 AS sub, max_by(value, ts) AS v FROM r JOIN events e ON e.user_id = r.job_id
+  WHERE r.status = 5 AND event_type = 'signup' AND epoch_ms(ts) BETWEEN epoch_ms(lo) AND epoch_ms(hi) + 60000 GROUP BY ALL) z
+  GROUP BY id HAVING sum(CAST(trunc(greatest(v, 0)) AS BIGINT)) <> 0),
+d AS (SELECT task_id, arg_max_null(loc, (cyc, id)) AS loc FROM r LEFT JOIN e USING (id) WHERE status = 5 AND cyc < '20240120000000' GROUP BY task_id)
+SELECT DISTINCT task_id, d.loc AS start_location FROM r LEFT JOIN d USING (task_id)
+""")
+def _(f):
+    from opsframe.suite.series import _named
+
+    at = F.lit(dt.datetime(2024, 1, 5)).cast("timestamp_ntz")
+    hours = F.make_dt_interval(hours=F.col("c_nationkey").cast("int"))
+    key = F.col("c_custkey")
+    runs = f.customer.select(
+        key.alias("id"), (key % 50).alias("task_id"), key.alias("job_id"), F.when(key % 3 == 0, 8).otherwise(5).alias("status"),
+        F.date_format(at + F.make_dt_interval(days=(key % 20).cast("int")), "yyyyMMddHHmmss").alias("cyc_time"), (at + hours).alias("exec_start_time"),
+        (F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz") + hours).alias("exec_end_time"))
+    return sync.start_locations(sync.with_end_locations(runs, _named(f)), "20240120000000")
+
+
 @query("a11_partition_map", """
 SELECT id, strftime(cyc_ts, '%Y/%m') AS pt FROM job_runs
 """)

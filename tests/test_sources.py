@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from opsframe.operators import series
 from opsframe.sources import registry, script, sync
 
 
@@ -119,3 +120,72 @@ def test_increments_add_to_one_target(spark, tmp_path):
     job["content"][0]["writer"]["writeMode"] = "overwrite"
     with pytest.raises(ValueError):
         sync.sync_incremental(spark, job, history, 1, "20240103000000")
+
+
+def _stream_job(base, **setting):
+    return {"content": [{
+        "reader": {"path": f"{base}/in", "column": [{"name": "id"}, {"name": "amount"}]},
+        "writer": {"path": f"{base}/out", "column": [{"name": "id", "type": "bigint"}, {"name": "amount", "type": "bigint"}]}}],
+        "setting": {"dirty": {"path": f"{base}/dirty"}, **setting}}
+
+
+def _deliver(spark, base, k):
+    spark.range(100 * k, 100 * k + 100).selectExpr("id", "if(id % 10 = 3, 'bad', cast(id AS string)) AS amount").coalesce(1).write.mode(
+        "append").parquet(f"{base}/in")
+
+
+@pytest.mark.parametrize("cut", ["before the ledger", "before publishing", "after publishing"])
+def test_restorable_sync_survives_a_cut_off_batch(spark, tmp_path, monkeypatch, cut):
+    """Three batches, the second is cut off and comes again: same rows and counters as one batch sync."""
+    base, schema = str(tmp_path), "id long, amount string"
+    job = _stream_job(base)
+
+    def run():
+        sync.sync_stream(spark, job, f"{base}/state", schema).awaitTermination()
+
+    _deliver(spark, base, 0)
+    run()
+    _deliver(spark, base, 1)
+    name = {"before the ledger": "counters", "before publishing": "check_limits", "after publishing": "check_limits"}[cut]
+    if cut == "after publishing":  # the batch is complete, only Spark's own note of it is missing
+        run()
+        for p in (tmp_path / "state" / "commits").glob("*1*"):
+            p.unlink()
+    else:
+        with monkeypatch.context() as m:
+            m.setattr(sync, name, lambda *a: 1 / 0)
+            with pytest.raises(Exception, match="division"):
+                run()
+    run()
+    _deliver(spark, base, 2)
+    run()
+    rows = sorted(r["id"] for r in spark.read.parquet(f"{base}/out").collect())
+    assert rows == [i for i in range(300) if i % 10 != 3]
+    report = sync.stream_report(spark, f"{base}/state").first().asDict()
+    assert report == {"numRead": 300, "numWrite": 270, "nErrors": 30, "conversionErrors": 30, "nullErrors": 0, "otherErrors": 0}
+    assert spark.read.parquet(f"{base}/dirty").count() == 30
+    assert not list((tmp_path / "state" / "staging").glob("*"))
+
+
+def test_restorable_sync_counts_errors_over_its_batches(spark, tmp_path):
+    base, schema = str(tmp_path), "id long, amount string"
+    for k in range(2):
+        _deliver(spark, base, k)
+        if k:
+            with pytest.raises(Exception, match="20 failed rows, 15 allowed"):
+                sync.sync_stream(spark, _stream_job(base, errorLimit={"record": 15}), f"{base}/state", schema).awaitTermination()
+        else:
+            sync.sync_stream(spark, _stream_job(base, errorLimit={"record": 15}), f"{base}/state", schema).awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == 90  # nothing of the second batch
+    sync.sync_stream(spark, _stream_job(base, errorLimit={"record": 20}), f"{base}/state", schema).awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == 180
+
+
+def test_locations_of_many_runs_join_in_linear_rows(spark):
+    """Runs of a job meet the samples of their own slots only."""
+    runs = spark.range(2_000).selectExpr(
+        "id", "7L AS job_id", "timestamp_seconds(1700000000 + id * 600) AS exec_start_time", "timestamp_seconds(1700000000 + id * 600 + 500) AS exec_end_time")
+    points = spark.range(40_000).selectExpr(
+        "'endLocation' AS metric", "map('job_id', '7') AS labels", "(1700000000 + id * 30) * 1000L AS ts", "double(id) AS value")
+    got = {r["id"]: r["location"] for r in series.last_location(points, runs).collect()}
+    assert got == {k: (k * 600 + 560) // 30 for k in range(2_000)}

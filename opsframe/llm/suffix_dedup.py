@@ -17,7 +17,6 @@ shows in the sorted order of suffixes: it does if a neighbour shares ``width`` b
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +116,7 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, byt
         yield group
 
 
-_STRETCH = "doc_id long, crc long, s long, e long, h long, c long"
+_STRETCH = "doc_id long, digest binary, s long, e long, h long, c long"
 
 
 def text_stretches(docs: DataFrame, width: int, anchor: int) -> DataFrame:
@@ -128,7 +127,7 @@ def text_stretches(docs: DataFrame, width: int, anchor: int) -> DataFrame:
             ids, column = b.column("doc_id"), b.column("t")
             for lo in range(0, len(ids), 512):
                 texts = column.slice(lo, 512).to_pylist()
-                crcs = np.array([zlib.crc32(t) for t in texts], dtype=np.int64)
+                digests = pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], pa.binary())
                 for group in _pieces(texts, width):
                     lens = np.array([len(p) for _, _, p in group])
                     begin = np.concatenate([[0], np.cumsum(lens)])
@@ -144,8 +143,8 @@ def text_stretches(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                     doc = np.array([k for k, _, _ in group])[who]
                     shift = np.array([a for _, a, _ in group])[who] - begin[:-1][who]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(doc + lo)), pa.array(crcs[doc]), pa.array(first + shift), pa.array(last + shift),
-                         pa.array(h), pa.array(c)], ["doc_id", "crc", "s", "e", "h", "c"])
+                        [ids.take(pa.array(doc + lo)), digests.take(pa.array(doc)), pa.array(first + shift), pa.array(last + shift),
+                         pa.array(h), pa.array(c)], ["doc_id", "digest", "s", "e", "h", "c"])
 
     return docs.mapInArrow(run, _STRETCH)
 
@@ -289,9 +288,9 @@ _PIECE = "part int, run long, h binary, c binary, shared binary, rest binary, id
 
 def _contested(open_: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The bytes of one copy of each open stretch."""
-    wanted = open_.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e", "h", "c", "kinds")).alias("cuts"))
-    wanted = wanted.withColumnsRenamed({"doc_id": "d", "crc": "k"})
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k"))).select("t", "cuts")
+    wanted = open_.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("s", "e", "h", "c", "kinds")).alias("cuts"))
+    wanted = wanted.withColumnsRenamed({"doc_id": "d", "digest": "k"})
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("k"))).select("t", "cuts")
     cut = held.select("t", F.explode("cuts").alias("x"))
     return cut.select("x.h", "x.c", "x.kinds", F.expr(f"substring(t, cast(x.s + 1 as int), cast(x.e - x.s + {width} as int))").alias("bytes"))
 
@@ -373,9 +372,9 @@ def _spans(found: DataFrame) -> DataFrame:
 def repeated_starts(
     docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, run_size: int = RUN, range_size: int = RANGE,
 ) -> DataFrame:
-    """(doc_id, crc, s, e): the starts, as closed intervals, whose ``width`` bytes also start elsewhere.
+    """(doc_id, digest, s, e): the starts, as closed intervals, whose ``width`` bytes also start elsewhere.
 
-    ``docs`` has doc_id, crc (CRC-32 of the text) and t (the text as binary, never null).
+    ``docs`` has doc_id, digest (MD5 of the text, 16 bytes) and t (the text as binary, never null).
     """
     spark = docs.sparkSession
     path, _ = write_step(text_stretches(docs.select("doc_id", "t"), width, anchor), "stretches")
@@ -384,7 +383,7 @@ def repeated_starts(
     anchors, _ = materialise(anchors, "anchors")  # joins of two exchanges can split a hot anchor
     shared, _ = materialise(all_.join(anchors, "h", "left_semi"), "shared")
     drop_step(spark, path)
-    copies = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "crc", "s", "e")).alias("one"))
+    copies = shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "digest", "s", "e")).alias("one"))
     copies, _ = materialise(copies, "copies")
     mixed = copies.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed, _ = materialise(mixed, "mixed")
@@ -408,13 +407,13 @@ def repeated_starts(
         some, _ = materialise(_spans(found), "spans")
         spans = twice.union(some.join(copies.where("n = 1").select("h", "c"), ["h", "c"], "left_semi"))
     return shared.join(spans, ["h", "c"]).select(
-        "doc_id", "crc", (F.col("s") + F.col("lo")).alias("s"), F.least(F.col("s") + F.col("hi"), "e").alias("e"))
+        "doc_id", "digest", (F.col("s") + F.col("lo")).alias("s"), F.least(F.col("s") + F.col("hi"), "e").alias("e"))
 
 
 def removals(held: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, run_size: int = RUN, range_size: int = RANGE) -> DataFrame:
-    """(d, k, spans): the repeated starts of each text, by doc_id and CRC-32."""
-    spans = repeated_starts(held, width, anchor, run_size, range_size).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return materialise(spans.withColumnsRenamed({"doc_id": "d", "crc": "k"}), "removals")[0]
+    """(d, k, spans): the repeated starts of each text, by doc_id and the text's MD5."""
+    spans = repeated_starts(held, width, anchor, run_size, range_size).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return materialise(spans.withColumnsRenamed({"doc_id": "d", "digest": "k"}), "removals")[0]
 
 
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -427,12 +426,12 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A byte is removed if a ``width``-byte string that covers it starts at any other place too, of any row; strings are
     judged on the input. Null texts are empty; texts shorter than ``width`` stay whole; equal rows are copies of each
     other and lose everything if they are long enough. Matches don't cross rows. A null doc_id is allowed. Rows are told apart
-    by doc_id and the text's CRC-32. Other columns are not read.
+    by doc_id and the text's MD5, 128 bits. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("crc", F.crc32("t"))
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("digest", F.unhex(F.md5("t")))
     spans = removals(held, width, anchor, run_size, range_size)
-    both = held.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left").select("doc_id", "t", "spans")
+    both = held.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("k")), "left").select("doc_id", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,9 +465,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every row stays, also one of which nothing is left.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("crc", F.crc32("t"))
-    spans = removals(held.select("doc_id", "t", "crc"), width)
-    both = held.drop("t").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("k")), "left")
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("digest", F.unhex(F.md5("t")))
+    spans = removals(held.select("doc_id", "t", "digest"), width)
+    both = held.drop("t").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("k")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:

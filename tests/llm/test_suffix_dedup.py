@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -73,3 +74,36 @@ def test_texts_without_repeats(spark):
         for r, w in zip(rows, brute([(r.text or "").encode() for r in rows], 200)))
     assert Counter((str(r.doc_id), r.text) for r in got.collect()) == want
     assert dedup_bytes(empty(spark)).count() == 0 and without_repeats(empty(spark)).count() == 0
+
+
+def same_crc(text, places):
+    """Another text of the same length and CRC-32, by turning some letters a into c at ``places``."""
+    plain, basis = zlib.crc32(text), {}
+    for k, at in enumerate(places):
+        turned = bytearray(text)
+        turned[at] ^= 2
+        value, used = zlib.crc32(bytes(turned)) ^ plain, 1 << k
+        while value and value.bit_length() in basis:
+            other, mask = basis[value.bit_length()]
+            value, used = value ^ other, used ^ mask
+        if not value:  # these changes cancel each other in the checksum
+            out = bytearray(text)
+            for j, p in enumerate(places):
+                if used >> j & 1:
+                    out[p] ^= 2
+            return bytes(out)
+        basis[value.bit_length()] = (value, used)
+    raise AssertionError("too few places")
+
+
+def test_rows_without_ids_and_with_equal_checksums(spark):
+    """Different texts under one id are told apart, whatever their CRC-32."""
+    rng = random.Random(9)
+    text = "".join(sentence(rng, 6) + " a " for _ in range(60))
+    places = [k + 1 for k in range(len(text)) if text[k : k + 3] == " a "]
+    other = same_crc(text.encode(), places)
+    assert zlib.crc32(text.encode()) == zlib.crc32(other) and text.encode() != other
+    rows = [(None, text), (None, other.decode()), (5, text[:900]), (None, sentence(rng, 80)), (5, sentence(rng, 80))]
+    want = sorted(str((k, *w[:4])) for (k, _), w in zip(rows, brute([t.encode() for _, t in rows], 200)))
+    got = dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want

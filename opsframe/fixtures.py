@@ -118,6 +118,15 @@ SELECT n_nationkey AS script_id,
             THEN concat('INSERT OVERWRITE TABLE dm.t', n_nationkey, ' SELECT * FROM ods.r', n_regionkey, ' a JOIN t', n_nationkey + 100, ' b ON a.k = b.k')
             ELSE concat('CREATE TABLE t', n_nationkey, ' AS SELECT ''a;b'' AS x FROM ods.r', n_regionkey) END AS sql_text
 FROM nation
+""",
+    "sql_scripts": """
+SELECT c_custkey AS script_id, CASE c_custkey % 5
+  WHEN 0 THEN concat('FROM ods.a', c_custkey, ' INSERT OVERWRITE TABLE dm.x', c_custkey, ' SELECT k WHERE k > 1 INSERT INTO dm.y', c_custkey, ' SELECT v')
+  WHEN 1 THEN concat('MERGE INTO dm.m', c_custkey, ' t USING ods.s', c_custkey, ' s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v')
+  WHEN 2 THEN concat('CREATE OR REPLACE VIEW dm.v', c_custkey, ' AS SELECT ''from x; y'' AS a FROM ods.b', c_custkey, ' JOIN c USING (k)')
+  WHEN 3 THEN concat('WITH p AS (WITH q AS (SELECT * FROM ods.d', c_custkey, ') SELECT * FROM q), r AS (SELECT * FROM p JOIN ods.e) INSERT INTO dm.w', c_custkey, ' SELECT * FROM r')
+  ELSE concat('MERGE INTO dm.n', c_custkey, ' USING (SELECT * FROM ods.f, ods.g) u ON 1 = 1; CREATE TEMPORARY VIEW z AS SELECT * FROM ods.h') END AS sql_text
+FROM customer
 """,
     "sync_source": """
 SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN 'bad' ELSE CAST(event_id % 1000 AS VARCHAR(20)) END AS amount_text,

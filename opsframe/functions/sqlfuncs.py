@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from opsframe.operators.calendar import triggers_sql
+
 _DURATION = """
 CASE WHEN ms IS NULL OR ms = 0 THEN '0秒' WHEN ms < 1000 THEN concat(ms, '毫秒')
      ELSE concat(CASE WHEN ms div 3600000 > 0 THEN concat(ms div 3600000, '小时') ELSE '' END,
@@ -30,29 +32,10 @@ SCALAR_FUNCTIONS = {
     "key_task": ("k STRING", "BIGINT", "try_cast(try_element_at(split(k, '_'), -2) AS BIGINT)"),
 }
 
-_RULE = ("periodType STRING, beginHour INT, endHour INT, beginMin INT, endMin INT, gapMin INT, gapHour INT, "
-         "hour INT, min INT, weekDay STRING, day STRING")
-
-_TRIGGERS = f"""
-SELECT to_timestamp_ntz(concat(d, ' 00:00:00')) + make_dt_interval(0, 0, m, 0) AS trigger_time FROM (
-  SELECT explode(CASE r.periodType
-    WHEN '0' THEN CASE WHEN r.beginHour * 60 + r.beginMin <= r.endHour * 60 + r.endMin THEN
-         sequence(r.beginHour * 60 + r.beginMin, r.endHour * 60 + r.endMin, greatest(r.gapMin, 1)) ELSE array() END
-    WHEN '1' THEN CASE WHEN r.beginHour <= r.endHour THEN
-         transform(sequence(r.beginHour, r.endHour, greatest(r.gapHour, 1)), h -> h * 60 + r.beginMin) ELSE array() END
-    WHEN '2' THEN array(r.hour * 60 + r.min)
-    WHEN '3' THEN CASE WHEN array_contains(transform(split(r.weekDay, ','), x -> CAST(trim(x) AS INT)),
-         weekday(to_date(d)) + 1) THEN array(r.hour * 60 + r.min) ELSE array() END
-    WHEN '4' THEN CASE WHEN array_contains(transform(split(r.day, ','), x -> CAST(trim(x) AS INT)),
-         dayofmonth(to_date(d))) THEN array(r.hour * 60 + r.min) ELSE array() END
-    END) AS m FROM (SELECT from_json(rule, '{_RULE}') AS r))
-"""
-
-
 def register(spark: SparkSession) -> list[str]:
     """Creates the scalar functions and the table function ``triggers(rule, day)``; returns their names."""
     for name, (args, kind, body) in SCALAR_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body.strip()}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION triggers(rule STRING, d STRING) "
-              f"RETURNS TABLE (trigger_time TIMESTAMP_NTZ) RETURN {_TRIGGERS.strip()}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION triggers(conf_text STRING, on_day STRING) "
+              f"RETURNS TABLE (trigger_time TIMESTAMP_NTZ) RETURN {triggers_sql('conf_text', 'on_day').strip()}")
     return [*SCALAR_FUNCTIONS, "triggers"]

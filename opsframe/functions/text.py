@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,20 +106,42 @@ def json_get(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path)
 
 
-def json_drop(doc: Column, member: str) -> Column:
-    """Removes a member with a scalar value, wherever it stands."""
-    value = rf'"{re.escape(member)}"\s*:\s*("(?:[^"\\]|\\.)*"|[^,\}}\]\{{\[]+)'
-    return F.regexp_replace(F.regexp_replace(doc, value + r"\s*,\s*", ""), r",?\s*" + value, "")
+_OBJECT = "map<string,variant>"
 
 
-def json_put(doc: Column, parent: str, member: str, value: Column) -> Column:
-    """Sets a text member of the object called ``parent``."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
-                      F.lit('"'))
-    head = F.concat(F.lit(f'"{parent}":{{"{member}":'), quoted, F.lit(","))
-    flat = F.regexp_replace(json_drop(doc, member), rf'"{re.escape(parent)}"\s*:\s*\{{', f'"{parent}":{{')
-    put = F.replace(flat, F.lit(f'"{parent}":{{'), head)
-    return F.replace(put, F.lit(",}"), F.lit("}"))
+def _edited(value: Column, path: Sequence[str], change: Callable[[Column], Column], make: bool) -> Column:
+    """The variant ``value`` with ``change`` made to the members of the object at ``path``; ``make`` adds objects that are absent."""
+    members = F.try_variant_get(value, "$", _OBJECT)
+    if not path:
+        out = change(members)
+    else:
+        name, child = path[0], F.try_element_at(members, F.lit(path[0]))
+        if make:
+            child = F.coalesce(child, F.parse_json(F.lit("{}")))
+        inner = _edited(child, path[1:], change, make)
+        others = F.map_filter(members, lambda k, v: k != name)
+        out = F.when(F.try_variant_get(child, "$", _OBJECT).isNull(), members).otherwise(
+            F.map_concat(others, F.create_map(F.lit(name), inner)))
+    return F.when(members.isNull(), value).otherwise(F.parse_json(F.to_json(out)))
+
+
+def json_drop(doc: Column, *path: str) -> Column:
+    """Removes the member at ``path`` and nothing else. A path that leads nowhere changes nothing; text that is no JSON gives null.
+
+    Works on parsed values, level by level; members of objects come out in the order of their names.
+    """
+    return F.to_json(_edited(F.try_parse_json(doc), path[:-1], lambda m: F.map_filter(m, lambda k, v: k != path[-1]), False))
+
+
+def json_put(doc: Column, path: Sequence[str], value: Column) -> Column:
+    """Sets the member at ``path`` to a text; absent objects on the way are added, a member that is no object stays as it is.
+
+    As ``json_drop``. A null value sets JSON's null.
+    """
+    text = F.parse_json(F.coalesce(F.to_json(F.when(value.isNotNull(), F.struct(value.cast("string").alias("v")))), F.lit('{"v":null}')))
+    inside = F.variant_get(text, "$.v", "variant")
+    return F.to_json(_edited(F.try_parse_json(doc), path[:-1], lambda m: F.map_concat(
+        F.map_filter(m, lambda k, v: k != path[-1]), F.create_map(F.lit(path[-1]), inside)), True))
 
 
 _HBASE_LIKE = {8: False, 30: True, 38: True}

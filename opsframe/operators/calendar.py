@@ -68,12 +68,28 @@ def _at(day: Column, minute: Column) -> Column:
     return day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute.cast("int"))
 
 
-def minutes_of_day(rule: str, day: str) -> Column:
-    """Sorted minutes of day at which the rule fires on ``day`` (both are column names)."""
-    return F.expr(f"""
+def minutes_sql(rule: str, day: str) -> str:
+    """SQL of the sorted minutes of day at which the rule fires on ``day``."""
+    return f"""
 CASE WHEN {rule}.slots < 0 OR ({rule}.period = 3 AND NOT array_contains({rule}.days, weekday({day}) + 1))
        OR ({rule}.period = 4 AND NOT array_contains({rule}.days, dayofmonth({day}))) THEN CAST(array() AS ARRAY<INT>)
-     ELSE transform(sequence(0, {rule}.slots), i -> {rule}.first + i * {rule}.gap) END""")
+     ELSE transform(sequence(0, {rule}.slots), i -> {rule}.first + i * {rule}.gap) END"""
+
+
+def minutes_of_day(rule: str, day: str) -> Column:
+    """Sorted minutes of day at which the rule fires on ``day`` (both are column names)."""
+    return F.expr(minutes_sql(rule, day))
+
+
+def triggers_sql(conf: str, day: str) -> str:
+    """SQL of the trigger times (trigger_time) of one rule text on one day, from the same texts as ``parse_rules`` and ``expand``."""
+    # as in parse_rules the parser stands alone; the condition stands inside the list, so that it stays in the function
+    return f"""
+SELECT CAST(t.day AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, m, 0) AS trigger_time FROM (
+  SELECT r.day, explode(CASE WHEN r.rule_error IS NULL AND r.rule.begin_date <= r.day AND r.day <= r.rule.end_date
+    THEN {minutes_sql('r.rule', 'r.day')} ELSE CAST(array() AS ARRAY<INT>) END) AS m FROM (
+    SELECT CAST({day} AS DATE) AS day, {_RULE_ERROR} AS rule_error, {_RULE} AS rule FROM (
+      SELECT d, try_cast(d.periodType AS INT) AS p FROM (SELECT explode(array(from_json({conf}, '{_RULE_DDL}'))) AS d))) r) t"""
 
 
 def last_trigger(rule: str, moment: str) -> Column:

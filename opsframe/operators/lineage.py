@@ -85,13 +85,16 @@ _NOISE = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|--[^\n]*|/\*(?s:.*?)\*/""
 _NAME = r"[\w.`$]+"
 _STOP = r"(?!(?:join|left|right|inner|full|outer|cross|where|group|order|sort|on|union|having|limit|lateral|semi|anti|natural|using|set|select)\b)"
 _TARGET = rf"(?i)\binsert\s+(?:overwrite|into)\s+(?:table\s+)?({_NAME})"
-_CREATED = rf"(?is)\bcreate\s+(?:\w+\s+){{0,3}}?table\s+(?:if\s+not\s+exists\s+)?({_NAME})\b.*?\bas\b\s*\(?\s*(?:select|with)\b"
+_MERGED = rf"(?i)\bmerge\s+into\s+({_NAME})"
+_USED = rf"(?i)\bmerge\s+into\s+{_NAME}(?:\s+(?:as\s+)?(?!using\b)\w+)?\s+using\s+({_NAME})"
+# a view that outlives its session is a target like a table
+_CREATED = rf"(?is)\bcreate\s+(?:(?:\w+\s+){{0,3}}?table|(?:or\s+replace\s+)?(?:materialized\s+)?view)\s+(?:if\s+not\s+exists\s+)?({_NAME})\b.*?\bas\b\s*\(?\s*(?:select|with)\b"
 _SOURCES = rf"(?i)\b(?:from|join)\s+((?:{_NAME}(?:\s+(?:as\s+)?{_STOP}\w+)?\s*,\s*)*{_NAME})"
 _CTES = r"(?i)(?:\bwith|\)\s*,)\s*(?:recursive\s+)?([\w`]+)\s*(?:\([^()]*\)\s*)?as\s*\("
 
 
 def table_edges_from_sql(scripts: DataFrame, text: str = "sql_text", default_db: str = "default") -> DataFrame:
-    """(…, input_table, result_table) for INSERT and CREATE TABLE AS statements in a column of scripts.
+    """(…, input_table, result_table) for INSERT, MERGE and CREATE TABLE or VIEW AS statements in a column of scripts.
 
     Literals and comments are blanked first, so that a ``;`` or a table name in
     them means nothing. Names get the default database, CTE names are dropped.
@@ -99,7 +102,8 @@ def table_edges_from_sql(scripts: DataFrame, text: str = "sql_text", default_db:
     keep = [c for c in scripts.columns if c != text]
     quiet = F.regexp_replace(F.col(text), _NOISE, " ")
     statements = scripts.select(*keep, F.explode(F.split(quiet, ";")).alias("_s")).where(F.trim("_s") != "")
-    inserted, created = F.regexp_extract("_s", _TARGET, 1), F.regexp_extract("_s", _CREATED, 1)
+    # several INSERTs of one statement share what it reads; a statement creates or merges one target
+    targets = F.concat(*[F.regexp_extract_all("_s", F.lit(p), F.lit(1)) for p in (_TARGET, _MERGED, _CREATED)])
     lists = F.transform(F.regexp_extract_all("_s", F.lit(_SOURCES), F.lit(1)), lambda s: F.split(s, ","))
     words = F.transform(F.flatten(lists), lambda s: F.regexp_extract(F.trim(s), rf"^({_NAME})", 1))
 
@@ -110,8 +114,9 @@ def table_edges_from_sql(scripts: DataFrame, text: str = "sql_text", default_db:
         return F.when(c.contains("."), c).otherwise(F.concat(F.lit(f"{default_db}."), c))
 
     ctes = F.transform(F.regexp_extract_all("_s", F.lit(_CTES), F.lit(1)), clean)
-    names = F.array_except(F.transform(words, clean), ctes)
-    found = statements.select(
-        *keep, clean(F.when(inserted != "", inserted).otherwise(created)).alias("_t"), F.explode(names).alias("_i"))
+    used = F.regexp_extract_all("_s", F.lit(_USED), F.lit(1))
+    names = F.array_except(F.transform(F.concat(words, used), clean), ctes)
+    found = statements.select(*keep, F.array_distinct(F.transform(targets, clean)).alias("_t"), F.explode(names).alias("_i")).select(
+        *keep, F.explode("_t").alias("_t"), "_i")
     return found.where((F.col("_t") != "") & (F.col("_i") != "")).select(
         *keep, full(F.col("_i")).alias("input_table"), full(F.col("_t")).alias("result_table")).distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from opsframe.functions import params, sqlfuncs, text
 from opsframe.suite import query
+from opsframe.suite.calendar import _tasks, triggers
 
 NOW = "20240131103000"
 
@@ -210,13 +213,28 @@ concat('{"reader":{"startLocation":"', event_id, '","table":"t"}}') AS put, '{"r
 """)
 def _(f):
     doc = F.lit('{"reader":{"increColumn":"id","table":"t"}}')
-    dropped = text.json_drop(doc, "increColumn")
+    dropped = text.json_drop(doc, "reader", "increColumn")
     return f.events.select(
         "event_id", text.json_get(F.col("props"), "$.k").alias("got"),
-        text.json_put(dropped, "reader", "startLocation", F.col("event_id").cast("string")).alias("put"),
+        text.json_put(dropped, ["reader", "startLocation"], F.col("event_id").cast("string")).alias("put"),
         dropped.alias("dropped"))
 
 
+@query("i26_json_edit", """
+SELECT event_id, concat('{"job":{"reader":{"sql":"a,}b{', event_id, '","startLocation":"', user_id, '"},"writer":{"startLocation":', event_id, '}}}') AS put,
+concat('{"job":{"reader":{"sql":"a,}b{', event_id, '"},"writer":{"startLocation":', event_id, '}}}') AS dropped,
+concat('{"job":{"reader":{"sql":"a,}b{', event_id, '","startLocation":"old"},"setting":{"restore":{"at":"', event_type, '"}},"writer":{"startLocation":', event_id, '}}}') AS made
+FROM events
+""")
+def _(f):
+    """The same member in reader and writer, braces in a text, an absent parent."""
+    doc = F.format_string('{"job": {"writer": {"startLocation": %d}, "reader": {"startLocation": "old", "sql": "a,}b{%d"}}}', "event_id", "event_id")
+    place = ["job", "reader", "startLocation"]
+    return f.events.select(
+        "event_id", text.json_put(doc, place, F.col("user_id")).alias("put"), text.json_drop(doc, *place).alias("dropped"),
+        text.json_put(doc, ["job", "setting", "restore", "at"], F.col("event_type")).alias("made"))
+
+
 @query("i27_source_key", """
 SELECT s_suppkey, concat('h', s_suppkey, '.x#3306') AS mysql, concat('10.0.0.', s_nationkey, '#1521') AS oracle,
 concat('h', s_suppkey, '#10000') AS hive, concat('a#2181,b', s_suppkey, '#2181') AS hbase,
@@ -281,13 +299,26 @@ SELECT 0 AS p, unnest(range(0, 1440, 30)) AS m UNION ALL SELECT 1, unnest([135,
 UNION ALL SELECT 2, 90 UNION ALL SELECT 3, 1380 UNION ALL SELECT 4, 23) s ON p = period_type
 """)
 def _(f):
-    tasks = f.tasks
+    tasks = _tasks(f)
     spark = tasks.sparkSession
     sqlfuncs.register(spark)
     return spark.sql("SELECT t.task_id, x.trigger_time FROM {t} t, LATERAL triggers(t.schedule_conf, '1998-03-15') x",
                      t=tasks)
 
 
+@query("m02_triggers_of_all_rules", f"""
+SELECT task_id, ts AS trigger_time FROM ({triggers('1998-02-27', '1998-03-04')}) x
+""")
+def _(f):
+    """The table function gives what ``g01`` gives, on the same rules."""
+    rules = _tasks(f)
+    spark = rules.sparkSession
+    sqlfuncs.register(spark)
+    days = spark.range(6).select(F.date_add(F.lit(dt.date(1998, 2, 27)), F.col("id").cast("int")).cast("string").alias("day"))
+    return spark.sql("SELECT t.task_id, x.trigger_time FROM {t} t CROSS JOIN {d} d, LATERAL triggers(t.schedule_conf, d.day) x",
+                     t=rules, d=F.broadcast(days))
+
+
 # --- plain built-ins, used inline by other operators ------------------------------------------------
 
 @query("i13_period_starts", """

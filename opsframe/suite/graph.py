@@ -318,6 +318,18 @@ def _(f):
     return lineage.table_edges_from_sql(f.sql_texts, default_db="dev")
 
 
+@query("h15_edges_of_scripts", """
+WITH x AS (SELECT script_id, script_id % 5 AS k, CAST(script_id AS VARCHAR) AS i FROM sql_scripts)
+SELECT script_id, concat('ods.a', i) AS input_table, concat('dm.', unnest(['x', 'y']), i) AS result_table FROM x WHERE k = 0
+UNION ALL SELECT script_id, concat('ods.s', i), concat('dm.m', i) FROM x WHERE k = 1
+UNION ALL SELECT script_id, unnest([concat('ods.b', i), 'dev.c']), concat('dm.v', i) FROM x WHERE k = 2
+UNION ALL SELECT script_id, unnest([concat('ods.d', i), 'ods.e']), concat('dm.w', i) FROM x WHERE k = 3
+UNION ALL SELECT script_id, unnest(['ods.f', 'ods.g']), concat('dm.n', i) FROM x WHERE k = 4
+""")
+def _(f):
+    return lineage.table_edges_from_sql(f.sql_scripts, default_db="dev")
+
+
 @query("h16_roots_and_leaves", """
 SELECT DISTINCT 'root' AS kind, parent_task_id AS node FROM task_edges WHERE parent_task_id NOT IN
 (SELECT task_id FROM task_edges) UNION ALL

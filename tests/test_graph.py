@@ -57,6 +57,13 @@ SQL = {
     "select 1 from nowhere; insert into t select * from (select * from s.inner_t) x /* from no */ left join u on 1=1":
         {("s.inner_t", "dev.t"), ("dev.u", "dev.t")},
     "CREATE TEMPORARY VIEW v AS SELECT * FROM q": set(),
+    "from s1 a join s2 insert into t1 select a.x insert overwrite table `d2`.t2 select a.y where a.y > 'insert into no'":
+        {(f"dev.{s}", t) for s in ("s1", "s2") for t in ("dev.t1", "d2.t2")},
+    "merge into a.t as x using b.s as y on x.k = y.k when matched then delete": {("b.s", "a.t")},
+    "merge into t using (select * from u join w using (k)) y on 1 = 1": {("dev.u", "dev.t"), ("dev.w", "dev.t")},
+    "create view v (a, b) as select * from q": {("dev.q", "dev.v")},
+    "create or replace materialized view mv as with c as (select * from q) select * from c join r": {("dev.q", "dev.mv"), ("dev.r", "dev.mv")},
+    "with a as (with b as (select * from x.y) select * from b) insert into t select * from a": {("x.y", "dev.t")},
     "create table if not exists k stored as parquet as select * from m": {("dev.m", "dev.k")},
 }
 

@@ -266,10 +266,8 @@ def parent_edges(instances: DataFrame, edges: DataFrame, tasks: DataFrame, exist
     if schedule_type == dims.SCHEDULE["FILL"]:
         return aligned.select("job_key", "parent_job_key")
     same = F.col("cyc_ts").cast("date") == F.col("parent_ts").cast("date")
-    there = existing.select(F.col("job_key").alias("parent_job_key"))
-    other = aligned.where(~same).join(there, "parent_job_key", "left_semi")
-    return aligned.where(same).select("job_key", "parent_job_key").unionByName(
-        other.select("job_key", "parent_job_key"))
+    there = existing.select(F.col("job_key").alias("parent_job_key"), F.lit(True).alias("_there")).distinct()
+    return aligned.join(there, "parent_job_key", "left").where(same | F.col("_there")).select("job_key", "parent_job_key")
 
 
 def self_edges_of(instances: DataFrame, tasks: DataFrame, existing: DataFrame) -> DataFrame:
@@ -279,9 +277,8 @@ def self_edges_of(instances: DataFrame, tasks: DataFrame, existing: DataFrame) -
     rows = rows.where(F.col("prev_ts").isNotNull()).join(shade, "task_id", "inner").select(
         "job_key", job_key(F.lit(CRON_PREFIX), F.col("_shade"), F.date_format("prev_ts", STAMP)).alias(
             "parent_job_key"), "is_first")
-    there = existing.select(F.col("job_key").alias("parent_job_key"))
-    first = rows.where("is_first").join(there, "parent_job_key", "left_semi")
-    return rows.where("NOT is_first").unionByName(first.select(*rows.columns)).drop("is_first")
+    there = existing.select(F.col("job_key").alias("parent_job_key"), F.lit(True).alias("_there")).distinct()
+    return rows.join(there, "parent_job_key", "left").where(~F.col("is_first") | F.col("_there")).select("job_key", "parent_job_key")
 
 
 def attach_flows(instances: DataFrame, edges: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

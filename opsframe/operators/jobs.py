@@ -433,20 +433,30 @@ def first_child(edges: DataFrame) -> DataFrame:
 
 def search_jobs(jobs: DataFrame, tasks: DataFrame, name: str | None = None, mode: str | None = "fuzzy",
                 owner: int | None = None, groups: Iterable[int] = (), split: bool = True,
-                biz_start: dt.date | None = None, biz_end: dt.date | None = None, schedule_type: int | None = 0,
+                cyc_start: dt.date | None = None, cyc_end: dt.date | None = None, biz_start: dt.date | None = None, biz_end: dt.date | None = None, schedule_type: int | None = 0,
                 number: int | None = 1, size: int | None = 20, paged: bool = True, **criteria) -> DataFrame:
-    """Instance listing. Without criteria only flow parents and plain instances, with criteria members too."""
+    """Instance listing. Members of flows appear once a name, states, task types or cycle days are asked for; else only flow parents
+    and plain instances."""
     groups = list(groups)
     out = filter_by(jobs, type=schedule_type, is_deleted=0, **criteria)
     out = filter_status(in_biz_window(out, biz_start, biz_end), groups, split)
+    if cyc_start:
+        out = out.where(F.col("cyc_ts") >= F.lit(cyc_start).cast("timestamp_ntz"))
+    if cyc_end:
+        out = out.where(F.col("cyc_ts") < F.lit(cyc_end + dt.timedelta(days=1)).cast("timestamp_ntz"))
     if name or owner is not None:
         chosen = filter_by(search_name(tasks, "name", name, mode), owner_user_id=owner).select("task_id")
         out = out.join(chosen, "task_id", "left_semi")
-    if not (name or groups or biz_start or criteria):
+    if not (name or groups or cyc_start or cyc_end or criteria.get("task_type") is not None):
         out = flow_rows(out, "parents")
     return page(out, "gmt_modified", number, size) if paged else out
 
 
+def count_found(found: DataFrame) -> DataFrame:
+    """One row ``total``: how many rows a listing has over all its pages; takes it unpaged."""
+    return found.agg(F.count(F.lit(1)).alias("total"))
+
+
 def search_tasks(tasks: DataFrame, name: str | None = None, mode: str | None = "fuzzy", number: int | None = 1,
                  size: int | None = 20, order: str = "id", **criteria) -> DataFrame:
     """Task listing with the number of submitted live tasks beside each row of the page."""

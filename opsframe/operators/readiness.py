@@ -12,6 +12,7 @@ from opsframe.operators.calendar import CRON_PREFIX, parse_rules, trigger_before
 from opsframe.functions.keys import job_key
 from opsframe.functions.params import STAMP
 from opsframe.plans.ordered import carried, find_hot
+from opsframe.plans.storage import materialise
 
 R = dims.READINESS
 PAUSED_TASK, PAUSED_PROJECT = 2, 1
@@ -168,7 +169,9 @@ def child_period_check(pending: DataFrame, jobs: DataFrame, edges: DataFrame, ta
 def readiness(jobs: DataFrame, edges: DataFrame, tasks: DataFrame, now: dt.datetime,
               limited: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(job_key, outcome) for every instance, codes as in ``dims.READINESS``."""
-    own = own_checks(jobs, tasks, now, limited)
+    # checked once, in the few columns that the edges need, and read three times
+    own, _ = materialise(own_checks(jobs, tasks, now, limited).select(
+        "job_key", "task_id", "type", "dependency_type", "flow_job_id", "cyc_ts", "id", "own"), "own")
     open_ = own.where(F.col("own").isNull())
     by_edge = edge_outcomes(open_, edges, jobs).groupBy("job_key").agg(worst(F.col("outcome")).alias("_edge"))
     children = child_period_check(open_, jobs, edges, tasks, limit).withColumnRenamed("outcome", "_child")

@@ -24,20 +24,29 @@ KEYS_OF_TYPE = {0: SPARK_KEYS, 1: SPARK_KEYS, 3: SPARK_KEYS, 2: SYNC_KEYS, 6: SC
 
 
 def over_limit(tasks: DataFrame, limits: DataFrame, on: Sequence[str] = ("project_id",),
-               keys: Mapping[str, str] = SPARK_KEYS, word: str = "限制") -> DataFrame:
+               keys: Mapping[str, str] | None = SPARK_KEYS, word: str = "限制") -> DataFrame:
     """Tasks with a property above its limit and the list of messages ``name: value (limit: n)``.
 
     ``limits`` is unique by ``on`` and has ``resource_limit`` (JSON by property).
-    Without a limit row, a limit for the property or the property itself, a task passes.
+    Without a limit row, a limit for the property or the property itself, a task passes. Without ``keys`` the kind of each task, by
+    its ``task_type``, decides which properties count; types of no kind pass.
     """
+    kinds: dict[tuple[str, str], list[int] | None] = {}
+    if keys is not None:
+        kinds = {item: None for item in keys.items()}
+    else:
+        for code, names in KEYS_OF_TYPE.items():
+            for item in names.items():
+                kinds.setdefault(item, []).append(code)
     have = tasks.withColumn("_p", properties(F.col("task_params")))
     joined = have.join(limits.select(*on, "resource_limit"), list(on), "inner")
     messages = []
-    for key, name in keys.items():
+    for (key, name), types in kinds.items():
         value = F.try_element_at("_p", F.lit(key))
         limit = F.get_json_object("resource_limit", f"$['{key}']").try_cast("int")
         text = F.concat(F.lit(f"{name}: "), value, F.lit(f" ({word}: "), limit.cast("string"), F.lit(")"))
-        messages.append(F.when(mem_mb(value) > limit, text))
+        above = mem_mb(value) > limit
+        messages.append(F.when(above if types is None else above & F.col("task_type").isin(types), text))
     found = F.filter(F.array(*messages), lambda m: m.isNotNull())
     return joined.withColumn("messages", found).where(F.size("messages") > 0).select("task_id", "messages")
 

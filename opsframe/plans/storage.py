@@ -39,6 +39,12 @@ def write_step(df: DataFrame, name: str = "step") -> tuple[str, int]:
     return path, int(seen.get["n"])
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
     """Writes ``df`` once and reads it back; returns it with its row count.
 

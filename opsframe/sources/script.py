@@ -111,7 +111,8 @@ def render_script(spark: SparkSession, text: str, params: DataFrame | Iterable[t
         if not rows:
             return text
         params = spark.createDataFrame(rows, "type int, param_name string, param_command string")
-    # the parameters of one script: as many rows as the script has variables
+    # as many rows as the script has variables, whatever the table holds
+    params = params.where(F.col("param_name").isin(sorted(set(re.findall(r"\$\{([^}]*)\}", text)))))
     resolved = resolve_params(params, F.lit(cyc_time), F.lit(now), on_error="raise")
     for row in resolved.select("param_name", "value").collect():
         text = text.replace("${" + row["param_name"] + "}", row["value"])

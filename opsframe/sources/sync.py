@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opsframe.dims import SOURCE_TYPE, STATUS
 from opsframe.operators.series import last_location
-from opsframe.plans.storage import scratch_dir
+from opsframe.plans.storage import drop, scratch_dir
 from opsframe.sources.registry import read_files, read_source
 
 # Names of column types used in sync documents -> Spark types.
@@ -208,7 +208,8 @@ def sync(spark: SparkSession, document: str | Mapping | SyncJob, mode: str = "no
          task_name: str = "sync", dirty_path: str | None = None) -> dict[str, object]:
     """Runs a sync job and returns its counters and, for an increment column, ``endLocation``.
 
-    The source is evaluated once. Without limits and dirty rows it goes straight
+    The source is evaluated once, in as many tasks as its size asks for; ``channel`` bounds the connections to a database and nothing
+    else. Without limits and dirty rows it goes straight
     to the target; otherwise to staging files split by the dirty flag, whose
     counters are checked before anything is published.
     """
@@ -216,9 +217,6 @@ def sync(spark: SparkSession, document: str | Mapping | SyncJob, mode: str = "no
     if mode == "backfill":
         job = job.without_increment()
     rows = read_rows(spark, job)
-    pk = job.reader.get("splitPk")
-    if pk and job.channel > 1 and pk in rows.columns:
-        rows = rows.repartitionByRange(job.channel, pk)
     targets = _targets(job, rows)
     flagged = flag_dirty(rows, targets)
     measures = counters(required)
@@ -239,13 +237,18 @@ def sync(spark: SparkSession, document: str | Mapping | SyncJob, mode: str = "no
         return dict(seen.get)
     staging = f"{scratch_dir(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
     observed.withColumn("_bad", bad).write.partitionBy("_bad").parquet(staging)
-    check_limits(seen.get, record, percentage)
+    try:
+        check_limits(seen.get, record, percentage)
+    except ErrorLimitExceeded:
+        drop(spark, staging)
+        raise
     staged = spark.read.schema(flagged.withColumn("_bad", F.lit(True)).schema).parquet(staging)
     if dirty_path:
         staged.where("_bad").select(F.col("_row").alias("row"), F.col("_faults").alias("faults")).withColumns(
             {"task_name": F.lit(task_name), "time": F.lit(run or uuid.uuid4().hex)}).write.mode("append").partitionBy(
             "task_name", "time").parquet(dirty_path)
     _publish(staged.where("NOT _bad").select(*names), job)
+    drop(spark, staging)
     return dict(seen.get)
 
 
@@ -333,8 +336,7 @@ def _commit(job: SyncJob, checkpoint: str, required: Sequence[str], task_name: s
                 f"{dirty_path}/task_name={task_name}/batch={batch_id}")
         kind = job.writer.get("fileType", "parquet")
         staged.where("NOT _bad").select(*names).write.mode("overwrite").format(kind).save(f"{job.writer['path']}/batch={batch_id}")
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        drop(spark, staging)
     return write
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from opsframe import dims
 from opsframe.functions.params import render
 from opsframe.plans.ordered import carried, find_hot, neighbour, numbered
+from opsframe.plans.storage import drop
 
 STREAM, BATCH = 0, 1
 NOT_FOUND, FAILED = dims.STATUS["NOTFOUND"], dims.STATUS["FAILED"]
@@ -188,11 +189,9 @@ def retention_sink(path: str, n: int):
         kept = _read_kept(spark, path, dict.fromkeys(touched, batch_id)).select("task_engine_id", "checkpoint_id")
         gone = known.select("task_engine_id", "checkpoint_id").join(kept, ["task_engine_id", "checkpoint_id"], "left_anti")
         gone.write.mode("overwrite").parquet(f"{path}/gone/batch={batch_id}")
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         for b, g in before.items():  # generations that no repetition of this batch needs
             for old in (k for k in made[b] if k < g):
-                at = fs.Path(f"{path}/kept/batch={old}/bucket={b}")
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                drop(spark, f"{path}/kept/batch={old}/bucket={b}")
     return write
 
 

@@ -258,6 +258,25 @@ def _(f):
     return out.select("task_id", F.array_join("messages", "; ").alias("messages"))
 
 
+@query("l01_over_limit_by_type", """
+WITH t AS (SELECT c_custkey AS task_id, c_custkey % 7 AS project_id, c_custkey % 9 AS task_type, c_custkey % 4 + 1 AS g, c_nationkey AS n FROM customer)
+SELECT task_id, concat('driverMemory: ', g, 'g (限制: 2048)') AS messages FROM t WHERE task_type IN (0, 1, 3) AND g > 2 AND project_id <> 3
+UNION ALL SELECT task_id, concat('jobManagerMemory: ', g * 1000, ' (限制: 2048)') FROM t WHERE task_type = 2 AND g > 2 AND project_id <> 3
+UNION ALL SELECT task_id, concat_ws('; ', CASE WHEN g > 2 THEN concat('workerMemory: ', g, 'G (限制: 2048)') END,
+  CASE WHEN n > 4 THEN concat('workerCores: ', n, ' (限制: 4)') END) FROM t WHERE task_type IN (6, 7) AND project_id <> 3 AND (g > 2 OR n > 4)
+""")
+def _(f):
+    key, size = F.col("c_custkey"), (F.col("c_custkey") % 4 + 1)
+    lines = F.concat(
+        F.lit("driver.memory="), size, F.lit("g\njobmanager.memory.mb="), size * 1000, F.lit("\nworker.memory="), size, F.lit("G\nworker.cores="),
+        F.col("c_nationkey"))
+    tasks = f.customer.select(key.alias("task_id"), (key % 7).alias("project_id"), (key % 9).alias("task_type"), lines.alias("task_params"))
+    limits = tasks.where("project_id <> 3").select("project_id", "task_type").distinct().withColumn("resource_limit", F.lit(
+        '{"driver.memory": 2048, "jobmanager.memory.mb": 2048, "worker.memory": 2048, "worker.cores": 4}'))
+    out = reports.over_limit(tasks, limits, ["project_id", "task_type"], None)
+    return out.select("task_id", F.array_join("messages", "; ").alias("messages"))
+
+
 @query("l02_audit_page", """
 SELECT id, operation, CASE operation WHEN 'view' THEN 'opened' WHEN 'error' THEN 'failed' ELSE operation END AS operation_text
 FROM audit WHERE tenant_id = 3 ORDER BY gmt_create DESC, id LIMIT 50

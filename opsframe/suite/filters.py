@@ -208,6 +208,21 @@ def _(f):
     return jobs.search_jobs(f.job_runs, f.tasks, name="1", owner=7, groups=[8, 9, 7], size=50).select("id", "status")
 
 
+@query("b18_search_jobs_total", """
+WITH x AS (SELECT * FROM job_runs WHERE type = 0 AND is_deleted = 0 AND project_id = 3),
+plain AS (SELECT * FROM x WHERE flow_job_id = '0'),
+members AS (SELECT * FROM x WHERE task_type IN (0, 10) AND cyc_ts >= TIMESTAMP '1995-01-01' AND cyc_ts < TIMESTAMP '1996-01-01')
+SELECT 'parents' AS kind, count(*) AS total FROM plain UNION ALL SELECT 'members', count(*) FROM members
+""")
+def _(f):
+    """A project alone shows flow parents and plain instances, task types and days show members, too."""
+    parents = jobs.search_jobs(f.job_runs, f.tasks, project_id=3, paged=False)
+    members = jobs.search_jobs(f.job_runs, f.tasks, project_id=3, task_type=[0, 10], cyc_start=dt.date(1995, 1, 1),
+                               cyc_end=dt.date(1995, 12, 31), paged=False)
+    return jobs.count_found(parents).withColumn("kind", F.lit("parents")).unionByName(
+        jobs.count_found(members).withColumn("kind", F.lit("members")))
+
+
 @query("b19_search_tasks", """
 SELECT id, name, (SELECT count(*) FROM tasks WHERE submit_status = 1 AND is_deleted = 0) AS published
 FROM tasks WHERE is_deleted = 0 AND period_type IN (0, 1) AND contains(name, '3') ORDER BY id DESC LIMIT 25 OFFSET 25

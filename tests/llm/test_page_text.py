@@ -1,4 +1,4 @@
-from opsframe.llm.page_text import FREQUENT, extract, page_texts, templates
+from opsframe.llm.page_text import FREQUENT, deduce, extract, page_texts, templates
 
 SITE = (
     '<!DOCTYPE html><html><head><title>T {k}</title><script>var t="</p>";</script></head><body><header><p>Site name</p></header>'
@@ -82,3 +82,41 @@ def test_all_slots_of_an_article(spark):
             bodies[10 * host + k], want[10 * host + k] = nav + html, text
     bodies[69], want[69] = nav + "<article></article><div class=c>elsewhere on this page</div>", "elsewhere on this page"
     assert texts_of(spark, bodies) == want
+
+
+def test_unnamed_boxes_of_constant_text_are_the_template(spark):
+    menu, foot = "<div class=c1><ul><li>Home<li>About us<li>Contact</ul></div>", "<div class=c9>All rights reserved by host</div>"
+    bodies, want = {}, {}
+    for k in range(9):
+        text = f"An article number {k} about the {k * 7919} words of page {k}"
+        for host, (html, got) in enumerate([
+            (f"{menu}<div class=c7>{text}</div>{foot}", text),
+            (f"{menu}<div class=w><div class=c7>{text}</div><div class=c8>on day {k}</div></div>{foot}", f"{text}\non day {k}"),
+            (f"{menu}<p>{text}<p>A line of all pages{foot}", f"{text}\nA line of all pages"),
+            (f"{menu}<article><p>{text}</p></article><section class=c4><p>reader {k} wrote far more than the article has, more and more</section>", text),
+            (f"<article><p>{text}<p class=advert>Buy now<p>end {k}<div class=responses>me too</div></article>", f"{text}\nend {k}"),
+            (f"<div class=c7><p title=it's data-class=ad>{text}</p><p title='class=ad'>x {k}</p></div>{foot}", f"{text}\nx {k}"),
+            (f"<div class=c7>the same words on all pages, {'more ' * 20}</div><article class=comment>{text}</article>", "the same words on all pages, " + "more " * 19 + "more"),
+        ]):
+            bodies[10 * host + k], want[10 * host + k] = html, got
+    bodies[9], want[9] = f"{foot}<p>a page of another layout", "a page of another layout"  # one page of ten; the classes still hold
+    assert texts_of(spark, bodies) == want
+
+
+def test_repeated_pages_and_shared_passages_stay(spark):
+    same = "<div class=c1>menu</div><div class=c7>one page again and again</div>"
+    bodies = {k: same for k in range(8)}
+    bodies |= {10 + k: f"<div class=c7>title {k}</div><div class=c8>{'a passage of most pages' if k < 6 else f'own {k}'}</div>" for k in range(8)}
+    got = texts_of(spark, bodies)
+    assert got[0] == "menu\none page again and again"
+    assert got[10] == "title 0\na passage of most pages" and got[17] == "title 7\nown 7"
+
+
+def test_vectors_tell_counts_apart():
+    row = {"up": 1, "rank": 0, "side": 0, "pages": 8, "words": 8, "size": 8, "v1": 5, "v2": 5, "v3": 5, "low": 1, "high": 2, "all": 8}
+    body = row | {"token": 1, "up": 0, "label": "body", "words": 80, "size": 80}
+    box = row | {"token": 2, "label": "div a"}
+    text = row | {"token": 3, "up": 2, "label": None}
+    assert deduce([body, box, text]) == (frozenset([1]), frozenset([3]))
+    assert deduce([body, box, text | {"v1": 6}])[1] == frozenset()
+    assert deduce([body, box, text | {"pages": 7, "v1": 6}])[1] == frozenset()

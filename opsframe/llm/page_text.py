@@ -64,6 +64,8 @@ FREQUENT = 0.5
 CONSTANT = 0.9
 #: Pages that a class needs; on fewer, equal words prove nothing.
 SUPPORT = 5
+#: Parts that the tokens of one host and number of digits are dealt into.
+DEALS = 8
 #: The host of a url in SQL, as ``split_url`` gives it.
 HOST = (
     "case when instr(url, '://') > 0 then translate(regexp_extract(substring(url, instr(url, '://') + 3), '^[^/?#]*', 0),"
@@ -381,8 +383,14 @@ def templates(pages: DataFrame) -> DataFrame:
     A token on at least half of a host's pages is frequent, so a host has no more of them than twice the tokens of an average page.
     """
     seen, _ = materialise(occurrences(pages), "occurrences")
-    hosts = seen.where("token = 0 and label is not null").select("host", F.col("pages").alias("all"))
-    frequent = seen.join(hosts, "host").where(F.col("pages") >= FREQUENT * F.col("all"))
+    # a frequent token's pages have as many binary digits as its host's, or one less; so the rare tokens of a large host, which
+    # are nearly all of them, meet in no task: they are dealt by digits and by themselves
+    digits = F.floor(F.log2("pages"))
+    hosts = seen.where("token = 0 and label is not null").select(
+        "host", F.col("pages").alias("all"), F.explode(F.array(digits, digits - 1)).alias("digits"),
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    dealt = seen.withColumns({"digits": digits, "deal": F.pmod("token", F.lit(DEALS)).cast("int")})
+    frequent = dealt.join(hosts, ["host", "digits", "deal"]).where(F.col("pages") >= FREQUENT * F.col("all"))
     # texts of hosts with few pages can't be the template's
     frequent = frequent.where(F.col("label").isNotNull() | (F.col("pages") >= F.greatest(F.lit(float(SUPPORT)), CONSTANT * F.col("all"))))
     return frequent.groupBy("host").applyInPandas(_nest, "host string, slots array<long>, fixed array<long>")

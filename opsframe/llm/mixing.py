@@ -5,11 +5,14 @@ is taken for sure; the fraction is an inclusion probability. The flight moves th
 at a time along the null-space of two constraints, the document total and the token total, until one of them
 is 0 or 1; so both totals stay as they are while all but two fractions of a group get settled. Groups are parts of
 a source of bounded size; what they leave over meets in fewer groups round by round, until one is left per source. Its
-last two fractions are the landing problem.
+last two fractions are the landing problem. Equal documents are one: of their expected copies together the whole part is sure, and
+the fraction takes the flight.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsframe.llm.common import materialise, read
+from opsframe.plans.ordered import HOT_ROWS, HotKeys, numbered
 
 #: Weights that the sources take in turn, in code point order.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -152,11 +156,11 @@ def mix(
     One row per row of ``docs``; ``row`` is a digest of id, source and text, equal for equal rows only, which are
     interchangeable. Nulls: a null text has size 0, a null source is a source of its own behind all others, a null
     id is kept. A source without words has target 0, and documents without words are never taken more
-    than its others. Names of other columns don't matter. Reruns agree: every choice depends on the rows and
-    ``seed``, not on partitions.
+    than its others. An empty table gives no rows; texts of any length are counted whole. Names of other columns don't matter. Reruns
+    agree: every choice depends on the rows and ``seed``, not on partitions.
 
-    The sources are collected (one row each). No group holds more than a bounded number of documents on average,
-    however large its source.
+    The sources are collected (one row each). A group of the flight holds ``group`` different documents on average, however large
+    its source and however many rows are equal.
     """
     spark = docs.sparkSession
     sized = docs.select(
@@ -164,17 +168,20 @@ def mix(
         row_digest(id_col, source_col, text_col).alias("row"), count_words(f"`{text_col}`").alias("size"),
     )
     sized, _ = materialise(sized, "sizes")
-    stats = [(r.source, r.n, r.size) for r in sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()]
+    apart, _ = materialise(sized.groupBy("source", "row", "size").agg(F.count(F.lit(1)).alias("same")), "apart")
+    stats = [(r.source, r.n, r.size) for r in apart.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("same")).alias("size")).collect()]
     targets = source_targets([(s, z) for s, _, z in stats], weights, most)
     slots = {s: -(-n // group) for s, n, _ in stats}
     plan = spark.createDataFrame(
         [(s, z, targets[s], targets[s] / z if z else 0.0, slots[s]) for s, _, z in stats],
         "source string, source_size long, target double, ratio double, slots long",
     )
-    rows = sized.withColumnRenamed("source", "s").join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    planned = F.broadcast(plan.withColumnRenamed("source", "s"))  # a row per source
     slot = F.pmod(F.xxhash64("row"), F.greatest("slots", F.lit(1)))
-    fraction = F.col("ratio") - F.floor("ratio")
-    todo = rows.select("source", slot.alias("slot"), "row", "size", fraction.alias("p"), (F.col("slots") <= 1).alias("last"))
+    expected = (F.col("ratio") - F.floor("ratio")) * F.col("same")  # of one row of them: exactly its fraction
+    todo = apart.join(planned, F.col("source").eqNullSafe(F.col("s"))).select(
+        "source", slot.alias("slot"), "row", "size", (expected - F.floor(expected)).alias("p"), (F.col("slots") <= 1).alias("last"))
     done = None
     most_slots = max([1, *slots.values()])
     while True:
@@ -186,31 +193,44 @@ def mix(
         most_slots = max(1, min(-(-most_slots * 2 // group), most_slots // 2))  # two leftovers from each slot
         todo = out.where("p > 0 and p < 1").withColumns(
             {"slot": F.pmod("slot", F.lit(most_slots)), "last": F.lit(most_slots == 1)})
-    # equal rows are numbered, so that each gets one outcome
-    picks = done.groupBy("row").agg(F.sum("p").alias("picks"), F.count(F.lit(1)).alias("same"))
-    single = picks.where("same = 1").select("row", F.col("picks").alias("extra"))
-    repeated = picks.where("same > 1")
-    whole = F.floor("ratio")
-    base = rows.select("doc_id", "row", "size", "source_size", "target", whole.alias("whole"))
-    keyed = base.join(repeated.select("row"), "row", "left_semi")
-    numbered = keyed.join(repeated, "row").withColumn("extra", F.expr(
-        "case when row_number() over (partition by row order by size) <= picks then 1 else 0 end"))
-    rest = base.join(single, "row")
+    sure = apart.join(planned, F.col("source").eqNullSafe(F.col("s"))).select("row", "same", F.floor(expected).alias("sure"))
+    picks = sure.join(done.select("row", "p"), "row").select("row", "same", (F.col("sure") + F.col("p")).cast("long").alias("picks"))
+    base = sized.join(planned, F.col("source").eqNullSafe(F.col("s"))).select(
+        "doc_id", "row", "size", "source_size", "target", F.floor("ratio").alias("whole")).join(picks, "row")
     cols = ["doc_id", "row", "size", "source_size", "target"]
+    more = _first(base.where("same > 1"), picks.where("same > 1"), F.col("picks"))
+    both = base.where("same = 1").withColumn("extra", F.col("picks")).select(*cols, "whole", "extra").union(more.select(*cols, "whole", "extra"))
     copies = (F.col("whole") + F.col("extra")).cast("long")
-    both = rest.select(*cols, copies.alias("copies")).union(numbered.select(*cols, copies.alias("copies")))
-    return both.withColumn("taken", F.col("copies") * F.col("size"))
+    return both.select(*cols, copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _first(rows: DataFrame, groups: DataFrame, n: Column) -> DataFrame:
+    """``rows`` with ``extra``: 1 for n rows of each group of equal ones, else 0. ``groups`` has row and ``same``, how many are equal.
+
+    Groups above ``opsframe.hotRows`` are numbered piece by piece.
+    """
+    limit = int(rows.sparkSession.conf.get("opsframe.hotRows", str(HOT_ROWS)))
+    large = groups.where(F.col("same") > limit)
+    total, hot = large.agg(F.sum("same")).first()[0], None
+    if total:
+        marks, _ = materialise(large.select(F.col("row").alias("_h_row"), F.lit(True).alias("_hot")), "hot")
+        hot = HotKeys(("row",), marks, max(2, ceil(total * 4 / 3 / limit)))
+    at = numbered(rows.withColumn("_same", F.lit(0)), ["row"], ["_same"], "_at", hot=hot)
+    return at.withColumn("extra", F.when(F.col("_at") <= n, 1).otherwise(0).cast("long")).drop("_at", "_same")
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies`` and ``taken`` (copies times words); these names replace columns of ``docs``."""
-    shares = mix(docs, id_col, text_col, source_col).groupBy("row").agg(
-        F.count(F.lit(1)).alias("same"), F.min("copies").alias("low"), F.sum("copies").alias("all"), F.first("size").alias("words"))
+    """The rows of ``docs`` that the mix takes, with ``copies`` and ``taken`` (copies times words); these names replace columns of ``docs``.
+
+    Rows that are equal in id, source and text share their copies out, one more or less; nulls and empty tables as in ``mix``.
+    """
+    shares, _ = materialise(mix(docs, id_col, text_col, source_col).groupBy("row").agg(
+        F.count(F.lit(1)).alias("same"), F.min("copies").alias("low"), F.sum("copies").alias("all"), F.first("size").alias("words")), "shares")
     held = docs.select(F.struct("*").alias("doc"), row_digest(id_col, source_col, text_col).alias("row"))  # so no name can clash
     wanted = held.join(shares.where("`all` > 0"), "row")
     one = wanted.where("same = 1").withColumn("copies", F.col("all"))
-    more = wanted.where("same > 1").withColumn("copies", F.expr(
-        "low + case when row_number() over (partition by row order by same) <= `all` - low * same then 1 else 0 end"))
+    more = _first(wanted.where("same > 1"), shares.where("same > 1 and `all` > 0"), F.col("all") - F.col("low") * F.col("same"))
+    more = more.withColumn("copies", F.col("low") + F.col("extra")).drop("extra")
     out = one.unionByName(more.where("copies > 0")).withColumn("taken", F.col("copies") * F.col("words"))
     return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in ("copies", "taken")], "copies", "taken")
 

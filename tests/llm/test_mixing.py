@@ -1,6 +1,8 @@
 import numpy as np
 from corpus import documents, empty
 
+from opsframe.llm import mixing
+from opsframe.llm.common import materialise
 from opsframe.llm.mixing import flight, land, mix, source_targets, take
 
 
@@ -46,3 +48,45 @@ def test_take(spark):
     assert got.count() == shares.where("copies > 0").count()
     assert got.groupBy().sum("taken").first()[0] == shares.groupBy().sum("taken").first()[0]
     assert take(empty(spark)).count() == 0 and mix(empty(spark)).count() == 0
+
+
+def test_totals_of_a_whole_table_are_near_independent_targets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, f"s{rng.integers(4)}", "w " * int(rng.integers(0, 120))) for k in range(3000)] + [(9000 + k, None, "one two three") for k in range(40)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    size = {}
+    for _, s, t in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    order, target, total = [*sorted(s for s in size if s), None], {}, sum(size.values())
+    while True:  # by the definition: shares of what is left, sources above three times their size stop there
+        weigh = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order) if s not in target}
+        left = total - sum(target.values())
+        over = [s for s in weigh if left * weigh[s] / sum(weigh.values()) > 3 * size[s]]
+        target |= {s: 3 * size[s] for s in over} if over else {s: left * w / sum(weigh.values()) for s, w in weigh.items()}
+        if not over:
+            break
+    own = {k: s for k, s, _ in rows}
+    taken = got.groupby(got.doc_id.map(own).fillna("null")).taken.sum()
+    for s, t in target.items():
+        assert abs(taken[s or "null"] - t) <= 60, (s, taken[s or "null"], t)
+    assert (got.taken <= 3 * got["size"]).all() and len(got) == len(rows)
+
+
+def test_many_equal_rows_are_one_document_of_the_flight(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mixing, "materialise", lambda df, name: seen.append(name) or materialise(df, name))
+    rows = [(7, "a", "same words here", 1)] * 6000 + [(k, "b", "w " * (k % 50), 2) for k in range(500)] + [(None, None, None, 3)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copies long").repartition(6)
+    got = mix(docs, group=100)
+    plain = sorted(map(str, got.collect()))
+    assert len(plain) == len(rows)
+    equal = got.where("doc_id = 7 and size = 3").toPandas()
+    assert equal.copies.max() - equal.copies.min() <= 1 and abs(equal.taken.sum() - equal.target.iloc[0]) <= 3
+    before = spark.conf.get("opsframe.hotRows", None)
+    spark.conf.set("opsframe.hotRows", "500")
+    try:
+        assert sorted(map(str, mix(docs, group=100).collect())) == plain and "hot" in seen
+        kept = take(docs)
+        assert kept.groupBy().sum("taken").first()[0] == mix(docs).groupBy().sum("taken").first()[0]
+    finally:
+        spark.conf.unset("opsframe.hotRows") if before is None else spark.conf.set("opsframe.hotRows", before)

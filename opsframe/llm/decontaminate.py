@@ -69,6 +69,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[str]]], weights: dict[tuple[str, ...], float], unseen: float):
         self.unseen, self.ids = unseen, [i for i, _ in items]
+        #: items without a shingle by their words; they are one shingle, alike only where equal
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k, (_, w) in enumerate(items):
+            if len(w) < SHINGLE:
+                self.short.setdefault(tuple(w), []).append(k)
+        self.short_sizes = sorted({len(w) for w in self.short})
         bags = [Counter(tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)) for _, w in items]
         self.bags, self.sizes = bags, [len(w) for _, w in items]
         self.weight = {s: weights[s] for b in bags for s in b}
@@ -80,14 +86,15 @@ class Index:
         total = [sum(self.weight[s] * n for s, n in b.items()) for b in bags]
         self.least = {}
         for size, t in zip(self.sizes, total):
-            self.least[size] = min(t, self.least.get(size, t))
-        signs = [_signs(list(b)).T @ np.array([_vote(self.weight[s]) * n for s, n in b.items()]) for b in bags]
+            if size >= SHINGLE:
+                self.least[size] = min(t, self.least.get(size, t))
+        signs = [_signs(list(b)).T @ np.array([_vote(self.weight[s]) * n for s, n in b.items()]) if b else np.zeros(64) for b in bags]
         self.prints = np.array([np.packbits(s > 0, bitorder="little").view("<u8")[0] for s in signs], dtype=np.uint64)
         width = 64 // BLOCKS
         entries = []
         offsets = np.array(list(_near(0, width, RADIUS // BLOCKS)), dtype=np.int64)
         for k, (size, fp) in enumerate(zip(self.sizes, self.prints.tolist())):
-            for b in range(BLOCKS):
+            for b in range(BLOCKS if size >= SHINGLE else 0):
                 near = ((fp >> (b * width)) & ((1 << width) - 1)) ^ offsets
                 entries.append(np.stack([(size << (width + 8)) | (b << width) | near, np.full(len(near), k)]))
         table = np.concatenate(entries, axis=1) if entries else np.zeros((2, 0), dtype=np.int64)
@@ -127,7 +134,7 @@ class Index:
 
     def search(self, words: list[str]) -> dict[int, tuple[float, int]]:
         """Item number to (similarity, first word) of its best window, for windows at THRESHOLD or more."""
-        best: dict[int, tuple[float, int]] = {}
+        best = self.equal(words) if self.short else {}
         n = len(words) - SHINGLE + 1
         hits = self.hit_weights(words) if n > 0 else None
         if hits is None:
@@ -155,6 +162,17 @@ class Index:
                     best[item] = (similarity, first)
         return best
 
+    def equal(self, words: list[str]) -> dict[int, tuple[float, int]]:
+        """The items of fewer words than a shingle, each with the first place of just its words."""
+        best: dict[int, tuple[float, int]] = {}
+        known = [w in self.vocabulary for w in words]
+        for size in self.short_sizes:
+            for p in range(len(words) - size + 1):
+                if known[p]:
+                    for item in self.short.get(tuple(words[p : p + size]), ()):
+                        best.setdefault(item, (1.0, p))
+        return best
+
     def window_prints(self, words: list[str], p: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Fingerprints of the windows of m shingles from p on, by differences of running bit votes."""
         n = len(words) - SHINGLE + 1
@@ -248,8 +266,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A window of an item's number of words with a weighted shingle similarity of 0.8 or more is a leak; the best window is given, of equal
     ones the first. A shingle weighs 1 + ln(items / items that hold it), one that no item holds 1 + ln(items + 1).
-    Null and empty texts have no leak. Items of fewer than five words have no shingle and are not searched; of items
-    with the same words each is found. Equal rows of ``docs`` are each reported. Other columns are not read.
+    Null and empty texts have no leak, and an item without words is in no text. An item of fewer than five words is one shingle as a
+    whole: it is found where just its words follow one another, with similarity 1. Of items with the same words each is
+    found. Texts and items may be of any length. Equal rows of ``docs`` are each reported; an empty table on either side gives no rows. Other
+    columns are not read.
     """
     return _leaks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")), benchmark)
 
@@ -258,10 +278,11 @@ def _leaks(wanted: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The leaks of rows (doc_id, t), with a doc_id of any type."""
     spark = wanted.sparkSession
     items = [(r[0], words_of(r[1])) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()]
-    items = [(i, w) for i, w in items if len(w) >= SHINGLE]
+    items = [(i, w) for i, w in items if w]
+    whole = sum(len(w) >= SHINGLE for _, w in items)  # those that have shingles
     held = Counter(s for _, w in items for s in {tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)})
-    weights = {s: 1 + log(len(items) / n) for s, n in held.items()}
-    found = [_search(spark, wanted, Index(items[k : k + SLICE], weights, 1 + log(len(items) + 1))) for k in range(0, len(items), SLICE)]
+    weights = {s: 1 + log(whole / n) for s, n in held.items()}
+    found = [_search(spark, wanted, Index(items[k : k + SLICE], weights, 1 + log(whole + 1))) for k in range(0, len(items), SLICE)]
     kinds = f"doc_id {dict(wanted.dtypes)['doc_id']}, item_id long, similarity double, first_word long"
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], kinds)
 

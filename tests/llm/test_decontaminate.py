@@ -83,3 +83,12 @@ def test_item_longer_than_a_part(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     at = len(crossing.split()) - 50 - len(long_.split())
     assert got == {(1, 1): (1.0, decontaminate.PART - 10), (2, 0): (1.0, 70), (3, 1): (1.0, at - 20), (3, 0): (1.0, at)}
+
+
+def test_short_items_are_searched_as_whole_sequences(spark):
+    bench = spark.createDataFrame([(1, "Forty-two", 0), (2, "blue", 0), (3, "deep blue sea", 0), (4, "deep blue sea", 0), (5, "...", 0),
+                                   (6, "one two three four five six", 0)], ITEM)
+    rows = [(1, "it is forty two, no more"), (2, "the deep, blue sea"), (3, "deep sea"), (4, None), (5, "..."), (6, "Blue"), (7, "forty three")]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): (1.0, 2), (2, 2): (1.0, 2), (2, 3): (1.0, 1), (2, 4): (1.0, 1), (6, 2): (1.0, 0)}
+    assert {r.doc_id for r in drop_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} == {3, 4, 5, 7}

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,12 +20,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import read
+from opsframe.llm.common import materialise, read
+from opsframe.llm.mixing import row_digest
 
-#: Rows of each class that training reads at most, chosen by a hash of their id; a share goes to the dictionaries.
+#: Different rows of each class that training reads at most, in the order of a hash of their id; a share goes to the dictionaries.
 MAX_TOXIC, MAX_ORDINARY, DICTIONARY_SHARE = 3000, 8000, 0.65
-#: Characters of a training row, cut from a place in it that depends on its id. Scoring reads whole texts.
-MAX_CHARS = 40_000
+#: Bytes of these rows of a class together; a row that would exceed them is passed over as a whole. No text is cut.
+MAX_BYTES = 48 << 20
 WINDOW, BASE_BYTES, EXTRA_BYTES = 64, 8192, 2500
 #: Segment lengths of the trainer, one toxic dictionary each.
 SEGMENTS = (50, 16)
@@ -148,13 +150,13 @@ class Model:
 
     def features(self, diff: np.ndarray) -> np.ndarray:
         if diff.shape[1] == 0:
-            return np.zeros(6 * len(diff) + 5)
+            return np.zeros(6 * len(diff) + 4)
         out: list[float] = []
         for e, ratio in zip(diff, self.ratios):
             lr = ratio[e - LOW]
             out += [lr.mean(), lr.sum() / np.sqrt(len(e)), e.max(), (e >= 2).mean(), (e >= 3).mean(), e.mean()]
         both = diff.min(axis=0)
-        return np.array([*out, np.log(diff.shape[1]), both.max(), *((both >= q).mean() for q in (1, 2, 3))])
+        return np.array([*out, both.max(), *((both >= q).mean() for q in (1, 2, 3))])
 
     def score(self, text: bytes) -> float:
         if not text.strip():
@@ -183,7 +185,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model | float:
         return len(toxic) / n if n else 0.0
     cut_t, cut_o = (int(len(x) * DICTIONARY_SHARE) for x in (toxic, ordinary))
     train_t, train_o = toxic[:cut_t], ordinary[:cut_o]
-    base = _trained([x[i : i + 100] for x in train_o[:1500] for i in range(0, len(x), 100)], BASE_BYTES)
+    base = _trained([x[i : i + 100] for x in train_o for i in range(0, len(x), 100)], BASE_BYTES)
     base = base or b" ".join(train_o)[:BASE_BYTES]
     parts = [x for x in stretches(train_t, telling_grams(train_t, train_o)) if len(x) >= GRAM]
     samples = [b"".join(parts[i : i + 8]) for i in range(0, len(parts), 8)]
@@ -209,17 +211,32 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | float:
-    """Fits a model on a bounded sample of the labelled rows of ``docs`` that are not held out."""
+    """Fits a model on a bounded sample of the labelled rows of ``docs`` that are not held out.
+
+    Rows are told apart by id and text, and equal ones count once, so the sample has MAX_TOXIC + MAX_ORDINARY rows and twice
+    MAX_BYTES bytes at most, however often an id occurs. Null and empty texts don't train.
+    """
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("label")).where("label in (0, 1) and i is not null")
     marks = marks.where(~held_out("i")).groupBy("i").agg(F.max("label").alias("label"))
-    # the ids are chosen first, by the labels alone, so that few texts meet the sort
+    # ids first, by the labels alone, so that few texts are read further; each id has a row at least, unless it has no text
     order = [F.xxhash64("i"), F.col("i")]
-    chosen = marks.where("label = 1").orderBy(*order).limit(MAX_TOXIC).union(marks.where("label = 0").orderBy(*order).limit(MAX_ORDINARY))
-    # 11000 ids at most
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").where("t is not null and t != ''")
-    at = F.pmod(F.xxhash64("i"), F.greatest(F.length("t") - MAX_CHARS, F.lit(0)) + 1).cast("int")
-    sample = rows.select("label", "i", F.substring(F.col("t"), at + 1, F.lit(MAX_CHARS)).cast("binary").alias("t")).collect()
-    sample = sorted((r.label, hash_of(r.i), bytes(r.t)) for r in sample)
+    limits = {1: MAX_TOXIC, 0: MAX_ORDINARY}
+    chosen = reduce(DataFrame.union, [marks.where(F.col("label") == k).orderBy(*order).limit(n) for k, n in limits.items()])
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null and t != ''")
+    found = texts.join(F.broadcast(chosen), "i")  # a row per id, of 11000 ids at most
+    keys = found.select("label", "i", row_digest("i", "t").alias("row"), F.octet_length("t").alias("bytes")).distinct()
+    keys, _ = materialise(keys, "labelled")
+    wanted = []
+    for k, n in limits.items():
+        room = MAX_BYTES
+        for r in keys.where(F.col("label") == k).orderBy(*order, "row").limit(n).collect():
+            if r.bytes <= room:
+                room -= r.bytes
+                wanted.append((k, hash_of(r.i), r.row))
+    rows = docs.sparkSession.createDataFrame([(bytes(r),) for _, _, r in wanted], "row binary")
+    read_ = found.select(F.col("t").cast("binary").alias("t"), row_digest("i", "t").alias("row")).join(F.broadcast(rows), "row")
+    held = {bytes(r.row): bytes(r.t) for r in read_.dropDuplicates(["row"]).toLocalIterator()}  # bounded by MAX_BYTES
+    sample = sorted((k, h, held[bytes(r)]) for k, h, r in wanted)
     return fit([t for k, _, t in sample if k == 1], [t for k, _, t in sample if k == 0])
 
 
@@ -253,7 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Only ``label 0`` and ``1`` of labelled rows that are not held out train the model; an id labelled both ways counts as toxic.
     With fewer than ten training rows of a class the score is that class's share. Null, empty and blank texts score 0. Equal texts score
-    alike. Whole texts are scored. Source, language and id are no inputs; other columns are not read.
+    alike, and so do repeated ids by their own text. Whole texts of any length are scored, and an empty table gives no rows. Source, language and id are no inputs; other columns are not read.
     """
     model = train(docs, labels, id_col, text_col)
     s = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), score(docs.sparkSession, F.col(text_col), model).alias("score"))
@@ -261,7 +278,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject."""
+    """The rows of ``docs`` that the classifier doesn't reject, each judged by its own text; null and empty texts stay."""
     model = train(docs, labels, id_col, text_col)
     return docs.where(score(docs.sparkSession, F.col(text_col), model) < 0.5)
 

@@ -3,7 +3,8 @@ import zlib
 
 from corpus import documents, empty, sentence
 
-from opsframe.llm.toxicity import drop_toxic, fit, toxicity, windows
+from opsframe.llm import toxicity as toxicity_module
+from opsframe.llm.toxicity import drop_toxic, fit, toxicity, train, windows
 
 RUDE = ["blockhead", "nincompoop", "dunderhead", "scoundrel"]
 
@@ -52,3 +53,24 @@ def test_windows_cover_the_text():
     assert x.endswith(b"".join(cut[n:])) and all(len(w) <= 64 for w in cut)
     assert windows(b"") == [] and b"".join(windows(b"z" * 500)) == b"z" * 500
     assert fit([], []) == 0.0
+
+
+def test_training_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity_module, "fit", lambda t, o: seen.append((t, o)) or fit(t, o))
+    monkeypatch.setattr(toxicity_module, "MAX_TOXIC", 5)
+    monkeypatch.setattr(toxicity_module, "MAX_ORDINARY", 9)
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(ids[0], f"row {k} of one id") for k in range(3000)] + [(k, f"text of {k}") for k in ids[1:]] + [(ids[1], f"text of {ids[1]}")] * 3000
+    rows += [(ids[2], None), (ids[3], ""), (None, "no id")]
+    docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(k, int(n % 2 == 0)) for n, k in enumerate(ids)], "doc_id long, toxic int")
+    train(docs, labels)
+    monkeypatch.setattr(toxicity_module, "MAX_BYTES", 30)
+    train(docs, labels)
+    (t, o), (t_small, o_small) = seen
+    assert len(t) <= 5 and len(o) <= 9 and len(set(t)) == len(t) and len(set(o)) == len(o)
+    whole = {b.encode() for _, b in rows if b}
+    assert {*t, *o, *t_small, *o_small} <= whole and sum(map(len, t_small)) <= 30 and 0 < sum(map(len, o_small)) <= 30
+    train(docs.limit(0), labels)
+    assert seen[-1] == ([], [])

@@ -5,6 +5,10 @@ closed form. Alignment therefore joins each edge with the *rule row* of its
 parent (one row per task) and computes the parent's trigger as an expression:
 no trigger table is expanded, nothing is range-joined and no window is needed.
 Adaptive execution may split a hub parent, because the rule side is unique.
+
+Rules, links and plans grow with the task table, and their rows are many times larger
+than its compressed file, from which a join's strategy is guessed. So these joins are
+sort-merge joins by hint: they never pass a table through the driver.
 """
 
 from __future__ import annotations
@@ -248,11 +252,11 @@ def align_parent(children: DataFrame, edges: DataFrame, tasks: DataFrame, prefix
         F.expr("rule_error IS NULL AND rule.slots >= 0 AND (rule.period < 3 OR array_max(rule.days) IS NOT NULL)")).select(
         F.col("task_id").alias("parent_task_id"), F.col("id").alias("_parent_shade"), F.col("rule").alias("_rule"))
     links = edges.where(F.col("parent_task_id") != -1).select("task_id", "parent_task_id").join(
-        parents, "parent_task_id", "inner")
+        parents.hint("merge"), "parent_task_id", "inner")
     r, at = F.col("_rule"), F.col("cyc_ts")
     same_day = (r["period"] == dims.PERIOD["DAY"]) & (F.col("period_type") == dims.PERIOD["DAY"])
     aligned = F.when(same_day, _at(at.cast("date"), r["first"])).otherwise(last_trigger("_rule", "cyc_ts"))
-    rows = children.select("job_key", "task_id", "cyc_ts", "period_type").join(links, "task_id", "inner").withColumn(
+    rows = children.select("job_key", "task_id", "cyc_ts", "period_type").join(links.hint("merge"), "task_id", "inner").withColumn(
         "parent_ts", aligned)
     key = job_key(prefix if prefix is not None else F.lit(CRON_PREFIX), F.col("_parent_shade"),
                   F.date_format("parent_ts", STAMP))

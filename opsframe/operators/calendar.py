@@ -271,7 +271,7 @@ def parent_edges(instances: DataFrame, edges: DataFrame, tasks: DataFrame, exist
         return aligned.select("job_key", "parent_job_key")
     same = F.col("cyc_ts").cast("date") == F.col("parent_ts").cast("date")
     there = existing.select(F.col("job_key").alias("parent_job_key"), F.lit(True).alias("_there")).distinct()
-    return aligned.join(there, "parent_job_key", "left").where(same | F.col("_there")).select("job_key", "parent_job_key")
+    return aligned.join(there.hint("merge"), "parent_job_key", "left").where(same | F.col("_there")).select("job_key", "parent_job_key")
 
 
 def self_edges_of(instances: DataFrame, tasks: DataFrame, existing: DataFrame) -> DataFrame:

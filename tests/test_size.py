@@ -36,3 +36,9 @@ def test_aligned_parents_are_not_broadcast(tasks, links):
     rows = calendar.align_parent(calendar.plan_day(tasks, DAY), links, tasks)
     assert "Broadcast" not in plan(rows)
     assert rows.count() == 11 * 4
+
+
+def test_parent_edges_are_not_broadcast(tasks, links):
+    rows = calendar.parent_edges(calendar.plan_day(tasks, DAY), links, tasks, calendar.plan_day(tasks, dt.date(1998, 3, 14)))
+    assert "Broadcast" not in plan(rows)
+    assert rows.count() == 11 * 4

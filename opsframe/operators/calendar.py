@@ -237,7 +237,7 @@ def with_next(instances: DataFrame, limit: int | None = None) -> DataFrame:
 def previous_trigger(instances: DataFrame, tasks: DataFrame) -> DataFrame:
     """Adds ``prev_ts``, the trigger of the same rule before each instance, whether or not it has an instance."""
     rules = parse_rules(tasks).where(F.col("rule_error").isNull()).select("task_id", "rule")
-    return instances.join(rules, "task_id", "inner").withColumn(
+    return instances.join(rules.hint("merge"), "task_id", "inner").withColumn(
         "prev_ts", trigger_before("rule", "cyc_ts")).drop("rule")
 
 
@@ -278,11 +278,11 @@ def self_edges_of(instances: DataFrame, tasks: DataFrame, existing: DataFrame) -
     """Edge to the previous period of each self-dependent instance; the first of a day only if that one exists."""
     rows = previous_trigger(instances.where(F.col("dependency_type") != 0), tasks.select("task_id", "schedule_conf"))
     shade = tasks.select("task_id", F.col("id").alias("_shade"))
-    rows = rows.where(F.col("prev_ts").isNotNull()).join(shade, "task_id", "inner").select(
+    rows = rows.where(F.col("prev_ts").isNotNull()).join(shade.hint("merge"), "task_id", "inner").select(
         "job_key", job_key(F.lit(CRON_PREFIX), F.col("_shade"), F.date_format("prev_ts", STAMP)).alias(
             "parent_job_key"), "is_first")
     there = existing.select(F.col("job_key").alias("parent_job_key"), F.lit(True).alias("_there")).distinct()
-    return rows.join(there, "parent_job_key", "left").where(~F.col("is_first") | F.col("_there")).select("job_key", "parent_job_key")
+    return rows.join(there.hint("merge"), "parent_job_key", "left").where(~F.col("is_first") | F.col("_there")).select("job_key", "parent_job_key")
 
 
 def attach_flows(instances: DataFrame, edges: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -42,3 +42,9 @@ def test_parent_edges_are_not_broadcast(tasks, links):
     rows = calendar.parent_edges(calendar.plan_day(tasks, DAY), links, tasks, calendar.plan_day(tasks, dt.date(1998, 3, 14)))
     assert "Broadcast" not in plan(rows)
     assert rows.count() == 11 * 4
+
+
+def test_self_edges_are_not_broadcast(tasks):
+    rows = calendar.self_edges_of(calendar.plan_day(tasks, DAY), tasks, calendar.plan_day(tasks, dt.date(1998, 3, 14)))
+    assert "Broadcast" not in plan(rows)
+    assert rows.count() == 12 * 4

@@ -215,8 +215,8 @@ def plan_backfill(tasks: DataFrame, tree: DataFrame, first: dt.date, last: dt.da
     one = dt.timedelta(days=1)
     chosen = tree.select("task_id").distinct()
     with_members = chosen.unionByName(
-        tasks.join(chosen.select(F.col("task_id").alias("flow_id")), "flow_id", "left_semi").select("task_id")).distinct()
-    rules = parse_rules(tasks.where("is_deleted = 0").join(with_members, "task_id", "left_semi"))
+        tasks.join(chosen.select(F.col("task_id").alias("flow_id")).hint("merge"), "flow_id", "left_semi").select("task_id")).distinct()
+    rules = parse_rules(tasks.where("is_deleted = 0").join(with_members.hint("merge"), "task_id", "left_semi"))
     triggers = _clip(expand(rules, first + one, last + one, normal=False), begin, end)
     prefix = F.lit(f"{BACKFILL_PREFIX}_{fill_name}")
     rows = _instances(triggers, prefix, F.col("name"), F.lit(fill_name), dims.SCHEDULE["FILL"]).withColumn(
@@ -294,14 +294,14 @@ def attach_flows(instances: DataFrame, edges: DataFrame, tasks: DataFrame) -> tu
     first = flows.groupBy("flow_id", F.col("cyc_ts").cast("date").alias("_day")).agg(
         F.min("cyc_ts").alias("_first"))
     # plain instances all have flow id 0 and stay out of the joins
-    members = instances.where(F.col("flow_id") > 0).withColumn("_day", day).join(first, ["flow_id", "_day"], "left")
+    members = instances.where(F.col("flow_id") > 0).withColumn("_day", day).join(first.hint("merge"), ["flow_id", "_day"], "left")
     members = members.withColumn(
         "_at", F.when(F.col("period_type").isin(0, 1), F.col("cyc_ts")).otherwise(F.col("_first")))
-    found = members.join(flows.withColumnRenamed("cyc_ts", "_at"), ["flow_id", "_at"], "left").select(
+    found = members.join(flows.withColumnRenamed("cyc_ts", "_at").hint("merge"), ["flow_id", "_at"], "left").select(
         *instances.columns, F.coalesce("_flow_job", F.lit("0")).alias("flow_job_id"))
     plain = instances.where(F.col("flow_id") <= 0).withColumn("flow_job_id", F.lit("0"))
     entries = instances.where(F.col("flow_id") > 0).join(
-        edges.select("task_id").distinct(), "task_id", "left_anti")
+        edges.select("task_id").distinct().hint("merge"), "task_id", "left_anti")
     links = entries.select("task_id", F.col("flow_id").alias("parent_task_id")).distinct()
     entry_edges = align_parent(entries, links, tasks).select("job_key", "parent_job_key")
     return found.unionByName(plain), entry_edges

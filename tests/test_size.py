@@ -48,3 +48,13 @@ def test_self_edges_are_not_broadcast(tasks):
     rows = calendar.self_edges_of(calendar.plan_day(tasks, DAY), tasks, calendar.plan_day(tasks, dt.date(1998, 3, 14)))
     assert "Broadcast" not in plan(rows)
     assert rows.count() == 12 * 4
+
+
+def test_backfill_and_flows_are_not_broadcast(tasks, links):
+    rows, edges = calendar.plan_backfill(tasks, links, dt.date(1998, 3, 14), dt.date(1998, 3, 15), "refill", 7, dt.date(1998, 4, 1))
+    assert "Broadcast" not in plan(rows) + plan(edges)
+    # tasks 2 to 12, and task 1 as a member of workflow 3
+    assert (rows.count(), edges.count()) == (12 * 8, 11 * 8)
+    found, entry = calendar.attach_flows(calendar.plan_day(tasks, DAY), links, tasks)
+    assert "Broadcast" not in plan(found) + plan(entry)
+    assert found.where("flow_job_id <> '0'").count() == 4 * 4

@@ -3,7 +3,9 @@
 A walk level by level needs as many rounds as a chain is long. Here nodes with a single edge onward are taken out all at once: their
 chains are followed by pointer doubling to the node where they end, edges into a chain are led to its end, and what is left is a smaller
 graph with the same components. The same is done against the direction of the edges. Nodes that nothing leads to or that lead nowhere
-are on no cycle and go as well. Only a graph in which every node has two edges each way is coloured along its edges.
+are on no cycle and go as well. Of the rest, nodes with few edges that are no neighbours of each other are bypassed: each path over them
+becomes an edge. So a long strip of tangled chains shrinks by a fixed share each round and is not peeled from its ends. Only a graph in
+which every node has many edges is coloured along its edges.
 
 All tables are written per round; joins are left to measured sizes, and lookup sides are unique, so hubs may be split.
 """
@@ -18,6 +20,18 @@ from pyspark.sql import functions as F
 from opsframe.plans.storage import materialise
 
 
+#: A node is bypassed if that makes at most this many edges, or no more than it takes away.
+BYPASS = 16
+
+
+@dataclass(frozen=True)
+class _Bypassed:
+    """Nodes taken out in one round, none next to another: the edges (a, v) into them and (v, b) out of them."""
+
+    into: DataFrame
+    out: DataFrame
+
+
 @dataclass(frozen=True)
 class _Chains:
     """Nodes taken out in one round: their edges before it, the end of each chain, and the nodes 2^k steps on."""
@@ -67,6 +81,24 @@ def _take_chains(edges: DataFrame) -> _Chains | None:
     return _Chains(edges, ends, steps)
 
 
+def _bypass(edges: DataFrame, turn: int) -> tuple[_Bypassed, DataFrame] | None:
+    """Takes out nodes with few edges; also the edges that are left, with one for each path over such a node. None if there are none."""
+    few = edges.groupBy(F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("o")).join(
+        edges.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("i")), "v").where(
+        F.col("i") * F.col("o") <= F.greatest(F.lit(BYPASS), F.col("i") + F.col("o")))
+    # of two neighbours the one with the smaller hash goes, in another order each turn
+    ranked, _ = materialise(few.select("v", F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v").alias("rank")), "few")
+    beside = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
+    beaten = beside.join(ranked, "v").join(_named(ranked, v="u", rank="other"), "u").where(F.col("other") < F.col("rank")).select("v")
+    gone, count = materialise(ranked.select("v").join(beaten.distinct(), "v", "left_anti"), "gone")
+    if not count:
+        return None
+    into, out = edges.join(_named(gone, v="b"), "b").select("a", F.col("b").alias("v")), edges.join(_named(gone, v="a"), "a").select(F.col("a").alias("v"), "b")
+    rest = edges.join(_named(gone, v="a"), "a", "left_anti").join(_named(gone, v="b"), "b", "left_anti").select("a", "b")
+    over = into.join(out, "v").where("a != b").select("a", "b")
+    return _Bypassed(into, out), materialise(rest.unionByName(over).distinct(), "bypassed")[0]
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Without edges from nodes that nothing leads to and edges to nodes that lead nowhere."""
     out = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
@@ -112,6 +144,16 @@ def _put_back(chains: _Chains, known: DataFrame) -> DataFrame:
         inside.select(F.col("r").alias("node"), F.col("own").alias("component"))).distinct()
 
 
+def _put_back_bypassed(step: _Bypassed, known: DataFrame) -> DataFrame:
+    """``known`` (node, component) with the bypassed nodes that a component leads to and that lead back to it, and with that component's nodes."""
+    named = known.select(F.col("node").alias("x"), "component")
+    into = step.into.join(named, F.col("a") == F.col("x"), "left").select("v", "a", F.coalesce("component", "a").alias("own"))
+    out = step.out.join(named, F.col("b") == F.col("x"), "left").select("v", "b", F.coalesce("component", "b").alias("own"))
+    ways = into.select("v", "own").join(out.select("v", "own"), ["v", "own"], "left_semi").distinct()
+    ends = into.join(ways, ["v", "own"], "left_semi").select("a", "own").union(out.join(ways, ["v", "own"], "left_semi").select("b", "own"))
+    return known.union(ways).union(ends).distinct()
+
+
 def strong_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(node, component) for every node of an edge: nodes that lead to each other share the smallest of them as their component.
 
@@ -122,27 +164,32 @@ def strong_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     nodes = whole.select(F.col("a").alias("node")).union(whole.select("b")).distinct()
     known = nodes.limit(0).withColumn("component", F.col("node"))
     rest, count = materialise(_trim(whole.where("a != b")), "rest")
-    taken: list[_Chains | DataFrame] = []
-    idle = 0
+    taken: list[_Chains | _Bypassed | DataFrame] = []
+    turn = 0
     while count:
-        chains = _take_chains(rest)
-        if chains is None:
-            idle += 1
-            if idle == 2:  # two edges each way everywhere
-                found, _ = materialise(_coloured(rest), "found")
-                taken.append(found)
-                gone = found.select("node")
-                rest = rest.join(_named(gone, node="a"), "a", "left_anti").join(_named(gone, node="b"), "b", "left_anti").select("a", "b")
-                idle = 0
-        else:
-            idle = 0
+        turn += 1
+        chains = _take_chains(rest) if turn <= 2 else None  # along the edges, then against them
+        if chains is not None:
             taken.append(chains)
             led = chains.ends.select(F.col("v").alias("b"), "r")
             rest = rest.join(chains.ends.select(F.col("v").alias("a")), "a", "left_anti").join(led, "b", "left").select(
                 "a", F.coalesce("r", "b").alias("b")).where("a != b").distinct()
+        elif turn > 2:
+            bypassed = _bypass(rest, turn)
+            if bypassed is not None:
+                taken.append(bypassed[0])
+                rest = bypassed[1]
+            else:  # many edges everywhere
+                found, _ = materialise(_coloured(rest), "found")
+                taken.append(found)
+                gone = found.select("node")
+                rest = rest.join(_named(gone, node="a"), "a", "left_anti").join(_named(gone, node="b"), "b", "left_anti").select("a", "b")
         rest, count = materialise(_trim(rest).select(F.col("b").alias("a"), F.col("a").alias("b")), "rest")  # turned around
     for step in reversed(taken):
-        more = _put_back(step, known) if isinstance(step, _Chains) else known.unionByName(step)
+        if isinstance(step, DataFrame):
+            more = known.unionByName(step)
+        else:
+            more = _put_back(step, known) if isinstance(step, _Chains) else _put_back_bypassed(step, known)
         known = known if more is known else materialise(more, "known")[0]
     least = known.groupBy("component").agg(F.min("node").alias("first"))
     placed = known.join(least, "component").select("node", F.col("first").alias("component"))

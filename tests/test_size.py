@@ -2,11 +2,16 @@
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.operators import calendar
+from opsframe import suite
+from opsframe.operators import calendar, graph, reach, reports
+from opsframe.plans import storage
+from opsframe.streaming import feeds
 
 
 def plan(df):
@@ -58,3 +63,79 @@ def test_backfill_and_flows_are_not_broadcast(tasks, links):
     found, entry = calendar.attach_flows(calendar.plan_day(tasks, DAY), links, tasks)
     assert "Broadcast" not in plan(found) + plan(entry)
     assert found.where("flow_job_id <> '0'").count() == 4 * 4
+
+
+def counted(monkeypatch, *modules):
+    seen, plain = [], storage.write_step
+    for m in modules:
+        monkeypatch.setattr(m, "write_step", lambda df, name="step": seen.append(name) or plain(df, name))
+    return seen
+
+
+def test_tangled_strands_take_few_rounds(spark, monkeypatch):
+    # two strands with ways over in both directions and one way back: no node has a single edge, so nothing but the ends can be trimmed
+    pairs = [e for k in range(24) for e in ((2 * k, 2 * k + 2), (2 * k + 1, 2 * k + 3), (2 * k, 2 * k + 3), (2 * k + 1, 2 * k + 2))] + [(30, 20)]
+    seen = counted(monkeypatch, storage)
+    got = {r["node"]: r["component"] for r in reach.strong_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    assert {n for n, c in got.items() if c == 20} == {20, *range(22, 31)} and len(got) == 50
+    assert len(seen) < 70
+
+
+def test_bypassed_graphs_keep_their_components(spark):
+    from test_reach import parts
+    rng = random.Random(8)
+    for n, m in ((30, 60),):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        df = spark.createDataFrame(pairs, "a long, b long")
+        assert {r["node"]: r["component"] for r in reach.strong_components(df, "a", "b").collect()} == parts(pairs)
+
+
+def first_levels(pairs, roots):
+    out = {}
+    for r in roots:
+        level, front = {r: 0}, [r]
+        while front:
+            front = list({b for a, b in pairs if a in front and b not in level})
+            level.update(dict.fromkeys(front, max(level.values()) + 1))
+        out.update({(r, n): d for n, d in level.items()})
+    return out
+
+
+@pytest.mark.parametrize("levels", [None, 20])
+def test_a_large_table_is_walked_along_its_chains(spark, monkeypatch, levels):
+    chain = [(k, k + 1) for k in range(70)] + [(3, 30), (30, 31), (40, 200), (200, 201), (201, 60), (70, 65)]
+    ring = [(100, 101), (101, 102), (102, 100), (5, 5)]
+    rng = random.Random(4)
+    loose = [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(50)]
+    pairs, roots = chain + ring + loose, [0, 12, 101, 300, 301, 310, 999]
+    seen = counted(monkeypatch, storage, graph)
+    df = spark.createDataFrame([*pairs, (None, 1), (1, None)], "a long, b long")
+    got = graph.walk(df, spark.createDataFrame([(r,) for r in roots], "root long"), "a", "b", levels, broadcast_edges=0).collect()
+    want = {k: d for k, d in first_levels(pairs, roots).items() if levels is None or d <= levels}
+    assert {(r["root"], r["node"]): r["level"] for r in got} == want and len(got) == len(want)
+    assert levels or len(seen) < 40
+
+
+def test_alerts_are_spread_whatever_the_files(spark):
+    alarms = spark.createDataFrame([(k, f"j{k}", k % 2, 1.5) for k in range(6)], "alarm_id long, job_id string, channel_group long, value double").coalesce(1)
+    channels = spark.createDataFrame([(1, 1, 0), (2, 3, 0), (3, 4, 1)], "channel_id int, gate_type int, channel_group long")
+    people = spark.createDataFrame([(7, 0), (8, 0)], "user_id long, channel_group long")
+    out = feeds.build_alerts(alarms, channels, people, "job ${job}", {"job": F.col("job_id")})
+    assert "RoundRobinPartitioning" in plan(out)
+    assert sorted((r["alarm_id"], r["channel_id"], r["user_id"]) for r in out.collect()) == sorted(
+        [(a, c, u) for a in (0, 2, 4) for c, u in ((1, 7), (1, 8), (2, -1))] + [(a, 3, -1) for a in (1, 3, 5)])
+
+
+def test_fan_out_sends_one_alarm_of_each_group(spark, tmp_path):
+    ts = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(k, ts, k, "error" if k % 3 else "view", 1.0, "") for k in range(60)],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k, f"n{k}", k % 5) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, f"s{k}", 0, 0.0) for k in range(12)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    suite.load()
+    out = suite.QUERIES["c15_channel_fan_out"](spark, str(tmp_path))
+    # eight alarms of each group; three receivers in groups 0 to 3, none in 4; gates 1 to 4, a chat takes no receivers
+    want = {c: 8 * n for c in range(25) if (n := 1 if c % 4 == 2 else (3 if c % 5 < 4 else int(c % 4 == 3)))}
+    assert {r["channel_id"]: r["n"] for r in out.collect()} == want
+    assert re.search(r"HashAggregate\(keys=\[channel_group", plan(out))

@@ -5,7 +5,8 @@ reached. Each round joins the newest rows with the two-column edge table, drops
 what was reached before and writes the rest. The edges stay evenly split files
 and are never partitioned by node, so a hub with a third of all edges is read by
 many tasks: a small frontier is broadcast by its measured size, a large one is
-sort-merge joined and adaptive execution splits the hub.
+sort-merge joined and adaptive execution splits the hub. Chains of a large table
+are followed by doubling first, so rounds do not grow with their length.
 """
 
 from __future__ import annotations
@@ -25,6 +26,32 @@ BROADCAST_EDGES = 500_000
 _SMALL_HOPS = 16
 
 
+def _chained(links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shortcuts, tails): the links between heads with the levels they span, and how far each other node lies behind its head.
+
+    A node with a single link to it, that is no root, is always one level below the node before it. It gets the first node up its chain
+    that isn't such a node as its head, found by doubling. Rings of such nodes have no head: no root leads to them.
+    """
+    links = links.where(F.col("_src") != F.col("_dst"))
+    single = links.groupBy(F.col("_dst").alias("_tail")).agg(F.min("_src").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    single, count = materialise(single.join(roots.select(F.col("root").alias("_tail")), "_tail", "left_anti"), "single")
+    inside = single.select(F.col("_tail").alias("_head"), F.lit(True).alias("_open"))
+    tails, _ = materialise(single.join(inside, "_head", "left").select(
+        "_tail", "_head", F.lit(1).alias("_w"), F.coalesce("_open", F.lit(False)).alias("_open")), "tails")
+    reached = 1
+    while reached < count and tails.where("_open").limit(1).count():
+        above = tails.select(F.col("_tail").alias("_head"), F.col("_head").alias("_next"), F.col("_w").alias("_more"), F.col("_open").alias("_on"))
+        longer = tails.where("_open").join(above, "_head").select(
+            "_tail", F.col("_next").alias("_head"), (F.col("_w") + F.col("_more")).alias("_w"), F.col("_on").alias("_open"))
+        tails, _ = materialise(tails.where("not _open").unionByName(longer), "tails")
+        reached *= 2
+    tails = tails.where("not _open").drop("_open")
+    before = tails.select(F.col("_tail").alias("_src"), "_head", "_w")
+    onward = links.join(single.select(F.col("_tail").alias("_dst")), "_dst", "left_anti").join(before, "_src", "left")
+    return onward.groupBy(F.coalesce("_head", "_src").alias("_src"), "_dst").agg(
+        F.min(F.coalesce("_w", F.lit(0)) + 1).alias("_w")), tails
+
+
 def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | None = None,
          broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(root, level, node): first level at which each root reaches each node; roots are level 0.
@@ -32,13 +59,20 @@ def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | N
     ``roots`` has the column ``root``. Ends when nothing new is reached, so
     cycles need no special care. One level is one written round. Only when the
     counted edges fit a broadcast are several levels expanded per round, because
-    then a level costs no pass over a large table but mostly job overhead.
+    then a level costs no pass over a large table but mostly job overhead. A deep
+    walk of larger tables goes from head to head of their chains (``_chained``)
+    and adds the nodes between at the end.
     """
     spark = edges.sparkSession
     links, n_links = materialise(
         edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where(
             F.col("_src").isNotNull() & F.col("_dst").isNotNull()).distinct(), "edges")
-    hops = 1
+    hops, tails = 1, None
+    if n_links > broadcast_edges and (levels is None or levels > _SMALL_HOPS):
+        short, tails = _chained(links, roots)
+        links, n_links = materialise(short, "short")
+    else:
+        links = links.withColumn("_w", F.lit(1))
     if n_links <= broadcast_edges:
         links, hops = F.broadcast(links), _SMALL_HOPS
     start = roots.select("root").where(F.col("root").isNotNull()).distinct().select(
@@ -47,7 +81,7 @@ def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | N
     path, count = write_step(start, "level")
     paths, done = [path], 0
     while count and (levels is None or done < levels):
-        width = hops if levels is None else min(hops, levels - done)
+        width = hops if levels is None or tails is not None else min(hops, levels - done)
         step = spark.read.schema(schema).parquet(paths[-1])
         if width > 1:
             # a root reaches no more nodes than there are edges, few here; kept together
@@ -55,7 +89,7 @@ def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | N
             step = step.repartition("root")
         for _ in range(width):
             met = step.join(links, F.col("node") == F.col("_src"), "inner" if width == 1 else "left")
-            onward = F.struct((F.col("level") + 1).alias("level"), F.col("_dst").alias("node"))
+            onward = F.struct((F.col("level") + F.col("_w")).alias("level"), F.col("_dst").alias("node"))
             if width > 1:
                 # nodes of earlier hops of the round travel along
                 here = F.struct(F.col("level"), F.col("node"))
@@ -65,13 +99,25 @@ def walk(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | N
             # several edges to one node collapse before the shuffle
             step = met.where(F.col("_n.node").isNotNull()).groupBy("root", F.col("_n.node").alias("node")).agg(
                 F.min("_n.level").alias("level")).select("root", "level", "node")
-        seen = spark.read.schema(schema).parquet(*paths).select("root", "node")
-        fresh = step.join(seen, ["root", "node"], "left_anti").select("root", "level", "node")
+        seen = spark.read.schema(schema).parquet(*paths).select("root", "node", F.col("level").alias("_known"))
+        again = ["root", "node"]
+        if tails is not None:
+            # links span several levels here, so a later one may still lead to a node at an earlier level
+            step = step if levels is None else step.where(F.col("level") <= levels)
+            seen, again = seen.groupBy(*again).agg(F.min("_known").alias("_known")).select(
+                F.col("root").alias("_r"), F.col("node").alias("_n"), "_known"), [
+                F.col("root") == F.col("_r"), F.col("node") == F.col("_n"), F.col("_known") <= F.col("level")]
+        fresh = step.join(seen, again, "left_anti").select("root", "level", "node")
         path, count = write_step(fresh, "level")
-        done += width
+        done += width if tails is None else 0  # a chained walk ends by its levels
         if count:
             paths.append(path)
-    return spark.read.schema(schema).parquet(*paths)
+    found = spark.read.schema(schema).parquet(*paths)
+    if tails is None:
+        return found
+    heads = found.groupBy("root", "node").agg(F.min("level").alias("level")).select("root", "level", "node")
+    behind = heads.join(tails, F.col("node") == F.col("_head")).select("root", (F.col("level") + F.col("_w")).alias("level"), F.col("_tail").alias("node"))
+    return heads.unionByName(behind if levels is None else behind.where(F.col("level") <= levels))
 
 
 def _walked_edges(edges: DataFrame, roots: DataFrame, src: str, dst: str, levels: int | None) -> DataFrame:

@@ -38,17 +38,22 @@ def over_limit(tasks: DataFrame, limits: DataFrame, on: Sequence[str] = ("projec
         for code, names in KEYS_OF_TYPE.items():
             for item in names.items():
                 kinds.setdefault(item, []).append(code)
-    have = tasks.withColumn("_p", properties(F.col("task_params")))
-    joined = have.join(limits.select(*on, "resource_limit"), list(on), "inner")
+    # a few kilobytes of tasks hold many texts, so they are spread over all cores; limits are read once per limit row
+    spread = tasks.repartition(2 * tasks.sparkSession.sparkContext.defaultParallelism)
+    have = spread.withColumn("_p", properties(F.col("task_params")))
+    read = {key: F.get_json_object("resource_limit", f"$['{key}']").try_cast("int") for key, _ in kinds}
+    bounds = limits.select(*on, F.struct(*[c.alias(f"l{i}") for i, c in enumerate(read.values())]).alias("_limits"))
+    joined = have.join(bounds, list(on), "inner")
     messages = []
     for (key, name), types in kinds.items():
         value = F.try_element_at("_p", F.lit(key))
-        limit = F.get_json_object("resource_limit", f"$['{key}']").try_cast("int")
+        limit = F.col("_limits")[f"l{list(read).index(key)}"]
         text = F.concat(F.lit(f"{name}: "), value, F.lit(f" ({word}: "), limit.cast("string"), F.lit(")"))
         above = mem_mb(value) > limit
         messages.append(F.when(above if types is None else above & F.col("task_type").isin(types), text))
     found = F.filter(F.array(*messages), lambda m: m.isNotNull())
-    return joined.withColumn("messages", found).where(F.size("messages") > 0).select("task_id", "messages")
+    # exploding a one-element array keeps the filter from copying the messages into itself
+    return joined.select("task_id", F.explode(F.array(found)).alias("messages")).where(F.size("messages") > 0)
 
 
 def audit_page(log: DataFrame, actions: Mapping[str, str], number: int | None = 1, size: int | None = 20,

@@ -139,3 +139,11 @@ def test_fan_out_sends_one_alarm_of_each_group(spark, tmp_path):
     want = {c: 8 * n for c in range(25) if (n := 1 if c % 4 == 2 else (3 if c % 5 < 4 else int(c % 4 == 3)))}
     assert {r["channel_id"]: r["n"] for r in out.collect()} == want
     assert re.search(r"HashAggregate\(keys=\[channel_group", plan(out))
+
+
+def test_limits_are_read_once(spark):
+    tasks = spark.createDataFrame([(1, 1, "driver.memory=3g"), (2, 1, "driver.memory=1g"), (3, 2, "driver.memory=9g")], "task_id int, project_id int, task_params string")
+    limits = spark.createDataFrame([(1, '{"driver.memory": 2048}')], "project_id int, resource_limit string")
+    out = reports.over_limit(tasks, limits)
+    assert plan(out).count("get_json_object") == len(reports.SPARK_KEYS)
+    assert [(r["task_id"], r["messages"]) for r in out.collect()] == [(1, ["driverMemory: 3g (限制: 2048)"])]

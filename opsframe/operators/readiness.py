@@ -126,10 +126,10 @@ def child_period_check(pending: DataFrame, jobs: DataFrame, edges: DataFrame, ta
     facts = jobs.select("job_key", F.col("task_id").alias("_ctask"), F.col("cyc_ts").alias("_cts"),
                         F.col("cyc_time").alias("_ctime"), F.col("status").alias("_cstatus"), "type")
     links = edges.select("job_key", "parent_job_key")
-    children = links.join(facts, "job_key", "inner")
-    # direct children: the earliest instance per child task, then its previous period by rule
-    direct = mine.select(F.col("job_key").alias("parent_job_key")).join(
-        children.drop("type"), "parent_job_key", "inner")
+    # direct children: the earliest instance per child task, then its previous period by rule; only children of
+    # the pending instances look up their facts
+    direct = mine.select(F.col("job_key").alias("parent_job_key")).join(links, "parent_job_key", "inner").join(
+        facts.drop("type"), "job_key", "inner")
     earliest = direct.groupBy("parent_job_key", "_ctask").agg(
         F.min_by("_cts", F.struct("_ctime", "job_key")).alias("_cts"))
     rules = parse_rules(tasks.where("is_deleted = 0")).where(F.col("rule_error").isNull()).select(
@@ -150,7 +150,7 @@ def child_period_check(pending: DataFrame, jobs: DataFrame, edges: DataFrame, ta
                      F.when(F.col("_has"), F.col("job_key")), "_earlier", current=False, hot=hot)
     back = walked.where(F.col("_earlier").isNotNull()).join(empty.select("job_key"), "job_key", "left_semi").select(
         F.col("job_key").alias("_for"), F.col("_earlier").alias("parent_job_key"))
-    found = back.join(children.select("parent_job_key", "job_key", "_cstatus"), "parent_job_key", "inner").select(
+    found = back.join(links, "parent_job_key", "inner").join(facts.select("job_key", "_cstatus"), "job_key", "inner").select(
         F.col("_for").alias("parent_job_key"), "job_key", "_cstatus")
     every = seen.select("parent_job_key", "job_key", "_cstatus").unionByName(found).where(
         F.col("parent_job_key") != F.col("job_key"))

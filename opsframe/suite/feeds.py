@@ -31,6 +31,10 @@ def _store(f, stream, mode="append", sink=None):
     return f"{base}/out"
 
 
+#: Rows of a delivered file at most. A stream cuts its tasks by bytes, and a few megabytes of events can be a minute's work.
+FILE_ROWS = 50_000
+
+
 def _fed(f, make, mode="append", sink=None, timers=False, parts=3):
     """Feeds ``make(events stream)`` the events in ``parts`` deliveries by time, with a restart after each; returns the sink's folder."""
     spark = f._spark
@@ -39,7 +43,7 @@ def _fed(f, make, mode="append", sink=None, timers=False, parts=3):
     cuts = f.events.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000)).first()[0]
     share = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
     for k in range(parts):
-        f.events.where(share == k).write.mode("append").parquet(f"{base}/in")
+        f.events.where(share == k).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{base}/in")
         stream = make(spark.readStream.schema(f.events.schema).parquet(f"{base}/in"))
         feeds.run_to_files(stream, f"{base}/out", f"{base}/state", mode, sink(f"{base}/out") if sink else None, timers)
     return f"{base}/out"

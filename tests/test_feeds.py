@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from opsframe.fixtures import Fixtures
 from opsframe.streaming import feeds
+from opsframe.suite.feeds import _fed
 
 
 def _reports(spark, n=600):
@@ -93,6 +95,32 @@ def test_retention_reads_no_history(spark, tmp_path):
     assert gone.count() == 800 - 32 and gone.select("checkpoint_id").distinct().count() == 800 - 32
 
 
+def test_deliveries_are_small_files(spark, tmp_path):
+    """Rows of one file come in files that a stream can spread over its tasks, and all of them come."""
+    spark.range(0, 120_000, 1, 1).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 1000).cast("timestamp_ntz").alias(
+            "ts")).write.parquet(str(tmp_path / "events.parquet"))
+    out = _fed(Fixtures(spark, str(tmp_path)), lambda events: events.select("event_id"), parts=2)
+    sizes = [r["count"] for r in spark.read.parquet(f"{out[:-4]}/in").groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 50_000 and sum(sizes) == 120_000
+    got = spark.read.parquet(out)
+    assert got.count() == got.select("event_id").distinct().count() == 120_000
+
+
+def test_retention_of_repeated_reports(spark, tmp_path):
+    """A checkpoint reported twice is kept once or gone once; the step in between leaves nothing behind."""
+    out = str(tmp_path / "out")
+    for k in range(2):
+        batch = spark.range(60).select(
+            F.lit(1).cast("long").alias("task_id"), F.lit("e").alias("task_engine_id"), (F.col("id") % 30 + 30 * k).alias("checkpoint_id"),
+            F.lit("path").alias("checkpoint_savepath"))
+        feeds.retention_sink(out, 5)(batch, k)
+    assert sorted(r["checkpoint_id"] for r in feeds.read_retained(spark, out).collect()) == list(range(55, 60))
+    assert sorted(r["checkpoint_id"] for r in spark.read.parquet(f"{out}/gone").collect()) == list(range(55))
+    assert spark.read.parquet(f"{out}/rows").count() == 120
+    assert not list((tmp_path / "out" / "known").glob("*"))
+
+
 def _silences(df, timeout_s, mark):
     """(job_id, since) by hand, as of the watermark."""
     jobs = {}

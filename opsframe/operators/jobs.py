@@ -228,7 +228,7 @@ def fill_preview(fills: DataFrame, jobs: DataFrame, number: int | None = None, s
 
 def fill_records(jobs: DataFrame, tasks: DataFrame, fill: int | Sequence[int] | None = None, **criteria) -> DataFrame:
     """Instances of a backfill with show status, display day, duration and their flow."""
-    rows = search_jobs(jobs, tasks, number=None, size=None, schedule_type=1, paged=False, **criteria)
+    rows = search_jobs(jobs, tasks, number=None, size=None, schedule_type=1, paged=False, members=True, **criteria)
     rows = filter_by(rows, fill_id=fill)
     cyc = F.col("cyc_time")
     return rows.select(
@@ -434,9 +434,9 @@ def first_child(edges: DataFrame) -> DataFrame:
 def search_jobs(jobs: DataFrame, tasks: DataFrame, name: str | None = None, mode: str | None = "fuzzy",
                 owner: int | None = None, groups: Iterable[int] = (), split: bool = True,
                 cyc_start: dt.date | None = None, cyc_end: dt.date | None = None, biz_start: dt.date | None = None, biz_end: dt.date | None = None, schedule_type: int | None = 0,
-                number: int | None = 1, size: int | None = 20, paged: bool = True, **criteria) -> DataFrame:
-    """Instance listing. Members of flows appear once a name, states, task types or cycle days are asked for; else only flow parents
-    and plain instances."""
+                number: int | None = 1, size: int | None = 20, paged: bool = True, members: bool = False, **criteria) -> DataFrame:
+    """Instance listing. Members of flows appear with ``members`` or once a name, states, task types or cycle days are asked for; else only
+    flow parents and plain instances."""
     groups = list(groups)
     out = filter_by(jobs, type=schedule_type, is_deleted=0, **criteria)
     out = filter_status(in_biz_window(out, biz_start, biz_end), groups, split)
@@ -447,7 +447,7 @@ def search_jobs(jobs: DataFrame, tasks: DataFrame, name: str | None = None, mode
     if name or owner is not None:
         chosen = filter_by(search_name(tasks, "name", name, mode), owner_user_id=owner).select("task_id")
         out = out.join(chosen, "task_id", "left_semi")
-    if not (name or groups or cyc_start or cyc_end or criteria.get("task_type") is not None):
+    if not (members or name or groups or cyc_start or cyc_end or criteria.get("task_type") is not None):
         out = flow_rows(out, "parents")
     return page(out, "gmt_modified", number, size) if paged else out
 

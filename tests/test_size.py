@@ -2,8 +2,11 @@
 
 import datetime as dt
 import json
+import os
+import pathlib
 import random
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +129,64 @@ def test_alerts_are_spread_whatever_the_files(spark):
         [(a, c, u) for a in (0, 2, 4) for c, u in ((1, 7), (1, 8), (2, -1))] + [(a, 3, -1) for a in (1, 3, 5)])
 
 
+def bytes_of(files):
+    return sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+
+
+def alert_tables(spark, folder, alarms, people):
+    """Base tables with that many alarms, a third of the events, and receivers with ids in no order."""
+    ids = random.Random(7).sample(range(10 ** 9), people)
+    ts = dt.datetime(2024, 1, 1)
+    for name, rows, schema in (
+        ("events", [(k, ts, k % 70, "view" if k % 3 else "error", 1.0 + k % 9, "") for k in range(3 * alarms)],
+         "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
+        ("nation", [(k, f"n{k}", k % 5) for k in range(25)], "n_nationkey int, n_name string, n_regionkey int"),
+        ("supplier", [(k, f"s{k}", 0, 0.0) for k in ids], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/parts/{name}")
+        shutil.copy(next(pathlib.Path(folder, "parts", name).glob("*.parquet")), f"{folder}/{name}.parquet")  # a stream looks for files
+    groups = [sum(k % 4 == g for k in ids) for g in range(4)] + [0]
+    return sum(1 if c % 4 == 2 else (groups[c % 5] or int(c % 4 == 3)) for k in range(0, 3 * alarms, 3) for c in range(25) if c % 5 == k % 5)
+
+
+@pytest.mark.parametrize("name", ["j06_build_alerts"])
+def test_alert_files_stay_small(spark, tmp_path, name):
+    """Every record is written, but a list of receivers that comes again for each alarm takes next to no room."""
+    suite.load()
+    rows = alert_tables(spark, str(tmp_path), 600, 8000)
+    out = suite.QUERIES[name](spark, str(tmp_path))
+    if name.endswith("_stream"):
+        files = out.inputFiles()  # what the sink wrote
+    else:
+        out.write.parquet(f"{tmp_path}/out")
+        files = spark.read.parquet(f"{tmp_path}/out").inputFiles()
+    assert out.count() == rows and rows > 2_000_000
+    assert bytes_of(files) < 0.6 * rows
+    assert out.groupBy("alarm_id", "channel_id", "user_id").count().where("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("size", [None, 9, 0, 10_000])
+def test_alerts_of_odd_rows(spark, size):
+    alarms = [(1, "a", 0, 1.0), (1, "a", 0, 1.0), (None, "b", 0, 2.0), (2, None, 1, 3.0), (3, "c", None, 4.0), (4, "d", 2, None), (5, "e", 9, 5.0), (6, "f", 3, 6.0)]
+    channels = [(1, 1, 0), (2, 3, 0), (3, 4, 0), (3, 4, 0), (4, None, 0), (None, 2, 1), (5, 4, 1), (6, 1, 2), (7, 4, 2), (8, 2, None), (9, 4, 3), (10, 3, 3)]
+    people = [(7, 0), (7, 0), (None, 0), (8, None), (None, 1), *[(k, 3) for k in range(300)]]
+    df = spark.createDataFrame(alarms, "alarm_id long, job_id string, channel_group long, value double")
+    out = feeds.build_alerts(df, spark.createDataFrame(channels, "channel_id int, gate_type int, channel_group int"),
+                             spark.createDataFrame(people, "user_id int, channel_group int"), "${job}: ${v}",
+                             {"job": F.col("job_id"), "v": F.floor("value").cast("string")}, ["value"], size)
+    want = []
+    for a, j, g, v in alarms:
+        for c, gate, cg in channels:
+            if g is None or cg != g:
+                continue
+            found = [u for u, ug in people if ug == g and gate not in (3, None)] or [None]
+            users = [u if u is not None else -1 if gate in (3, 4) else None for u in found]
+            want += [(a, c, gate, u, j, f"{j or ''}: {'' if v is None else int(v)}", v) for u in users if u is not None]
+    got = [(r["alarm_id"], r["channel_id"], r["gate_type"], r["user_id"], r["job_id"], r["content"], r["value"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert dict(out.dtypes)["user_id"] == "bigint" and out.columns[-2:] == ["is_deleted", "value"]
+
+
 def test_fan_out_sends_one_alarm_of_each_group(spark, tmp_path):
     ts = dt.datetime(2024, 1, 1)
     spark.createDataFrame([(k, ts, k, "error" if k % 3 else "view", 1.0, "") for k in range(60)],

@@ -149,7 +149,7 @@ def alert_tables(spark, folder, alarms, people):
     return sum(1 if c % 4 == 2 else (groups[c % 5] or int(c % 4 == 3)) for k in range(0, 3 * alarms, 3) for c in range(25) if c % 5 == k % 5)
 
 
-@pytest.mark.parametrize("name", ["j06_build_alerts"])
+@pytest.mark.parametrize("name", ["j06_build_alerts", "j06_build_alerts_stream"])
 def test_alert_files_stay_small(spark, tmp_path, name):
     """Every record is written, but a list of receivers that comes again for each alarm takes next to no room."""
     suite.load()
